@@ -254,3 +254,155 @@ ROW_SQL = {
     "empty_entity_id": with_listing(
         f"select cast(count(*) filter (where {is_blank('store_id')}) as bigint) as n from cur"),
 }
+
+
+# --------------------------------------------------------------------------
+# Group, statistics, duplicate, comparison and top-k rules
+# --------------------------------------------------------------------------
+
+CP = (1999, 2000)
+CPP = (1998, 1999, 2000)
+LISTING_COLUMN_COUNT = len(LISTING_COLUMNS)
+
+
+def _quartile(expr: str, p: float) -> str:
+    return f"percentile_disc({p}) within group (order by {expr})"
+
+
+def _fences(q1: str, q3: str, f: float = 1.5) -> tuple:
+    return f"({q1} - {f} * ({q3} - {q1}))", f"({q3} + {f} * ({q3} - {q1}))"
+
+
+_lo_n, _hi_n = _fences("q.q1", "q.q3")
+
+_PRICE_KEYS_WITH = ("store_id", "product_id")
+_PRICE_KEYS_WITHOUT = ("store_id", "category", "product", "type", "subtype_size", "addition")
+
+
+def _price_change(keys) -> str:
+    sel = ", ".join("sid as store_id" if k == "store_id" else k for k in keys)
+    nn = " and ".join(f"{'sid' if k == 'store_id' else k} is not null" for k in keys)
+    grp = ", ".join(str(i + 1) for i in range(len(keys)))
+    using = ", ".join(keys)
+    outk = ", ".join(f"c.{k}" for k in keys)
+
+    def snap(src):
+        return (f"(select {sel}, min(price_num) as price from {src} "
+                f"where {nn} and price_num is not null group by {grp})")
+
+    return with_listing(
+        f"select {outk}, c.price as current_price, l.price as last_price, l2.price as last2_price "
+        f"from {snap('cur')} c join {snap('prev')} l using ({using}) join {snap('prev2')} l2 using ({using}) "
+        f"where c.price <> l.price or c.price <> l2.price", years=CPP)
+
+
+GROUP_SQL = {
+    "snapshot_counts": with_listing(
+        f"select 'current' as snapshot, count(*) as row_count, cast({LISTING_COLUMN_COUNT} as bigint) as column_count, "
+        f"count(distinct sid) as store_count from (select distinct * from cur) "
+        f"union all select 'previous', count(*), {LISTING_COLUMN_COUNT}, count(distinct sid) from prev", years=CP),
+    "size_change_pct": with_listing(
+        "select c as current_count, p as previous_count, "
+        "case when c + p > 0 then (c - p) / (c + p) * 100.0 end as pct, "
+        "case when c + p = 0 then 'empty' when c > p then 'increased' when c < p then 'decreased' "
+        "else 'unchanged' end as status "
+        "from (select (select count(*) from (select distinct * from cur)) as c, (select count(*) from prev) as p)",
+        years=CP),
+    "count_margin": with_listing(
+        "select c as current_count, p as previous_count, abs(c - p) / greatest(c, p) * 100.0 as pct, "
+        "case when greatest(c, p) = 0 then 'empty' when abs(c - p) / greatest(c, p) * 100.0 > 2.0 then 'flag' "
+        "else 'ok' end as status "
+        "from (select (select count(*) from cur) as c, (select count(*) from prev) as p)", years=CP),
+    "feed_id_counts": with_listing(
+        "select 'current' as snapshot, count(distinct tmad_id) as id_count from cur "
+        "union all select 'previous', count(distinct tmad_id) from prev", years=CP),
+    "retailer_counts": with_review(
+        "select c.retailer, c.current_rows, c.current_stores, "
+        "cast(coalesce(p.previous_rows, 0) as bigint) as previous_rows, "
+        "cast(coalesce(p.previous_stores, 0) as bigint) as previous_stores "
+        "from (select retailer, count(*) as current_rows, count(distinct sid) as current_stores "
+        "      from (select distinct * from rcur) where retailer is not null group by retailer) c "
+        "left join (select retailer, count(*) as previous_rows, count(distinct sid) as previous_stores "
+        "      from rprev where retailer is not null group by retailer) p on c.retailer = p.retailer"),
+    "competitor_check": with_listing(
+        "select cv as current_values, pv as previous_values, "
+        "case when cv = 1 and pv = 1 and cm = pm then 'ok' else 'mismatch' end as status "
+        "from (select (select count(distinct competitor) from cur) as cv, "
+        "(select count(distinct competitor) from prev) as pv, "
+        "(select min(competitor) from cur) as cm, (select min(competitor) from prev) as pm)", years=CP),
+    "competitor_values": with_listing("select distinct competitor from cur"),
+    "country_cardinality": with_listing(
+        "select count(distinct country) as country_count, "
+        "case when count(distinct country) > 1 then 'multiple' else 'ok' end as status from cur"),
+    "store_row_counts": with_listing("select sid as store_id, count(*) as n from cur group by sid"),
+    "price_quartiles": with_listing(
+        f"select {_quartile('price_num', 0.25)} as q1, {_quartile('price_num', 0.75)} as q3 "
+        f"from cur where price_num is not null"),
+    "store_count_outliers": with_listing(
+        f"select s.store_id, s.n from (select sid as store_id, count(*) as n from cur group by sid) s, "
+        f"(select {_quartile('n', 0.25)} as q1, {_quartile('n', 0.75)} as q3 "
+        f" from (select count(*) as n from cur group by sid)) q "
+        f"where s.n < {_lo_n} or s.n > {_hi_n}"),
+    "price_outliers": with_listing(
+        f"select sid as store_id, price_num from cur, "
+        f"(select {_quartile('price_num', 0.25)} as q1, {_quartile('price_num', 0.75)} as q3 "
+        f" from cur where price_num is not null) q "
+        f"where price_num < {_lo_n} or price_num > {_hi_n}"),
+    "store_multi_location": with_listing(
+        "select sid as store_id, count(distinct (round(lat_num, 4), round(lon_num, 4))) as unique_locations "
+        "from cur where lat_num is not null and lon_num is not null group by sid "
+        "having count(distinct (round(lat_num, 4), round(lon_num, 4))) > 1"),
+    "location_multi_store": with_listing(
+        "select round(lat_num, 4) as lat4, round(lon_num, 4) as lon4, count(distinct sid) as store_count "
+        "from cur group by 1, 2 having count(distinct sid) > 1"),
+    "store_metadata_conflicts": with_listing(
+        "select sid as store_id, count(distinct store_name) as name_count, "
+        "count(distinct store_address) as address_count, count(distinct city) as city_count, "
+        "count(distinct state) as state_count from cur group by sid "
+        "having count(distinct store_name) > 1 or count(distinct store_address) > 1 "
+        "or count(distinct city) > 1 or count(distinct state) > 1"),
+    "duplicate_listing_groups": with_listing(
+        "select addition, category, product, type, subtype_size, sid as store_id, count(*) as n "
+        "from cur group by 1, 2, 3, 4, 5, 6 having count(*) > 1"),
+    "duplicate_products": with_listing(
+        "select distinct store_id from (select sid as store_id, category, product, type, subtype_size "
+        "from (select distinct * from cur) group by 1, 2, 3, 4, 5 having count(*) > 1) "
+        "where store_id is not null"),
+    "uniform_pricing": with_listing(
+        "select product, type, subtype_size, count(distinct price_num) as distinct_prices "
+        "from cur group by 1, 2, 3 having count(distinct price_num) = 1"),
+    "categories_per_product_store": with_listing(
+        "select product, sid as store_id, count(distinct category) as category_count from cur group by 1, 2"),
+    "scrape_dates": with_listing(
+        f"select distinct regexp_split_to_array({ustrip('cast(date_extracted as varchar)')}, '\\s+')[1] "
+        f"as date_extracted from cur where date_extracted is not null"),
+    "distinct_field_values": with_listing(
+        "select distinct 'current' as snapshot, 'competitor' as field, cast(competitor as varchar) as value from cur "
+        "union select distinct 'previous', 'competitor', cast(competitor as varchar) from prev", years=CP),
+    "duplicate_row_count":
+        "select cast(coalesce(sum(n - 1), 0) as bigint) as surplus "
+        "from (select text, count(*) as n from documents group by text having count(*) > 1)",
+    "duplicate_rows":
+        "select text, count(*) - 1 as surplus from documents group by text having count(*) > 1",
+    "dedupe_rows": "select distinct text from documents",
+    "stores_not_in_current": with_listing(
+        "select distinct sid as store_id from prev p where not exists (select 1 from cur c where c.sid = p.sid)",
+        years=CP),
+    "missing_store_pct": with_listing(
+        "select m as missing_count, t as previous_total, "
+        "case when t > 0 then m / t * 100.0 else 0.0 end as pct_missing, "
+        "case when (case when t > 0 then m / t * 100.0 else 0.0 end) > 1.0 then 'flag' else 'ok' end as status "
+        "from (select (select count(*) from (select sid from prev except select sid from cur)) as m, "
+        "(select count(*) from (select distinct sid from prev)) as t)", years=CP),
+    "stores_with_fewer_rows": with_listing(
+        "select distinct sid as store_id from (select sid from prev except all select sid from cur)", years=CP),
+    "categories_not_in_current": with_listing(
+        "select distinct p.sid as store_id, p.category from prev p "
+        "where p.sid is not null and p.sid in (select sid from cur where sid is not null) "
+        "and not exists (select 1 from cur c where c.sid = p.sid and c.category is not distinct from p.category)",
+        years=CP),
+    "price_change_with_product_id": _price_change(_PRICE_KEYS_WITH),
+    "price_change_without_product_id": _price_change(_PRICE_KEYS_WITHOUT),
+    "top_prices": with_listing(
+        "select distinct price_num from cur where price_num is not null order by price_num desc limit 5"),
+}

@@ -10,9 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import compare as cmp
+from ..operators import group_rules as gr
 from ..operators import row_rules as rr
+from ..operators import stats as st
 from ..operators.clean import clean_listing, clean_snapshot
-from ..profiles import LISTING, REVIEW, listing_profile
+from ..profiles import (
+    DUPLICATE_LISTING_KEYS, DUPLICATE_PRODUCT_KEYS, LISTING, REVIEW, UNIFORM_PRICE_KEYS,
+    listing_profile,
+)
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +71,77 @@ ROW_QUERIES: dict[str, Query] = {
 }
 
 
+def cur_prev_dedup(spark: SparkSession, sf_dir: str):
+    """Current de-duplicated on full rows (as the two-snapshot suites do), previous as is."""
+    c, p = fx.listing_snapshots(spark, sf_dir)
+    return clean_snapshot(c.dropDuplicates(), LISTING), clean_snapshot(p, LISTING)
+
+
+def review_cur_prev(spark: SparkSession, sf_dir: str, dedupe_current: bool = True):
+    c, p = fx.review_snapshots(spark, sf_dir)
+    if dedupe_current:
+        c = c.dropDuplicates()
+    return clean_snapshot(c, REVIEW), clean_snapshot(p, REVIEW)
+
+
+def three_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = (fx.BEFORE_PREVIOUS_YEAR, fx.PREVIOUS_YEAR, fx.CURRENT_YEAR)
+    return clean_snapshot(fx.listing(spark, sf_dir, years=years), LISTING)
+
+
+def _docs_text(s, d):
+    return fx.documents(s, d, columns=("text",))
+
+
+LISTING_COLUMN_COUNT = 21   # columns of a listing snapshot (the view without ``yr``)
+PRICE_KEYS_WITH_ID = ("store_id", "product_id")
+PRICE_KEYS_WITHOUT_ID = ("store_id", "category", "product", "type", "subtype_size", "addition")
+
+
+def _price_change(keys):
+    return lambda s, d: cmp.price_change(three_snapshots(s, d), keys, fx.CURRENT_YEAR,
+                                         fx.PREVIOUS_YEAR, fx.BEFORE_PREVIOUS_YEAR)
+
+
+GROUP_QUERIES: dict[str, Query] = {
+    "snapshot_counts": lambda s, d: gr.snapshot_counts(*cur_prev_dedup(s, d), LISTING_COLUMN_COUNT),
+    "size_change_pct": lambda s, d: gr.size_change_pct(*cur_prev_dedup(s, d)),
+    "count_margin": lambda s, d: gr.count_margin(*cur_prev(s, d), LISTING.count_margin_pct),
+    "feed_id_counts": lambda s, d: gr.feed_id_counts(*cur_prev(s, d), "tmad_id"),
+    "retailer_counts": lambda s, d: gr.group_counts(*review_cur_prev(s, d), "retailer"),
+    "competitor_check": lambda s, d: gr.single_value_check(*cur_prev(s, d), "competitor"),
+    "competitor_values": lambda s, d: gr.distinct_values(cur(s, d), "competitor"),
+    "country_cardinality": lambda s, d: gr.cardinality(cur(s, d), "country", "country_count"),
+    "store_row_counts": lambda s, d: st.store_row_counts(cur(s, d)),
+    "price_quartiles": lambda s, d: st.price_quartiles(cur(s, d)),
+    "store_count_outliers": lambda s, d: st.store_count_outliers(cur(s, d), LISTING.iqr_factor),
+    "price_outliers": lambda s, d: st.price_outliers(cur(s, d), LISTING.iqr_factor),
+    "store_multi_location": lambda s, d: gr.store_multi_location(cur(s, d)),
+    "location_multi_store": lambda s, d: gr.location_multi_store(cur(s, d)),
+    "store_metadata_conflicts": lambda s, d: gr.store_metadata_conflicts(cur(s, d)),
+    "duplicate_listing_groups": lambda s, d: gr.duplicate_groups(cur(s, d), DUPLICATE_LISTING_KEYS),
+    "duplicate_products": lambda s, d: gr.duplicate_entities(cur_prev_dedup(s, d)[0], DUPLICATE_PRODUCT_KEYS),
+    "uniform_pricing": lambda s, d: gr.uniform_groups(cur(s, d), UNIFORM_PRICE_KEYS),
+    "categories_per_product_store": lambda s, d: gr.categories_per_product_store(cur(s, d)),
+    "scrape_dates": lambda s, d: gr.scrape_dates(cur(s, d)),
+    "distinct_field_values": lambda s, d: gr.distinct_field_values(*cur_prev(s, d), ["competitor"]),
+    "duplicate_row_count": lambda s, d: gr.duplicate_row_count(_docs_text(s, d)),
+    "duplicate_rows": lambda s, d: gr.duplicate_row_groups(_docs_text(s, d)),
+    "dedupe_rows": lambda s, d: gr.dedupe_rows(_docs_text(s, d)),
+    "stores_not_in_current": lambda s, d: cmp.stores_not_in_current(*cur_prev(s, d)),
+    "missing_store_pct": lambda s, d: cmp.missing_store_pct(*cur_prev(s, d), LISTING.missing_store_pct),
+    "stores_with_fewer_rows": lambda s, d: cmp.stores_with_fewer_rows(*cur_prev(s, d)),
+    "categories_not_in_current": lambda s, d: cmp.categories_not_in_current(*cur_prev(s, d)),
+    "price_change_with_product_id": _price_change(PRICE_KEYS_WITH_ID),
+    "price_change_without_product_id": _price_change(PRICE_KEYS_WITHOUT_ID),
+    "top_prices": lambda s, d: gr.top_values(cur(s, d), "price_num", 5),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(ROW_QUERIES)
+    out.update(GROUP_QUERIES)
     return out
 
 
@@ -76,4 +150,5 @@ def oracle_sql() -> dict[str, str]:
 
     out: dict[str, str] = {}
     out.update(o.ROW_SQL)
+    out.update(o.GROUP_SQL)
     return out
