@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from ..functions.text import DIGITS, NUMERIC_TEXT, UNICODE_SPACE
 from ..profiles import (
+    LISTING, NA_TOKENS, REVIEW,
     ALASKA_BOX, CA_POSTAL_NO_SPACE, CA_POSTAL_WITH_SPACE, LISTING_NULL_COLUMNS,
     LISTING_SYMBOL_PATTERNS, REVIEW_NULL_COLUMNS, REVIEW_SYMBOL_PATTERNS,
     TEXT_SYMBOL_FIELDS, TEXT_SYMBOL_PATTERNS, USA_LOWER48_BOX, ZIP_PATTERNS,
@@ -406,3 +407,56 @@ GROUP_SQL = {
     "top_prices": with_listing(
         "select distinct price_num from cur where price_num is not null order by price_num desc limit 5"),
 }
+
+
+# --------------------------------------------------------------------------
+# Readers and headers (first line of every document stands for a file header)
+# --------------------------------------------------------------------------
+
+_HEADER_CTES = (
+    "with d as (select doc_id, split_part(text, chr(10), 1) as line from documents),\n"
+    "dl as (select doc_id, line, case when contains(line, '|') then '|' when contains(line, chr(9)) then chr(9) "
+    "else ',' end as delim from d),\n"
+    "t as (select doc_id, unnest(string_split(line, delim)) as field, "
+    "generate_subscripts(string_split(line, delim), 1) as position from dl)")
+
+
+def _norm(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+
+
+def _aliases(profile) -> str:
+    rows = ", ".join(f"({q(k)}, {q(v)})" for k, v in profile.aliases.items())
+    return f"(select * from (values {rows}) a(k, v))"
+
+
+def _standardize(profile) -> str:
+    return (f"{_HEADER_CTES}\n"
+            f"select t.doc_id, t.position, {ustrip('t.field')} as header, "
+            f"coalesce(a.v, {ustrip('t.field')}) as canonical "
+            f"from t left join {_aliases(profile)} a on a.k = {_norm('t.field')}")
+
+
+def _na(x: str) -> str:
+    toks = ", ".join(q(t) for t in NA_TOKENS)
+    return f"(case when {x} in ({toks}) then null else {x} end)"
+
+
+_REQ = ", ".join(f"({q(c)})" for c in LISTING.null_columns)
+
+HEADER_SQL = {
+    "detect_delimiter": f"{_HEADER_CTES}\nselect doc_id, delim as delimiter from dl",
+    "normalize_headers": (f"{_HEADER_CTES}\nselect doc_id, position, {ustrip('field')} as header, "
+                          f"{_norm('field')} as normalized from t"),
+    "standardize_listing": _standardize(LISTING),
+    "standardize_review": _standardize(REVIEW),
+    "missing_columns": (
+        f"{_HEADER_CTES},\n"
+        f"canon as (select distinct t.doc_id, coalesce(a.v, {ustrip('t.field')}) as canonical "
+        f"from t left join {_aliases(LISTING)} a on a.k = {_norm('t.field')})\n"
+        f"select dl.doc_id, r.c as column_name from dl, (select * from (values {_REQ}) r(c)) r "
+        f"where not exists (select 1 from canon where canon.doc_id = dl.doc_id and canon.canonical = r.c)"),
+    "read_listing_csv": with_listing(
+        f"select {_na('store_id')} as store_id, {_na('product_id')} as product_id, "
+        f"{_na('price')} as price, {_na('zip_code')} as zip_code from cur"),
+}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import compare as cmp
 from ..operators import group_rules as gr
 from ..operators import row_rules as rr
+from ..operators import schema as sch
 from ..operators import stats as st
 from ..operators.clean import clean_listing, clean_snapshot
 from ..profiles import (
@@ -20,6 +21,7 @@ from ..profiles import (
     listing_profile,
 )
 from ..sources import fixtures as fx
+from ..sources.csv import csv_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,10 +140,26 @@ GROUP_QUERIES: dict[str, Query] = {
 }
 
 
+def _docs(s, d):
+    return fx.documents(s, d, columns=("doc_id", "text"))
+
+
+HEADER_QUERIES: dict[str, Query] = {
+    "detect_delimiter": lambda s, d: sch.detect_delimiters(_docs(s, d), "doc_id", "text"),
+    "normalize_headers": lambda s, d: sch.normalize_headers(_docs(s, d), "doc_id", "text"),
+    "standardize_listing": lambda s, d: sch.standardize_headers(_docs(s, d), "doc_id", "text", LISTING),
+    "standardize_review": lambda s, d: sch.standardize_headers(_docs(s, d), "doc_id", "text", REVIEW),
+    "missing_columns": lambda s, d: sch.missing_header_columns(_docs(s, d), "doc_id", "text", LISTING),
+    "read_listing_csv": lambda s, d: csv_round_trip(
+        fx.current_listing(s, d), ["store_id", "product_id", "price", "zip_code"]),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(ROW_QUERIES)
     out.update(GROUP_QUERIES)
+    out.update(HEADER_QUERIES)
     return out
 
 
@@ -151,4 +169,5 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(o.ROW_SQL)
     out.update(o.GROUP_SQL)
+    out.update(o.HEADER_SQL)
     return out
