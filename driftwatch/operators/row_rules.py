@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DIGITS, is_blank, month_start, ustrip
 from ..profiles import (
-    ALASKA_BOX, CA_POSTAL_NO_SPACE, CA_POSTAL_WITH_SPACE, TEXT_SYMBOL_FIELDS,
+    ALASKA_BOX, CA_POSTAL_NO_SPACE, CA_POSTAL_WITH_SPACE, SEVERITY, TEXT_SYMBOL_FIELDS,
     TEXT_SYMBOL_PATTERNS, USA_LOWER48_BOX, Profile,
 )
 
@@ -241,7 +241,7 @@ def price_comma(c: DataFrame, price_col: str = "price") -> DataFrame:
 
 
 def as_date(c: Column) -> Column:
-    return F.coalesce(F.try_to_date(c.cast("string")), F.lit(None).cast("date"))
+    return F.try_to_date(c.cast("string"))
 
 
 def date_month_mismatch(c: DataFrame, as_of, date_col: str = "date_extracted") -> DataFrame:
@@ -279,25 +279,25 @@ def row_rules(c: DataFrame, profile: Profile) -> list:
     if profile.box is not None:
         lat_lo, lat_hi, lon_lo, lon_hi = profile.box
         if "latitude" in cols:
-            rules.append(RowRule("invalid_latitude", "error", "latitude",
+            rules.append(RowRule("invalid_latitude", SEVERITY["invalid_latitude"], "latitude",
                                  (F.col("lat_num") < lat_lo) | (F.col("lat_num") > lat_hi),
                                  F.col("lat_num").cast("string"), False))
         if "longitude" in cols:
-            rules.append(RowRule("invalid_longitude", "error", "longitude",
+            rules.append(RowRule("invalid_longitude", SEVERITY["invalid_longitude"], "longitude",
                                  (F.col("lon_num") < lon_lo) | (F.col("lon_num") > lon_hi),
                                  F.col("lon_num").cast("string"), False))
     if profile.zip_pattern is not None and profile.zip_col in cols:
-        rules.append(RowRule("invalid_zip", "error", profile.zip_col,
+        rules.append(RowRule("invalid_zip", SEVERITY["invalid_zip"], profile.zip_col,
                              zip_invalid_condition(profile), F.col("zip_clean"), False))
     for name in present(c, profile.null_columns):
-        rules.append(RowRule("null_violations", "error", name, blank_condition(name),
+        rules.append(RowRule("null_violations", SEVERITY["null_violations"], name, blank_condition(name),
                              F.lit(None).cast("string"), True))
     for name in present(c, profile.symbol_patterns):
-        rules.append(RowRule("symbol_violations", "warning", name,
+        rules.append(RowRule("symbol_violations", SEVERITY["symbol_violations"], name,
                              symbol_condition(name, profile.symbol_patterns[name]),
                              F.lit(None).cast("string"), True))
     if profile.price_col in cols:
-        rules.append(RowRule("zero_price", "error", profile.price_col,
+        rules.append(RowRule("zero_price", SEVERITY["zero_price"], profile.price_col,
                              F.col("price_num") == 0, F.lit(None).cast("string"), True))
     return rules
 
@@ -320,4 +320,5 @@ def fused_row_findings(c: DataFrame, profile: Profile) -> DataFrame:
     exploded = c.select(sid.alias("entity_id"),
                         F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("f"))
     return (exploded.select("f.check_id", "f.severity", "f.column_name", "entity_id", "f.value")
-                    .distinct())
+                    .distinct()
+                    .withColumn("detail", F.lit(None).cast("string")))

@@ -110,26 +110,42 @@ CLEAN_COLS = (f"{clean_text('store_id')} as sid, {to_double('price')} as price_n
               f"{to_double('longitude')} as lon_num")
 
 
-def with_listing(body: str, years=(2000,), clean: bool = True) -> str:
-    """``listing`` view, snapshot CTEs ``cur``/``prev``/``prev2`` and the query body."""
+BODY_MARK = "-- body\n"
+
+
+def body_of(stmt: str) -> str:
+    """The query body of a statement built by ``with_listing``/``with_review``."""
+    return stmt.split(BODY_MARK, 1)[1]
+
+
+def with_listing(body: str, years=(2000,), clean: bool = True, dedupe_current: bool = False) -> str:
+    """``listing`` view, snapshot CTEs ``cur``/``prev``/``prev2`` and the query body.
+
+    ``cur_raw`` is the current snapshot as is; ``cur`` is the same, or its
+    distinct rows when ``dedupe_current`` (as the two-snapshot suites do).
+    """
     yrs = ", ".join(str(y) for y in years)
     cols = f"*, {CLEAN_COLS}" if clean else "*"
+    cur = "select distinct * from cur_raw" if dedupe_current else "select * from cur_raw"
     return (f"with listing as ({LISTING_VIEW}),\n"
             f"snap as materialized (select {cols} from listing where yr in ({yrs})),\n"
-            f"cur as materialized (select * exclude (yr) from snap where yr = 2000),\n"
+            f"cur_raw as materialized (select * exclude (yr) from snap where yr = 2000),\n"
+            f"cur as materialized ({cur}),\n"
             f"prev as materialized (select * exclude (yr) from snap where yr = 1999),\n"
             f"prev2 as materialized (select * exclude (yr) from snap where yr = 1998)\n"
-            f"{body}")
+            f"{BODY_MARK}{body}")
 
 
-def with_review(body: str) -> str:
-    clean = (f"*, {clean_text('store_id')} as sid, cast(null as double) as price_num, "
+def with_review(body: str, dedupe_current: bool = False) -> str:
+    clean = (f"* exclude (snap), {clean_text('store_id')} as sid, cast(null as double) as price_num, "
              f"cast(null as varchar) as zip_clean, cast(null as double) as lat_num, "
              f"cast(null as double) as lon_num")
+    cur = "select distinct * from rcur_raw" if dedupe_current else "select * from rcur_raw"
     return (f"with review as ({REVIEW_VIEW}),\n"
-            f"rcur as materialized (select {clean} from review where snap = 'cur'),\n"
+            f"rcur_raw as materialized (select {clean} from review where snap = 'cur'),\n"
+            f"rcur as materialized ({cur}),\n"
             f"rprev as materialized (select {clean} from review where snap = 'prev')\n"
-            f"{body}")
+            f"{BODY_MARK}{body}")
 
 
 def _box_out(box, lat="lat_num", lon="lon_num") -> str:
@@ -460,3 +476,113 @@ HEADER_SQL = {
         f"select {_na('store_id')} as store_id, {_na('product_id')} as product_id, "
         f"{_na('price')} as price, {_na('zip_code')} as zip_code from cur"),
 }
+
+
+# --------------------------------------------------------------------------
+# Suites: findings per check, as the union of the checks' own SQL
+# --------------------------------------------------------------------------
+
+from ..profiles import SEVERITY, STORE_METADATA_COLUMNS  # noqa: E402
+
+
+def _count_union(parts) -> str:
+    """``(check_id, n)`` for every part with at least one finding row."""
+    union = "\nunion all\n".join(
+        f"select {q(cid)} as check_id, count(*) as n from ({body}) x" for cid, body in parts)
+    return f"select check_id, n from ({union}) u where n > 0"
+
+
+def _with_severity(parts) -> str:
+    union = "\nunion all\n".join(
+        f"select {q(SEVERITY[cid])} as severity, {q(cid)} as check_id, count(*) as n from ({body}) x"
+        for cid, body in parts)
+    return f"select severity, check_id, n from ({union}) u where n > 0"
+
+
+def _missing_rows(required, present) -> str:
+    miss = [c for c in dict.fromkeys(required) if c and c not in present]
+    if not miss:
+        return "select 1 where false"
+    return " union all ".join(f"select {q(c)} as column_name" for c in miss)
+
+
+def _b(key: str) -> str:
+    stmt = ROW_SQL.get(key) or GROUP_SQL.get(key)
+    return body_of(stmt)
+
+
+_LISTING_REQUIRED = (list(LISTING.null_columns) + list(LISTING.symbol_patterns)
+                     + ["store_id", "competitor", "date_extracted"] + ["store_id", "category", "product",
+                                                                       "type", "subtype_size"]
+                     + ["latitude", "longitude", "zip_code"])
+
+_LISTING_SUITE_PARTS = [
+    ("missing_column", _missing_rows(_LISTING_REQUIRED, LISTING_COLUMNS)),
+    ("duplicate_rows", f"select 1 from cur_raw group by {', '.join(LISTING_COLUMNS)} having count(*) > 1"),
+    ("competitor_check", f"select * from ({_b('competitor_check')}) z where status = 'mismatch'"),
+    ("country_cardinality", f"select * from ({_b('country_cardinality')}) z where status = 'multiple'"),
+    ("invalid_latitude", _b("invalid_latitude")),
+    ("invalid_longitude", _b("invalid_longitude")),
+    ("invalid_zip", _b("invalid_zip")),
+    ("null_violations", _b("null_violations")),
+    ("symbol_violations", _b("symbol_violations")),
+    ("zero_price", _b("zero_price")),
+    ("duplicate_products", _b("duplicate_products")),
+    ("stores_not_in_current", _b("stores_not_in_current")),
+    ("categories_not_in_current", _b("categories_not_in_current")),
+    ("scrape_dates", _b("scrape_dates")),
+]
+
+_REVIEW_REQUIRED = (list(REVIEW.null_columns) + list(REVIEW.symbol_patterns)
+                    + ["store_id", "retailer", "date_extracted", "latitude", "longitude", "zipcode"])
+
+_REVIEW_SUITE_PARTS = [
+    ("missing_column", _missing_rows(_REVIEW_REQUIRED, REVIEW_COLUMNS)),
+    ("duplicate_rows", f"select 1 from rcur_raw group by {', '.join(REVIEW_COLUMNS)} having count(*) > 1"),
+    ("retailer_check",
+     "select 1 from (select (select count(distinct retailer) from rcur) as cv, "
+     "(select count(distinct retailer) from rprev) as pv, (select min(retailer) from rcur) as cm, "
+     "(select min(retailer) from rprev) as pm) z where not (cv = 1 and pv = 1 and cm = pm)"),
+    ("null_violations", body_of(ROW_SQL["review_null_violations"])),
+    ("symbol_violations", body_of(ROW_SQL["review_symbol_violations"])),
+    ("stores_not_in_current",
+     "select distinct sid from rprev p where not exists (select 1 from rcur c where c.sid = p.sid)"),
+    ("scrape_dates",
+     f"select distinct regexp_split_to_array({ustrip('cast(date_extracted as varchar)')}, '\\s+')[1] "
+     f"from rcur where date_extracted is not null"),
+]
+
+_STAT_REQUIRED = (["store_id", "price", "zip_code", "date_extracted", "latitude", "longitude", "competitor"]
+                  + list(STORE_METADATA_COLUMNS) + ["addition", "category", "product", "type", "subtype_size"]
+                  + list(TEXT_SYMBOL_FIELDS))
+
+_STAT_SUITE_PARTS = [
+    ("missing_column", _missing_rows(_STAT_REQUIRED, LISTING_COLUMNS)),
+    ("date_month_mismatch", _b("date_month_mismatch")),
+    ("scrape_dates", _b("scrape_dates")),
+    ("count_margin", f"select * from ({_b('count_margin')}) z where status = 'flag'"),
+    ("store_count_outliers", _b("store_count_outliers")),
+    ("price_outliers", _b("price_outliers")),
+    ("long_price", _b("long_price")),
+    ("price_dollar_sign", _b("price_dollar_sign")),
+    ("price_comma", _b("price_comma")),
+    ("zip_non_numeric", _b("zip_non_numeric")),
+    ("zip_bad_length", _b("zip_bad_length")),
+    ("store_multi_location", _b("store_multi_location")),
+    ("location_multi_store", _b("location_multi_store")),
+    ("outside_geo_box", _b("outside_geo_box")),
+    ("missing_store_pct", f"select * from ({_b('missing_store_pct')}) z where status = 'flag'"),
+    ("stores_with_fewer_rows", _b("stores_with_fewer_rows")),
+    ("empty_entity_id", f"select * from ({_b('empty_entity_id')}) z where n > 0"),
+    ("store_metadata_conflicts", _b("store_metadata_conflicts")),
+    ("duplicate_listing_groups", _b("duplicate_listing_groups")),
+    ("uniform_pricing", _b("uniform_pricing")),
+    ("text_symbol_counts", f"select * from ({_symbol_counts('cur', _LISTING_TEXT, 'listing')}) z where n > 0"),
+]
+
+SUITE_SQL = {
+    "listing_suite_summary": with_listing(_count_union(_LISTING_SUITE_PARTS), years=CP, dedupe_current=True),
+    "findings_by_severity": with_listing(_with_severity(_LISTING_SUITE_PARTS), years=CP, dedupe_current=True),
+    "review_suite_summary": with_review(_count_union(_REVIEW_SUITE_PARTS), dedupe_current=True),
+    "stat_suite_summary": with_listing(_count_union(_STAT_SUITE_PARTS), years=CP),
+}

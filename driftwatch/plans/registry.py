@@ -22,6 +22,8 @@ from ..profiles import (
 )
 from ..sources import fixtures as fx
 from ..sources.csv import csv_round_trip
+from . import findings as fnd
+from . import suite as su
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,8 +157,34 @@ HEADER_QUERIES: dict[str, Query] = {
 }
 
 
+def listing_suite(spark: SparkSession, sf_dir: str) -> su.SuiteResult:
+    c, p = fx.listing_snapshots(spark, sf_dir)
+    return su.listing_suite(c, p, LISTING)
+
+
+def review_suite(spark: SparkSession, sf_dir: str) -> su.SuiteResult:
+    c, p = fx.review_snapshots(spark, sf_dir)
+    return su.review_suite(c, p, REVIEW)
+
+
+def stat_suite(spark: SparkSession, sf_dir: str) -> su.SuiteResult:
+    c, p = fx.listing_snapshots(spark, sf_dir)
+    return su.stat_suite(c, p, LISTING, fx.AS_OF)
+
+
+SUITE_QUERIES: dict[str, Query] = {
+    "listing_suite_summary": lambda s, d: fnd.summary(listing_suite(s, d).findings),
+    "review_suite_summary": lambda s, d: fnd.summary(review_suite(s, d).findings),
+    "stat_suite_summary": lambda s, d: fnd.summary(stat_suite(s, d).findings),
+    "findings_by_severity": lambda s, d: fnd.findings_by_severity(listing_suite(s, d).findings),
+    "findings_sample": lambda s, d: fnd.findings_sample(listing_suite(s, d).findings, 5),
+    "report_lines": lambda s, d: fnd.report_lines(listing_suite(s, d).findings),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(SUITE_QUERIES)
     out.update(ROW_QUERIES)
     out.update(GROUP_QUERIES)
     out.update(HEADER_QUERIES)
@@ -170,4 +198,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(o.ROW_SQL)
     out.update(o.GROUP_SQL)
     out.update(o.HEADER_SQL)
+    out.update(o.SUITE_SQL)
     return out

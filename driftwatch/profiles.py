@@ -221,6 +221,44 @@ LISTING_EXTRA_ALIASES = {
     "additiontype": "addition_type",
 }
 
+# Severity of each check's findings.
+SEVERITY = {
+    "missing_column": "warning",
+    "duplicate_rows": "warning",
+    "competitor_check": "error",
+    "retailer_check": "error",
+    "country_cardinality": "error",
+    "invalid_latitude": "error",
+    "invalid_longitude": "error",
+    "invalid_zip": "error",
+    "null_violations": "error",
+    "symbol_violations": "warning",
+    "zero_price": "error",
+    "duplicate_products": "warning",
+    "stores_not_in_current": "warning",
+    "categories_not_in_current": "warning",
+    "scrape_dates": "info",
+    "date_month_mismatch": "warning",
+    "count_margin": "warning",
+    "store_count_outliers": "warning",
+    "price_outliers": "warning",
+    "long_price": "warning",
+    "price_dollar_sign": "error",
+    "price_comma": "error",
+    "zip_non_numeric": "error",
+    "zip_bad_length": "error",
+    "store_multi_location": "warning",
+    "location_multi_store": "warning",
+    "outside_geo_box": "error",
+    "missing_store_pct": "warning",
+    "stores_with_fewer_rows": "info",
+    "empty_entity_id": "error",
+    "store_metadata_conflicts": "warning",
+    "duplicate_listing_groups": "warning",
+    "uniform_pricing": "info",
+    "text_symbol_counts": "warning",
+}
+
 
 def _self_aliases(columns):
     """Every canonical column is reachable by its own normalised form."""
