@@ -72,16 +72,19 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     raw_cols = cur.columns
     f, m = [], []
 
-    # Duplicates of the current snapshot, then the de-duplicated current.
-    raw = _prepare(cur, profile, "current-raw", materialize)
-    dup = gr.duplicate_row_groups(raw.select(*raw_cols))
+    # One aggregation over all columns gives both the duplicate groups and the
+    # de-duplicated current snapshot (map-side combine collapses copies first).
+    g = cur.groupBy(*raw_cols).agg(F.count(F.lit(1)).alias("_copies"))
+    g = _prepare(g, profile, "current", materialize)
+    dup = g.where(F.col("_copies") > 1).select(*raw_cols, (F.col("_copies") - 1).alias("surplus"))
     f.append(_f(dup, "duplicate_rows", value="surplus"))
-    m.append(metric_rows(gr.duplicate_row_count(raw.select(*raw_cols)), "duplicate_rows",
-                         "surplus_rows", measured="surplus"))
-    c = raw
+    m.append(metric_rows(dup.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("surplus")),
+                         "duplicate_rows", "surplus_rows", measured="surplus"))
     if profile.dedupe_current:
-        c = raw.dropDuplicates(raw_cols)
-        c = land(c, "current") if materialize else c
+        c = g.drop("_copies")
+    else:
+        c = g.select("*", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_one")) \
+             .drop("_copies", "_one")
     p = None
     if prev is not None:
         pv = prev.dropDuplicates() if profile.dedupe_previous else prev
