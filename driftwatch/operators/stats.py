@@ -6,23 +6,24 @@ whole group in one task:
 1. histogram ``(value, count)`` by ``groupBy`` (map-side combine, so a value
    held by a third of all rows is one row after the partial aggregate);
 2. approximate quantiles of the *distinct* values split the histogram into
-   ``buckets`` ranges of similar size (one row of boundaries, broadcast);
+   ``buckets`` ranges of similar size (a scalar subquery, no join);
 3. per-bucket totals (at most ``buckets`` rows) give each bucket's offset;
 4. a running sum inside each bucket gives every value's cumulative count;
 5. the answer for ``p`` is the least value whose cumulative count reaches
    ``ceil(p * n)`` (the ``percentile_disc`` definition).
 
-All of it is one lazy plan; the histogram exchange is reused by Catalyst.
+The histogram (one row per distinct value) is checkpointed once; the rest
+reads it, never the input again.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+from ..session import ensure_checkpoint_dir
+
+DEFAULT_BUCKETS = 64
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs, names,
@@ -31,14 +32,22 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs, names,
     v = F.col(col) if isinstance(col, str) else col
     hist = (df.select(v.cast("double").alias("v")).where(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+    # The histogram feeds four branches; a reliable checkpoint in the shared
+    # checkpoint folder computes it once and cuts the lineage to the input.
+    ensure_checkpoint_dir(df.sparkSession)
+    hist = hist.checkpoint(eager=True)
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = hist.agg(F.percentile_approx("v", cuts, 10000).alias("b"),
-                      F.sum("c").alias("total"))
-    hb = (hist.crossJoin(F.broadcast(bounds))   # exactly one row
-              .withColumn("bucket", F.size(F.filter("b", lambda x: x < F.col("v"))))
-              .drop("b"))
+    # One scalar subquery (a single row: the cut points and the row total);
+    # it is evaluated once and inlined, so no join attaches it.
+    stats = hist.agg(F.struct(F.percentile_approx("v", cuts, 10000).alias("b"),
+                              F.sum("c").alias("total")).alias("s")).scalar()
+    # Bind the subquery once per row; the comparisons read the bound column.
+    hs = hist.withColumns({"_b": stats.getField("b"), "total": stats.getField("total")})
+    bucket = sum((F.when(F.col("v") > F.element_at("_b", i), 1).otherwise(0) for i in range(1, buckets)),
+                 F.lit(0))
+    hb = hs.withColumn("bucket", bucket).drop("_b")
     per_bucket = hb.groupBy("bucket").agg(F.sum("c").alias("bc"))
-    # At most ``buckets`` rows: the global window below is bounded.
+    # At most ``buckets`` rows: the global window and the broadcast below are bounded.
     offsets = per_bucket.select(
         "bucket",
         F.coalesce(F.sum("bc").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
@@ -72,11 +81,11 @@ def outside_iqr(df: DataFrame, col: str, factor: float) -> DataFrame:
     The fences are scalar subqueries of the same plan: no join, no driver
     round trip.  Nulls are never flagged.
     """
-    b = iqr_bounds(df, col, factor)
-    lower = b.select("lower").scalar()
-    upper = b.select("upper").scalar()
+    fences = iqr_bounds(df, col, factor).select(F.struct("lower", "upper")).scalar()
     x = F.col(col)
-    return df.where((x < lower) | (x > upper))
+    flagged = df.withColumn("_fence", fences)
+    return (flagged.where((x < F.col("_fence.lower")) | (x > F.col("_fence.upper")))
+                   .drop("_fence"))
 
 
 def store_row_counts(c: DataFrame) -> DataFrame:
@@ -96,7 +105,3 @@ def price_outliers(c: DataFrame, factor: float) -> DataFrame:
 
 def price_quartiles(c: DataFrame) -> DataFrame:
     return quartiles(c, "price_num")
-
-
-def _ceil(x: float) -> int:
-    return int(math.ceil(x))
