@@ -302,12 +302,19 @@ def row_rules(c: DataFrame, profile: Profile) -> list:
     return rules
 
 
-def fused_row_findings(c: DataFrame, profile: Profile) -> DataFrame:
-    """All row rules in one scan -> distinct (check_id, severity, column, entity, value)."""
+def fused_row_findings(c: DataFrame, profile: Profile, extra_keys=()) -> DataFrame:
+    """All row rules in one scan -> distinct (check_id, severity, column, entity, value).
+
+    ``extra_keys`` are columns of ``c`` kept in the finding key (e.g. the
+    source file of a streamed snapshot).
+    """
     rules = row_rules(c, profile)
+    keys = list(extra_keys)
     if not rules:
         return c.sparkSession.createDataFrame(
-            [], "check_id string, severity string, column_name string, entity_id string, value string")
+            [], ", ".join([f"{k} string" for k in keys] + [
+                "check_id string", "severity string", "column_name string", "entity_id string",
+                "value string", "detail string"]))
     sid = F.col("sid")
     hits = []
     for r in rules:
@@ -317,8 +324,8 @@ def fused_row_findings(c: DataFrame, profile: Profile) -> DataFrame:
         hits.append(F.when(cond, F.struct(
             F.lit(r.check_id).alias("check_id"), F.lit(r.severity).alias("severity"),
             F.lit(r.column_name).alias("column_name"), r.value.alias("value"))))
-    exploded = c.select(sid.alias("entity_id"),
+    exploded = c.select(*keys, sid.alias("entity_id"),
                         F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("f"))
-    return (exploded.select("f.check_id", "f.severity", "f.column_name", "entity_id", "f.value")
+    return (exploded.select(*keys, "f.check_id", "f.severity", "f.column_name", "entity_id", "f.value")
                     .distinct()
                     .withColumn("detail", F.lit(None).cast("string")))
