@@ -97,7 +97,11 @@ def _docs_text(s, d):
     return fx.documents(s, d, columns=("text",))
 
 
-LISTING_COLUMN_COUNT = 21   # columns of a listing snapshot (the view without ``yr``)
+def listing_column_count(spark: SparkSession, sf_dir: str) -> int:
+    """Columns of a raw listing snapshot (schema only, no job)."""
+    return len(fx.current_listing(spark, sf_dir).columns)
+
+
 PRICE_KEYS_WITH_ID = ("store_id", "product_id")
 PRICE_KEYS_WITHOUT_ID = ("store_id", "category", "product", "type", "subtype_size", "addition")
 
@@ -108,7 +112,7 @@ def _price_change(keys):
 
 
 GROUP_QUERIES: dict[str, Query] = {
-    "snapshot_counts": lambda s, d: gr.snapshot_counts(*cur_prev_dedup(s, d), LISTING_COLUMN_COUNT),
+    "snapshot_counts": lambda s, d: gr.snapshot_counts(*cur_prev_dedup(s, d), listing_column_count(s, d)),
     "size_change_pct": lambda s, d: gr.size_change_pct(*cur_prev_dedup(s, d)),
     "count_margin": lambda s, d: gr.count_margin(*cur_prev(s, d), LISTING.count_margin_pct),
     "feed_id_counts": lambda s, d: gr.feed_id_counts(*cur_prev(s, d), "tmad_id"),

@@ -140,7 +140,7 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     if profile.date_col and _have(c, profile.date_col):
         f.append(_f(gr.scrape_dates(c, profile.date_col), "scrape_dates", value="date_extracted"))
 
-    return SuiteResult(union_all(f, spark), union_all(m, spark, METRICS_SCHEMA))
+    return SuiteResult(union_all(f, spark), union_all(m, spark, METRICS_SCHEMA)), c, p
 
 
 def listing_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
@@ -157,18 +157,16 @@ def listing_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
                           entity="store_id", value="category"))
         return out
 
-    return _two_snapshot_suite(cur, prev, profile, materialize, "competitor_check", extra)
+    return _two_snapshot_suite(cur, prev, profile, materialize, "competitor_check", extra)[0]
 
 
 def review_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
                  materialize: bool = True) -> SuiteResult:
     """M2: the store-review suite; a retailer mismatch adds per-retailer counts."""
-    res = _two_snapshot_suite(cur, prev, profile, materialize, "retailer_check", lambda c, p: [])
+    res, c, p = _two_snapshot_suite(cur, prev, profile, materialize, "retailer_check", lambda c, p: [])
     col = profile.group_col
-    if prev is None or not col or col not in cur.columns:
+    if p is None or not col or col not in c.columns:
         return res
-    c = clean_snapshot(cur.dropDuplicates() if profile.dedupe_current else cur, profile)
-    p = clean_snapshot(prev, profile)
     gc = gr.group_counts(c, p, col)
     rows = metric_rows(gc, "retailer_counts", F.concat(F.col(col), F.lit("_rows")),
                        current="current_rows", previous="previous_rows")

@@ -41,15 +41,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as it is.  Only when it is unset (local tests) a scratch folder is made.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc_dir = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:          # Spark Connect: the server owns checkpointing
+        sc = None
+    sc_dir = sc.getCheckpointDir() if sc is not None else None
     if conf_dir:
-        if not sc_dir:
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc is not None and not sc_dir:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
     if sc_dir:
-        spark.conf.set("spark.checkpoint.dir", sc_dir)
         return sc_dir
     path = tempfile.mkdtemp(prefix="driftwatch-ckpt-", dir=os.environ.get("DRIFTWATCH_SCRATCH"))
-    spark.sparkContext.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:          # core conf locked at runtime: the context setting suffices
+        pass
     return path
