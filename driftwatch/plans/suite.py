@@ -97,6 +97,10 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     if profile.box is not None:
         required += ["latitude", "longitude", profile.zip_col]
     f.append(_missing(spark, c, [x for x in required if x]))
+    if profile.box is None:
+        # Unknown country: coordinate and postal-code rules are skipped, once.
+        f.append(plan_findings(spark, [("unknown_country", SEVERITY["unknown_country"], "country",
+                                        None, profile.country, "coordinate and postal rules skipped")]))
 
     # Consistency of the competitor / retailer column.
     col = profile.consistency_col

@@ -224,6 +224,7 @@ LISTING_EXTRA_ALIASES = {
 # Severity of each check's findings.
 SEVERITY = {
     "missing_column": "warning",
+    "unknown_country": "warning",
     "duplicate_rows": "warning",
     "competitor_check": "error",
     "retailer_check": "error",

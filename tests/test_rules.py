@@ -196,3 +196,10 @@ def test_review_suite_runs_with_missing_columns(spark):
     res = su.review_suite(df, df, REVIEW, materialize=False)
     miss = {r["column_name"] for r in res.findings.where(F.col("check_id") == "missing_column").collect()}
     assert "latitude" in miss and "store_id" not in miss
+
+
+def test_unknown_country_skips_geo_rules(spark):                   # D4, S26
+    rows = [row(lat="99", zip_code="bad")]
+    res = su.listing_suite(snap(spark, rows), None, LISTING.with_country("Mars"), materialize=False)
+    ids = {r["check_id"] for r in res.findings.collect()}
+    assert "unknown_country" in ids and "invalid_latitude" not in ids and "invalid_zip" not in ids
