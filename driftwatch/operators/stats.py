@@ -67,21 +67,21 @@ def quartiles(df: DataFrame, col: str | Column) -> DataFrame:
     return exact_quantiles(df, col, (0.25, 0.75), ("q1", "q3"))
 
 
-def iqr_bounds(df: DataFrame, col: str | Column, factor: float) -> DataFrame:
-    """One row (lower, upper) = (q1 - f*IQR, q3 + f*IQR)."""
-    q = quartiles(df, col)
+def iqr_bounds(df: DataFrame, col: str | Column, factor: float, q: DataFrame | None = None) -> DataFrame:
+    """One row (lower, upper) = (q1 - f*IQR, q3 + f*IQR); ``q`` reuses known quartiles."""
+    q = quartiles(df, col) if q is None else q
     iqr = F.col("q3") - F.col("q1")
     return q.select((F.col("q1") - factor * iqr).alias("lower"),
                     (F.col("q3") + factor * iqr).alias("upper"))
 
 
-def outside_iqr(df: DataFrame, col: str, factor: float) -> DataFrame:
+def outside_iqr(df: DataFrame, col: str, factor: float, q: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` whose ``col`` is strictly outside the IQR fences.
 
     The fences are scalar subqueries of the same plan: no join, no driver
     round trip.  Nulls are never flagged.
     """
-    fences = iqr_bounds(df, col, factor).select(F.struct("lower", "upper")).scalar()
+    fences = iqr_bounds(df, col, factor, q).select(F.struct("lower", "upper")).scalar()
     x = F.col(col)
     flagged = df.withColumn("_fence", fences)
     return (flagged.where((x < F.col("_fence.lower")) | (x > F.col("_fence.upper")))
@@ -98,9 +98,9 @@ def store_count_outliers(c: DataFrame, factor: float) -> DataFrame:
     return outside_iqr(store_row_counts(c), "n", factor)
 
 
-def price_outliers(c: DataFrame, factor: float) -> DataFrame:
+def price_outliers(c: DataFrame, factor: float, q: DataFrame | None = None) -> DataFrame:
     """(store, price) rows whose price is outside the IQR fences."""
-    return outside_iqr(c, "price_num", factor).select(F.col("sid").alias("store_id"), "price_num")
+    return outside_iqr(c, "price_num", factor, q).select(F.col("sid").alias("store_id"), "price_num")
 
 
 def price_quartiles(c: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
         m.append(metric_rows(q, "price_quartiles", "q1", measured="q1"))
         m.append(metric_rows(q, "price_quartiles", "q3", measured="q3"))
         m.append(metric_rows(gr.top_values(c, "price_num", 5), "top_prices", "price", measured="price_num"))
-        f.append(_f(st.price_outliers(c, profile.iqr_factor), "price_outliers",
+        f.append(_f(st.price_outliers(c, profile.iqr_factor, q), "price_outliers",
                     entity="store_id", value="price_num"))
         f.append(_f(rr.long_price(c, profile.price_col), "long_price", column_name=profile.price_col, value="price"))
         f.append(_f(rr.price_dollar_sign(c, profile.price_col), "price_dollar_sign",

@@ -27,9 +27,10 @@ def local_session(cores: int | str = "*", app: str = "driftwatch", **conf) -> Sp
         .config("spark.driver.memory", "8g")
         # Wide rule projections generate methods just over HotSpot's 8000-byte
         # JIT limit; let the JIT compile them (on a cluster: executor options).
-        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
-        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     )
+    if os.environ.get("DRIFTWATCH_JIT_HUGE", "1") != "0":
+        builder = (builder.config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+                          .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods"))
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
