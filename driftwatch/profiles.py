@@ -225,6 +225,7 @@ LISTING_EXTRA_ALIASES = {
 SEVERITY = {
     "missing_column": "warning",
     "unknown_country": "warning",
+    "header_collision": "warning",
     "duplicate_rows": "warning",
     "competitor_check": "error",
     "retailer_check": "error",

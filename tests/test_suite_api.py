@@ -72,3 +72,18 @@ def test_standardize_headers_as_data(spark):
     got = [tuple(r) for r in standardize_headers(df, "id", "text", LISTING).orderBy("position").collect()]
     assert got == [(1, 1, "Store ID", "store_id"), (1, 2, "ZIP", "zip_code"), (1, 3, "Price", "price"),
                    (1, 4, "Unknown", "Unknown")]
+
+
+def test_run_validation_paths(spark, tmpdir_path):
+    from driftwatch.plans.run import run_validation, validate_data
+
+    cur = os.path.join(tmpdir_path, "2025_08.txt")
+    prev = os.path.join(tmpdir_path, "2025_07.txt")
+    open(cur, "w").write("Store ID|Zip|Price|Competitor|Store ID Number\nS1|ABCDE|0|X|S1\nS2|02108|5|X|S2\n")
+    open(prev, "w").write("Store ID|Zip|Price|Competitor|Store ID Number\nS1|02108|5|X|S1\nS9|02108|5|X|S9\n")
+    out = run_validation(spark, cur, prev, "USA", os.path.join(tmpdir_path, "rep"), "FRG")
+    f = {(r["check_id"], r["entity_id"]) for r in spark.read.parquet(os.path.join(out, "findings")).collect()}
+    assert {("invalid_zip", "S1"), ("zero_price", "S1"), ("stores_not_in_current", "S9")} <= f
+    assert ("header_collision", None) in f
+    out1 = validate_data(spark, cur, os.path.join(tmpdir_path, "rep1"), "USA")
+    assert spark.read.text(os.path.join(out1, "report")).count() > 0
