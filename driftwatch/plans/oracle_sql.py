@@ -560,10 +560,13 @@ _STAT_SUITE_PARTS = [
     ("missing_column", _missing_rows(_STAT_REQUIRED, LISTING_COLUMNS)),
     ("date_month_mismatch", _b("date_month_mismatch")),
     ("scrape_dates", _b("scrape_dates")),
+    ("scrape_dates_previous", _b("scrape_dates").replace("from cur", "from prev")),
+    ("distinct_field_values", _b("distinct_field_values")),
     ("count_margin", f"select * from ({_b('count_margin')}) z where status = 'flag'"),
     ("store_count_outliers", _b("store_count_outliers")),
     ("price_outliers", _b("price_outliers")),
     ("long_price", _b("long_price")),
+    ("long_price_previous", _b("long_price").replace("from cur", "from prev")),
     ("price_dollar_sign", _b("price_dollar_sign")),
     ("price_comma", _b("price_comma")),
     ("zip_non_numeric", _b("zip_non_numeric")),

@@ -193,6 +193,11 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
         f.append(_f(d, "date_month_mismatch", column_name=profile.date_col,
                     value="date_extracted", detail="n"))
         f.append(_f(gr.scrape_dates(c, profile.date_col), "scrape_dates", value="date_extracted"))
+    if _have(p, profile.date_col):
+        f.append(_f(gr.scrape_dates(p, profile.date_col), "scrape_dates_previous", value="date_extracted"))
+    if _have(c, profile.consistency_col) and _have(p, profile.consistency_col):
+        f.append(_f(gr.distinct_field_values(c, p, [profile.consistency_col]), "distinct_field_values",
+                    column_name=F.col("field"), value="value", detail="snapshot"))
 
     cm = gr.count_margin(c, p, profile.count_margin_pct)
     f.append(_f(cm.where(F.col("status") == "flag"), "count_margin", value="pct"))
@@ -210,6 +215,9 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
         f.append(_f(st.price_outliers(c, profile.iqr_factor, q), "price_outliers",
                     entity="store_id", value="price_num"))
         f.append(_f(rr.long_price(c, profile.price_col), "long_price", column_name=profile.price_col, value="price"))
+        if _have(p, profile.price_col):
+            f.append(_f(rr.long_price(p, profile.price_col), "long_price_previous",
+                        column_name=profile.price_col, value="price"))
         f.append(_f(rr.price_dollar_sign(c, profile.price_col), "price_dollar_sign",
                     column_name=profile.price_col, value="price"))
         f.append(_f(rr.price_comma(c, profile.price_col), "price_comma",

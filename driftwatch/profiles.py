@@ -240,6 +240,9 @@ SEVERITY = {
     "stores_not_in_current": "warning",
     "categories_not_in_current": "warning",
     "scrape_dates": "info",
+    "scrape_dates_previous": "info",
+    "long_price_previous": "info",
+    "distinct_field_values": "info",
     "date_month_mismatch": "warning",
     "count_margin": "warning",
     "store_count_outliers": "warning",
