@@ -8,6 +8,8 @@ Headers are canonicalised through the profile's alias map in one rename.
 
 from __future__ import annotations
 
+import csv as pycsv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,29 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return row["d"] if row is not None else ","
 
 
+def header_names(spark: SparkSession, path: str, sep: str) -> list:
+    """Header fields of the first line, repeated names suffixed ``.1``, ``.2``…
+
+    Spark renames repeated header names by appending their position, which
+    would cost the first of them its alias; this keeps the first as is, as
+    pandas does.  Only the header line reaches the driver.
+    """
+    row = spark.read.text(path).limit(1).first()
+    if row is None:
+        return []
+    fields = next(pycsv.reader([row["value"]], delimiter=sep, quotechar='"'), [])
+    seen: dict = {}
+    out = []
+    for f in fields:
+        if f in seen:
+            seen[f] += 1
+            out.append(f"{f}.{seen[f]}")
+        else:
+            seen[f] = 0
+            out.append(f)
+    return out
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
                    multiline: bool = False, partitions: int | None = None) -> DataFrame:
     """A2-A4: all-string delimited scan, NA tokens -> null.
@@ -43,6 +68,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
                .option("multiLine", "true" if multiline else "false").csv(path))
     if multiline and partitions:
         df = df.repartition(partitions)
+    names = header_names(spark, path, sep)
+    if len(names) == len(df.columns) and len(set(names)) == len(names):
+        df = df.toDF(*names)
     return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 

@@ -52,3 +52,10 @@ def test_read_two_snapshots_current_delimiter(spark, tmpdir_path):
     prev = write(os.path.join(tmpdir_path, "prev.txt"), "Store ID|Price\nS1|6\n")
     c, p, coll = read_snapshots(spark, cur, prev, LISTING)
     assert c.columns == ["store_id", "price"] and p.collect()[0]["price"] == "6" and coll == []
+
+
+def test_repeated_header_keeps_first_alias(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "d.csv"), "Store ID|Zip|Store ID\nS1|1|S1b\n")
+    df, collisions = read_snapshot(spark, p, LISTING)
+    assert df.columns == ["store_id", "zip_code", "Store ID.1"] and collisions == []
+    assert df.first()["store_id"] == "S1"
