@@ -197,6 +197,32 @@ def distinct_field_values(cur: DataFrame, prev: DataFrame, fields) -> DataFrame:
     return out.distinct()
 
 
+def row_hash(cols) -> "F.Column":
+    """64-bit hash of a row's columns (collisions are resolved exactly downstream)."""
+    return F.xxhash64(*[F.col(c) for c in cols])
+
+
+def distinct_with_copies(df: DataFrame, cols, hash_col: str = "_h") -> DataFrame:
+    """Distinct rows of ``cols`` with ``_copies`` = how often each occurs.
+
+    Only row hashes are shuffled to find repeats (a few bytes per row, with
+    map-side combine).  Rows whose hash occurs once are unique as they are and
+    are never shuffled; rows whose hash repeats — true copies or hash
+    collisions — are grouped on all columns, so the result is exact.  The
+    candidate hashes are joined back by a plain equi-join: AQE broadcasts them
+    when their measured size is small and falls back to a shuffle join when
+    copies are many.
+    """
+    h = F.col(hash_col)
+    repeated = (df.groupBy(h).agg(F.count(F.lit(1)).alias("_n"))
+                  .where(F.col("_n") > 1).select(h, F.lit(True).alias("_rep")))
+    tagged = df.join(repeated, hash_col, "left")
+    single = tagged.where(F.col("_rep").isNull()).select(*cols, F.lit(1).cast("bigint").alias("_copies"))
+    multi = (tagged.where(F.col("_rep").isNotNull()).groupBy(*cols)
+                   .agg(F.count(F.lit(1)).alias("_copies")))
+    return single.unionByName(multi)
+
+
 def duplicate_row_groups(df: DataFrame) -> DataFrame:
     """full-row groups with copies; ``surplus`` = copies beyond the first."""
     cols = df.columns

@@ -67,19 +67,23 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     raw_cols = cur.columns
     f, m = [], []
 
-    # One aggregation over all columns gives both the duplicate groups and the
-    # de-duplicated current snapshot (map-side combine collapses copies first).
-    g = cur.groupBy(*raw_cols).agg(F.count(F.lit(1)).alias("_copies"))
-    g = _prepare(g, profile, "current", materialize)
+    # Land the cleaned snapshot with a row hash (one scan, no shuffle).  Only
+    # hashes are shuffled to find copies; only repeated rows are grouped on
+    # all columns.  This gives both the duplicate groups and the de-duplicated
+    # current snapshot.
+    raw = clean_snapshot(cur, profile).withColumn("_h", gr.row_hash(raw_cols))
+    raw = land(raw, "current") if materialize else raw
+    all_cols = [x for x in raw.columns if x != "_h"]
+    g = gr.distinct_with_copies(raw, all_cols)
     dup = g.where(F.col("_copies") > 1).select(*raw_cols, (F.col("_copies") - 1).alias("surplus"))
     f.append(_f(dup, "duplicate_rows", value="surplus"))
     m.append(metric_rows(dup.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("surplus")),
                          "duplicate_rows", "surplus_rows", measured="surplus"))
     if profile.dedupe_current:
         c = g.drop("_copies")
+        c = land(c, "current-distinct") if materialize else c
     else:
-        c = g.select("*", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_one")) \
-             .drop("_copies", "_one")
+        c = raw.drop("_h")
     p = None
     if prev is not None:
         pv = prev.dropDuplicates() if profile.dedupe_previous else prev
