@@ -223,11 +223,20 @@ def distinct_with_copies(df: DataFrame, cols, hash_col: str = "_h") -> DataFrame
     return single.unionByName(multi)
 
 
+def _with_copies(df: DataFrame) -> DataFrame:
+    cols = df.columns
+    return distinct_with_copies(df.withColumn("_h", row_hash(cols)), cols)
+
+
 def duplicate_row_groups(df: DataFrame) -> DataFrame:
-    """full-row groups with copies; ``surplus`` = copies beyond the first."""
+    """full-row groups with copies; ``surplus`` = copies beyond the first.
+
+    Hash-first (see ``distinct_with_copies``): long rows such as whole
+    documents are shuffled only when their hash repeats.
+    """
     cols = df.columns
-    return (df.groupBy(*cols).agg((F.count(F.lit(1)) - 1).alias("surplus"))
-              .where(F.col("surplus") > 0))
+    return (_with_copies(df).where(F.col("_copies") > 1)
+            .select(*cols, (F.col("_copies") - 1).alias("surplus")))
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
@@ -237,8 +246,8 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
-    """drop full-row duplicates."""
-    return df.dropDuplicates()
+    """drop full-row duplicates (hash-first, exact)."""
+    return _with_copies(df).drop("_copies")
 
 
 # --------------------------------------------------------------------------
