@@ -30,6 +30,7 @@ from ..profiles import (
     SEVERITY, DUPLICATE_LISTING_KEYS, DUPLICATE_PRODUCT_KEYS, STORE_METADATA_COLUMNS, TEXT_SYMBOL_FIELDS,
     UNIFORM_PRICE_KEYS, Profile,
 )
+from ..sources.csv import CORRUPT_COL
 from ..sources.landing import land
 from .findings import METRICS_SCHEMA, as_findings, metric_rows, plan_findings, union_all
 
@@ -96,6 +97,9 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     if profile.box is not None:
         required += ["latitude", "longitude", profile.zip_col]
     f.append(_missing(spark, c, [x for x in required if x]))
+    if CORRUPT_COL in c.columns:
+        f.append(_f(c.where(F.col(CORRUPT_COL).isNotNull()), "malformed_rows", entity="sid",
+                    value=CORRUPT_COL))
     if profile.box is None:
         # Unknown country: coordinate and postal-code rules are skipped, once.
         f.append(plan_findings(spark, [("unknown_country", SEVERITY["unknown_country"], "country",

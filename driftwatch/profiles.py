@@ -226,6 +226,7 @@ SEVERITY = {
     "missing_column": "warning",
     "unknown_country": "warning",
     "header_collision": "warning",
+    "malformed_rows": "error",
     "duplicate_rows": "warning",
     "competitor_check": "error",
     "retailer_check": "error",

@@ -12,6 +12,7 @@ import csv as pycsv
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import na_to_null
 from ..operators.schema import delimiter_of, standardize_columns
@@ -56,28 +57,47 @@ def header_names(spark: SparkSession, path: str, sep: str) -> list:
     return out
 
 
+CORRUPT_COL = "_corrupt_record"
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
-                   multiline: bool = False, partitions: int | None = None) -> DataFrame:
+                   multiline: bool = False, partitions: int | None = None,
+                   keep_malformed: bool = False) -> DataFrame:
     """A2-A4: all-string delimited scan, NA tokens -> null.
 
     ``multiLine`` makes a file unsplittable (one task per file), so it is
     opt-in and followed by a repartition when ``partitions`` is given.
+    ``keep_malformed`` reads in PERMISSIVE mode with a corrupt-record column
+    (``_corrupt_record``) holding the raw text of rows whose field count is
+    wrong, so they can be reported rather than silently padded with nulls.
     """
     sep = sep or detect_delimiter(spark, path)
-    df = (spark.read.options(**READ_OPTIONS).option("sep", sep)
-               .option("multiLine", "true" if multiline else "false").csv(path))
+    reader = (spark.read.options(**READ_OPTIONS).option("sep", sep)
+                   .option("multiLine", "true" if multiline else "false"))
+    names = header_names(spark, path, sep)
+    if keep_malformed and names and len(set(names)) == len(names):
+        schema = StructType([StructField(n, StringType(), True) for n in names]
+                            + [StructField(CORRUPT_COL, StringType(), True)])
+        df = (reader.schema(schema).option("enforceSchema", "true")
+                    .option("columnNameOfCorruptRecord", CORRUPT_COL).csv(path))
+    else:
+        df = reader.csv(path)
+        if len(names) == len(df.columns) and len(set(names)) == len(names):
+            df = df.toDF(*names)
     if multiline and partitions:
         df = df.repartition(partitions)
-    names = header_names(spark, path, sep)
-    if len(names) == len(df.columns) and len(set(names)) == len(names):
-        df = df.toDF(*names)
-    return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return df.select(*[(F.col(f"`{c}`") if c == CORRUPT_COL else na_to_null(F.col(f"`{c}`"))).alias(c)
+                       for c in df.columns])
 
 
 def read_snapshot(spark: SparkSession, path: str, profile: Profile, sep: str | None = None,
-                  multiline: bool = False):
+                  multiline: bool = False, keep_malformed: bool = False):
     """Read one snapshot and canonicalise its header: ``(df, collisions)``."""
-    return standardize_columns(read_delimited(spark, path, sep, multiline), profile)
+    df = read_delimited(spark, path, sep, multiline, keep_malformed=keep_malformed)
+    if CORRUPT_COL not in df.columns:
+        return standardize_columns(df, profile)
+    body, collisions = standardize_columns(df.drop(CORRUPT_COL), profile)
+    return df.toDF(*body.columns, CORRUPT_COL), collisions
 
 
 def read_snapshots(spark: SparkSession, current: str, previous: str, profile: Profile,

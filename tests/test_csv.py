@@ -59,3 +59,16 @@ def test_repeated_header_keeps_first_alias(spark, tmpdir_path):
     df, collisions = read_snapshot(spark, p, LISTING)
     assert df.columns == ["store_id", "zip_code", "Store ID.1"] and collisions == []
     assert df.first()["store_id"] == "S1"
+
+
+def test_malformed_rows_kept_and_reported(spark, tmpdir_path):
+    from driftwatch.plans.suite import listing_suite
+
+    p = write(os.path.join(tmpdir_path, "bad.csv"), "Store ID,Price,Zip Code\nS1,5,02108\nS2,6,02108,EXTRA\n")
+    df, _ = read_snapshot(spark, p, LISTING, keep_malformed=True)
+    rows = {r["store_id"]: r for r in df.collect()}
+    assert rows["S1"]["_corrupt_record"] is None
+    assert rows["S2"]["_corrupt_record"] == "S2,6,02108,EXTRA"
+    res = listing_suite(df, None, LISTING, materialize=False)
+    bad = [r for r in res.findings.collect() if r["check_id"] == "malformed_rows"]
+    assert [(r["entity_id"], r["value"]) for r in bad] == [("S2", "S2,6,02108,EXTRA")]
