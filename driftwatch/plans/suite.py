@@ -70,21 +70,17 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
 
     # Land the cleaned snapshot with a row hash (one scan, no shuffle).  Only
     # hashes are shuffled to find copies; only repeated rows are grouped on
-    # all columns.  This gives both the duplicate groups and the de-duplicated
-    # current snapshot.
+    # all columns.  The distinct rows with their copy counts are landed once
+    # and give both the duplicate groups and the de-duplicated snapshot.
     raw = clean_snapshot(cur, profile).withColumn("_h", gr.row_hash(raw_cols))
     raw = land(raw, "current") if materialize else raw
-    all_cols = [x for x in raw.columns if x != "_h"]
-    g = gr.distinct_with_copies(raw, all_cols)
+    g = gr.distinct_with_copies(raw, [x for x in raw.columns if x != "_h"])
+    g = land(g, "current-distinct") if materialize else g
     dup = g.where(F.col("_copies") > 1).select(*raw_cols, (F.col("_copies") - 1).alias("surplus"))
     f.append(_f(dup, "duplicate_rows", value="surplus"))
     m.append(metric_rows(dup.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("surplus")),
                          "duplicate_rows", "surplus_rows", measured="surplus"))
-    if profile.dedupe_current:
-        c = g.drop("_copies")
-        c = land(c, "current-distinct") if materialize else c
-    else:
-        c = raw.drop("_h")
+    c = g.drop("_copies") if profile.dedupe_current else raw.drop("_h")
     p = None
     if prev is not None:
         pv = prev.dropDuplicates() if profile.dedupe_previous else prev
