@@ -28,3 +28,14 @@ def test_fused_row_pass_is_one_scan(spark):
     c = clean_snapshot(fx.current_listing(spark, SF), LISTING)
     p = plan(rr.fused_row_findings(c, LISTING))
     assert p.count("lineitem.parquet") == 1
+
+
+def test_landing_uses_configured_checkpoint_dir(spark):
+    from driftwatch.session import ensure_checkpoint_dir
+    from driftwatch.sources.landing import land
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert ensure_checkpoint_dir(spark) == base
+    landed = land(spark.range(10), "probe")
+    assert all(f.startswith("file:" + base) or f.startswith(base) for f in landed.inputFiles())
+    assert landed.count() == 10
