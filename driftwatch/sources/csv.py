@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import na_to_null
-from ..operators.schema import delimiter_of, standardize_columns
+from ..operators.schema import standardize_columns
 from ..profiles import Profile
 
 READ_OPTIONS = {
@@ -27,24 +27,40 @@ READ_OPTIONS = {
 }
 
 
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of ``path`` (one line reaches the driver)."""
+    row = spark.read.text(path).limit(1).first()
+    return None if row is None else row["value"]
+
+
+def delimiter_from_line(line: str | None) -> str:
+    """A1 on one line held by the driver: ``|`` wins over tab wins over comma.
+
+    The same rule as ``operators.schema.delimiter_of``, which applies it to a
+    column of lines.
+    """
+    if line and "|" in line:
+        return "|"
+    if line and "\t" in line:
+        return "\t"
+    return ","
+
+
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """A1: delimiter of the first line of ``path`` (one line reaches the driver)."""
-    row = (spark.read.text(path).limit(1)
-                .select(delimiter_of(F.col("value")).alias("d")).first())
-    return row["d"] if row is not None else ","
+    """A1: delimiter of the first line of ``path``."""
+    return delimiter_from_line(first_line(spark, path))
 
 
-def header_names(spark: SparkSession, path: str, sep: str) -> list:
-    """Header fields of the first line, repeated names suffixed ``.1``, ``.2``…
+def header_names(line: str | None, sep: str) -> list:
+    """Header fields of a header line, repeated names suffixed ``.1``, ``.2``…
 
     Spark renames repeated header names by appending their position, which
     would cost the first of them its alias; this keeps the first as is, as
-    pandas does.  Only the header line reaches the driver.
+    pandas does.
     """
-    row = spark.read.text(path).limit(1).first()
-    if row is None:
+    if line is None:
         return []
-    fields = next(pycsv.reader([row["value"]], delimiter=sep, quotechar='"'), [])
+    fields = next(pycsv.reader([line], delimiter=sep, quotechar='"'), [])
     seen: dict = {}
     out = []
     for f in fields:
@@ -71,10 +87,11 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
     (``_corrupt_record``) holding the raw text of rows whose field count is
     wrong, so they can be reported rather than silently padded with nulls.
     """
-    sep = sep or detect_delimiter(spark, path)
+    line = first_line(spark, path)
+    sep = sep or delimiter_from_line(line)
     reader = (spark.read.options(**READ_OPTIONS).option("sep", sep)
                    .option("multiLine", "true" if multiline else "false"))
-    names = header_names(spark, path, sep)
+    names = header_names(line, sep)
     if keep_malformed and names and len(set(names)) == len(names):
         schema = StructType([StructField(n, StringType(), True) for n in names]
                             + [StructField(CORRUPT_COL, StringType(), True)])

@@ -72,3 +72,15 @@ def test_malformed_rows_kept_and_reported(spark, tmpdir_path):
     res = listing_suite(df, None, LISTING, materialize=False)
     bad = [r for r in res.findings.collect() if r["check_id"] == "malformed_rows"]
     assert [(r["entity_id"], r["value"]) for r in bad] == [("S2", "S2,6,02108,EXTRA")]
+
+
+def test_delimiter_rule_same_on_driver_and_column(spark):
+    from pyspark.sql import functions as F
+
+    from driftwatch.operators.schema import delimiter_of
+    from driftwatch.sources.csv import delimiter_from_line
+
+    lines = ["a|b,c", "a\tb,c", "a,b", "", "plain", "x\t|y"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    col = [r[0] for r in df.select(delimiter_of(F.col("line"))).collect()]
+    assert col == [delimiter_from_line(x) for x in lines]
