@@ -117,6 +117,8 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
                              measured="row_count"))
         m.append(metric_rows(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_stores")),
                              measured="store_count"))
+        m.append(metric_rows(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_columns")),
+                             measured="column_count"))
         m.append(metric_rows(gr.size_change_pct(c, p), "size_change_pct", "pct",
                              current="current_count", previous="previous_count", measured="pct",
                              status="status"))

@@ -87,3 +87,11 @@ def test_run_validation_paths(spark, tmpdir_path):
     assert ("header_collision", None) in f
     out1 = validate_data(spark, cur, os.path.join(tmpdir_path, "rep1"), "USA")
     assert spark.read.text(os.path.join(out1, "report")).count() > 0
+
+
+def test_snapshot_shape_metrics(spark):
+    rows = [row(), row(), row(sid="S2")]
+    res = su.listing_suite(snap(spark, rows), snap(spark, rows[:1]), LISTING, materialize=False)
+    m = {r["metric"]: r["measured"] for r in res.metrics.where("check_id = 'snapshot_counts'").collect()}
+    assert m["current_rows"] == 2.0 and m["previous_rows"] == 1.0          # current de-duplicated
+    assert m["current_columns"] == 18.0 and m["current_stores"] == 2.0
