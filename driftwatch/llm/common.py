@@ -12,6 +12,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -47,6 +48,16 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark's cleaner removes them from the executors' disks once the driver's JVM has
+    collected the plans; a job of many passes asks for that between them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_landed(df: DataFrame) -> None:
     """Delete the files of a landed table once nothing reads it any more."""
     spark = df.sparkSession

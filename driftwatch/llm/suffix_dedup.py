@@ -17,14 +17,18 @@ repeated from end to end.  What is left, the first of each stretch with a shared
 
 Pass 2 compares those by the ``HALF`` bytes on either side of the gram: a window has that many on one
 side, so only windows with a partner on that side go on.  Pass 3 compares the
-whole windows by a 128-bit hash; all but the earliest of each group are repeated.  A
-task's first and last stretches always go on to pass 2, so no neighbour is missed at a
-border between tasks.
+whole windows by a 128-bit hash; all but the earliest of each group are repeated.  Each task
+of pass 3 first settles what repeats within a batch, so that of a window that very many
+documents share only one row a batch is moved.  A task's first and last stretches in pass 1 always
+go on to pass 2, so no neighbour is missed at a border between tasks.
 
 Texts are read as UTF-8 and matches never cross documents; the earliest copy (smaller
 doc_id, then smaller start) stays.  Repeats are judged on the input, and overlaps count.
 Grams and stretches are compared by 64-bit hashes each (128 bits together), windows by 128 bits.
 
+A row holds its place packed into one number, ``x``: start, length and gram of the stretch, and 16
+bits of a hash of the text that tell rows with one doc_id apart.
+
 Defined results: null counts as empty; texts below ``LENGTH`` bytes keep all; equal
 rows (doc_id and text) are one document and get equal results; an empty table gives no rows;
 extra columns are ignored; a text of any length is handled whole, in blocks that
@@ -37,12 +41,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, land, shuffle_partitions
+from .common import LEAST_ID, drop_landed, id_key, land, release, shuffle_partitions
 
 LENGTH = 100
 GRAM = 24
@@ -102,175 +106,246 @@ def stretches(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield g[place[first]], place[first] + at, first + at, last + at
 
 
-def _texts(batches, fields):
-    for b in batches:
-        cols = [b.column(f) for f in fields]
-        for k in range(b.num_rows):
-            yield (*(c[k].as_py() for c in cols[:-1]), (cols[-1][k].as_py() or "").encode())
+def pack(lo, hi, p, u):
+    """Stretch of windows lo..hi (at most 127 apart) that select the gram at p, in text u."""
+    return lo << 30 | (hi - lo) << 23 | (p - lo) << 16 | u
+
+
+def unpack(x):
+    lo = x >> 30
+    return lo, lo + (x >> 23 & 127), lo + (x >> 16 & 127), x & 0xFFFF
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(id_key().cast("bigint").alias("d"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("u"), "text")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """d, u, text with equal rows once; the texts are only shuffled if there are such rows."""
+    keyed = _keyed(docs)
+    if keyed.groupBy("d", "u").count().where("count > 1").limit(1).count():
+        return keyed.dropDuplicates(["d", "u"])
+    return keyed
+
 
+def _utf8(column: pa.Array) -> Iterator[bytes]:
+    return ((t.as_py() or "").encode() for t in column)
 
-def digit_rows(docs: DataFrame) -> DataFrame:
-    """Pass 1's rows: g, c (stretch hash), d, u, lo, hi (first and last window), p (gram)."""
-    schema = pa.schema([(c, pa.int64()) for c in ("g", "c", "d", "u")] + [(c, pa.int32()) for c in ("lo", "hi", "p")])
+
+def digit_rows(texts: DataFrame) -> DataFrame:
+    """Pass 1's rows: g, c (stretch hash), d, x."""
+    schema = pa.schema([(c, pa.int64()) for c in "gcdx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         held, size = [], 0
         def flush():
-            return pa.record_batch([pa.array(np.concatenate([h[k] for h in held])) for k in range(7)], schema=schema)
+            return pa.record_batch([pa.array(np.concatenate([h[k] for h in held])) for k in range(4)], schema=schema)
 
-        for d, u, raw in _texts(batches, ("d", "u", "text")):
-            if len(raw) < LENGTH:
-                continue
-            for g, p, lo, hi in stretches(np.frombuffer(raw, dtype=np.uint8)):
-                c = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in zip(lo.tolist(), (hi + LENGTH).tolist())),
-                                dtype=np.uint64, count=len(lo))
-                held.append((g.view(np.int64), c.view(np.int64), np.full(len(g), d), np.full(len(g), u),
-                             lo.astype(np.int32), hi.astype(np.int32), p.astype(np.int32)))
-                size += len(g)
-            if size > 200_000:
-                yield flush()
-                held, size = [], 0
+        for b in batches:
+            for d, u, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _utf8(b.column(2))):
+                if len(raw) < LENGTH:
+                    continue
+                for g, p, lo, hi in stretches(np.frombuffer(raw, dtype=np.uint8)):
+                    c = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in zip(lo.tolist(), (hi + LENGTH).tolist())),
+                                    dtype=np.uint64, count=len(lo))
+                    held.append((g.view(np.int64), c.view(np.int64), np.full(len(g), d), pack(lo, hi, p, u)))
+                    size += len(g)
+                if size > 200_000:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
-    return _keyed(docs).mapInArrow(run, "g bigint, c bigint, d bigint, u bigint, lo int, hi int, p int")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(id_key().alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u"), "text")
+    return texts.select("d", "u", "text").mapInArrow(run, "g bigint, c bigint, d bigint, x bigint")
 
 
 def pass_one(rows: DataFrame) -> DataFrame:
     """Of sorted digit rows, those not alone: whole = repeated from end to end, else to go on."""
-    order = ["g", "c", "d", "u", "lo"]
+    order = ["g", "c", "d", "x"]
     sorted_rows = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None                               # the batch before, until its end is known
-
         def judged(b, before, after):
             g, c = (b.column(k).to_numpy() for k in (0, 1))
-            # before/after: (g, c) beyond the batch; None at the task's border counts as equal gram
-            same_g = np.empty(len(g) + 1, bool)
-            same_g[1:-1] = g[1:] == g[:-1]
-            same_g[0] = before is None or before[0] == g[0]
-            same_g[-1] = after is None or after[0] == g[-1]
-            # at the task's first row nothing is known to be earlier
+            # before and after are the rows beyond the batch; none at a task's border, where a neighbour is assumed
+            same = np.empty(len(g) + 1, bool)
+            same[1:-1] = g[1:] == g[:-1]
+            same[0] = before is None or before[0] == g[0]
+            same[-1] = after is None or after[0] == g[-1]
+            # nothing is known to be earlier than a task's first row
             whole = np.empty(len(g), bool)
-            whole[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
+            whole[1:] = same[1:-1] & (c[1:] == c[:-1])
             whole[0] = before is not None and before == (g[0], c[0])
-            shared = same_g[:-1] | same_g[1:]
-            # the first of a stretch that meets only its own copies is alone in pass 2, which drops it
-            kept = np.flatnonzero(whole | shared)
-            return pa.record_batch([b.column(k).take(pa.array(kept)) for k in (2, 3, 4, 5, 6)] + [pa.array(whole[kept])],
-                                   names=["d", "u", "lo", "hi", "p", "whole"])
+            kept = np.flatnonzero(same[:-1] | same[1:])
+            return pa.record_batch([b.column(2).take(pa.array(kept)), b.column(3).take(pa.array(kept)), pa.array(whole[kept])],
+                                   names=["d", "x", "whole"])
 
-        def end(b, k):
+        def at(b, k):
             return b.column(0)[k].as_py(), b.column(1)[k].as_py()
 
-        before = None
+        last = before = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            if last is not None:
-                yield judged(last, before, end(b, 0))
-                before = end(last, last.num_rows - 1)
-            last = b
+            if b.num_rows:
+                if last is not None:
+                    yield judged(last, before, at(b, 0))
+                    before = at(last, last.num_rows - 1)
+                last = b
         if last is not None:
             yield judged(last, before, None)
 
-    return sorted_rows.select("g", "c", "d", "u", "lo", "hi", "p").mapInArrow(
-        run, "d bigint, u bigint, lo int, hi int, p int, whole boolean")
-
+    return sorted_rows.select("g", "c", "d", "x").mapInArrow(run, "d bigint, x bigint, whole boolean")
 
-def _per_doc(df: DataFrame, cols: list[str], name: str) -> DataFrame:
-    """Rows of a document gathered into arrays (their number is bounded by the text's length)."""
-    return df.groupBy("d", "u").agg(F.collect_list(F.struct(*cols)).alias(name)).select(
-        "d", "u", *[F.col(f"{name}.{c}").alias(c) for c in cols])
 
+def _with_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """d, u, xs, text: a document's places in an array (their number is bounded by its text's length)."""
+    mine = (places.groupBy("d", F.col("x").bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("u"))
+            .agg(F.collect_list("x").alias("xs")))
+    return packed(texts, ["d", "u"]).join(mine, ["d", "u"]).select("d", "u", "xs", "z")
 
-def half_digits(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """Pass 2's rows: h (hash of gram and one side), d, u, lo, hi (the windows with that side)."""
-    mine = _per_doc(left, ["lo", "hi", "p"], "s")
 
+def packed(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` (longs) and z, the text compressed, as it moves through a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
+        import zstandard
 
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            out = []
-            for d, u, lo, hi, p, raw in _texts([b], ("d", "u", "lo", "hi", "p", "text")):
-                for i, j, g in zip(lo, hi, p):
-                    # windows up to g - HALF have HALF bytes before the gram, the others after it
-                    if i <= g - HALF:
-                        h = xxh3_128_intdigest(raw[g - HALF:g + GRAM])
-                        out.append((h >> 64, h & _LOW, 0, d, u, i, min(j, g - HALF)))
-                    if j > g - HALF:
-                        h = xxh3_128_intdigest(raw[g:g + GRAM + HALF])
-                        out.append((h >> 64, h & _LOW, 1, d, u, max(i, g - HALF + 1), j))
-            yield _signed(out, ["h1", "h2"], ["side", "d", "u", "lo", "hi"])
+            yield pa.record_batch([*b.columns[:-1], pa.array([squeeze(t) for t in _utf8(b.columns[-1])], pa.binary())],
+                                  names=[*keys, "z"])
 
-    return (_keyed(docs).join(mine, ["d", "u"]).select("d", "u", "lo", "hi", "p", "text")
-            .mapInArrow(run, "h1 bigint, h2 bigint, side bigint, d bigint, u bigint, lo bigint, hi bigint"))
+    return texts.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} bigint" for k in keys) + ", z binary")
 
 
-_LOW = (1 << 64) - 1
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    import zstandard
 
+    expand = zstandard.ZstdDecompressor().decompress
+    return (expand(z.as_py()) for z in column)
 
-def _signed(rows: list[tuple], hashes: list[str], others: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * (len(hashes) + len(others))
-    arrays = [pa.array(np.asarray(c, dtype=np.uint64).view(np.int64)) for c in cols[:len(hashes)]]
-    arrays += [pa.array(np.asarray(c, dtype=np.int64)) for c in cols[len(hashes):]]
-    return pa.record_batch(arrays, names=[*hashes, *others])
 
+def _hashes(values: list[int]) -> list[pa.Array]:
+    """Two columns of 128-bit hashes."""
+    raw = b"".join(v.to_bytes(16, "little") for v in values)
+    both = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
 
-def windows(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """Pass 3's rows: h1, h2 (hash of a window), d, u, s (its start)."""
-    mine = _per_doc(left, ["lo", "hi"], "s")
 
+def half_digits(texts: DataFrame, left: DataFrame) -> DataFrame:
+    """Pass 2's rows: h1, h2 (hash of gram and one side), d, x (the windows with that side)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
         for b in batches:
-            out = []
-            for d, u, lo, hi, raw in _texts([b], ("d", "u", "lo", "hi", "text")):
-                for i, j in zip(lo, hi):
-                    for s in range(i, j + 1):
-                        h = xxh3_128_intdigest(raw[s:s + LENGTH])
-                        out.append((h >> 64, h & _LOW, d, u, s))
-                if len(out) > 200_000:
-                    yield _signed(out, ["h1", "h2"], ["d", "u", "s"])
-                    out = []
-            yield _signed(out, ["h1", "h2"], ["d", "u", "s"])
+            hs, ds, out = [], [], []
+            for d, u, xs, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), unpacked(b.column(3))):
+                for x in xs:
+                    lo, hi, p, _ = unpack(x)
+                    # windows up to p - HALF have HALF bytes before the gram, the others after it
+                    if lo <= p - HALF:
+                        hs.append(xxh3_128_intdigest(raw[p - HALF:p + GRAM], 1))
+                        out.append(pack(lo, min(hi, p - HALF), p, u))
+                        ds.append(d)
+                    if hi > p - HALF:
+                        hs.append(xxh3_128_intdigest(raw[p:p + GRAM + HALF], 2))
+                        out.append(pack(max(lo, p - HALF + 1), hi, p, u))
+                        ds.append(d)
+            yield pa.record_batch([*_hashes(hs), pa.array(ds, pa.int64()), pa.array(out, pa.int64())], names=["h1", "h2", "d", "x"])
+
+    return _with_texts(texts, left).mapInArrow(run, "h1 bigint, h2 bigint, d bigint, x bigint")
+
+
+def windows(texts: DataFrame, left: DataFrame) -> DataFrame:
+    """Pass 3's rows: h1, h2 (hash of a window), d, x (the window), and whether it is already known
+    to repeat an earlier one of the batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        def settled(held):
+            raw = np.frombuffer(b"".join(h for h, _, _ in held), dtype=np.int64).reshape(-1, 2)
+            ds = np.concatenate([np.full(len(x), d) for _, d, x in held])
+            xs = np.concatenate([x for _, _, x in held])
+            order = np.lexsort((xs, ds, raw[:, 1], raw[:, 0]))
+            raw, ds, xs = raw[order], ds[order], xs[order]
+            known = np.concatenate([[False], (raw[1:] == raw[:-1]).all(axis=1)])
+            # known repeats go on as stretches: nothing needs to meet them, so they may go to any task
+            kd, ku, ks = ds[known], xs[known] & 0xFFFF, xs[known] >> 30
+            order = np.lexsort((ks, ku, kd))
+            kd, ku, ks = kd[order], ku[order], ks[order]
+            new = np.ones(len(kd), bool)
+            new[1:] = (kd[1:] != kd[:-1]) | (ku[1:] != ku[:-1]) | (ks[1:] != ks[:-1] + 1) | (ks[1:] % 100 == 0)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(kd))[:len(first)] - 1
+            kx = pack(ks[first], ks[last], ks[first], ku[first])
+            fresh = ~known
+            cols = [np.concatenate(c) for c in ((raw[fresh, 0], kx), (raw[fresh, 1], kd[first]), (ds[fresh], kd[first]),
+                                                (xs[fresh], kx))]
+            flag = np.repeat([False, True], [int(fresh.sum()), len(first)])
+            return pa.record_batch([*map(pa.array, cols), pa.array(flag)], names=["h1", "h2", "d", "x", "known"])
+
+        held, size = [], 0
+        for b in batches:
+            for d, u, xs, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), unpacked(b.column(3))):
+                starts = [s for x in xs for s in range(unpack(x)[0], unpack(x)[1] + 1)]
+                held.append((b"".join([xxh3_128_digest(raw[s:s + LENGTH]) for s in starts]), d,
+                             np.asarray(starts, dtype=np.int64) << 30 | u))
+                size += len(starts)
+                if size > 500_000:
+                    yield settled(held)
+                    held, size = [], 0
+        if held:
+            yield settled(held)
+
+    return _with_texts(texts, left).mapInArrow(run, "h1 bigint, h2 bigint, d bigint, x bigint, known boolean")
+
+
+def pass_three(wins: DataFrame) -> DataFrame:
+    """d, x of the windows that repeat an earlier one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            known = b.column(4).to_numpy(zero_copy_only=False)
+            h1, h2 = (b.column(k).to_numpy() for k in (0, 1))
+            same = np.empty(len(h1), bool)
+            same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]) & ~known[:-1]
+            same[0] = before == (h1[0], h2[0])
+            # known repeats sort behind the windows proper
+            before = None if known[-1] else (h1[-1], h2[-1])
+            kept = pa.array(known | same)
+            yield pa.record_batch([b.column(2).filter(kept), b.column(3).filter(kept)], names=["d", "x"])
 
-    return (_keyed(docs).join(mine, ["d", "u"]).select("d", "u", "lo", "hi", "text")
-            .mapInArrow(run, "h1 bigint, h2 bigint, d bigint, u bigint, s bigint"))
+    parts = shuffle_partitions(wins.sparkSession)
+    return (wins.repartition(parts, "h1", "h2").sortWithinPartitions("known", "h1", "h2", "d", "x")
+            .select("h1", "h2", "d", "x", "known").mapInArrow(run, "d bigint, x bigint"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """d, u, lo, hi: first and last window of ranges of repeated windows."""
-    rows = land(digit_rows(docs), "digit-1")
+    """d, x of stretches of repeated windows."""
+    spark = docs.sparkSession
+    texts = distinct_documents(docs)
+    rows = land(digit_rows(texts), "digit-1")
     one = land(pass_one(rows), "pass-1")
-    left = one.where("not whole")
-    halves = land(half_digits(docs, left), "digit-2")
-    digit = ["h1", "h2", "side"]
-    # two different places: equal rows of the table are one place
-    shared = (halves.groupBy(*digit).agg(F.min(F.struct("d", "u", "lo", "hi")).alias("a"),
-                                         F.max(F.struct("d", "u", "lo", "hi")).alias("z")).where("a <> z").select(*digit))
-    two = halves.join(shared, digit, "left_semi").select("d", "u", "lo", "hi").distinct()
-    wins = land(windows(docs, two), "digit-3")
-    first = (wins.groupBy("h1", "h2").agg(F.min(F.struct("d", "u", "s")).alias("a"), F.max(F.struct("d", "u", "s")).alias("z"))
-             .where("a <> z").select("h1", "h2", "a"))
-    three = wins.join(first, ["h1", "h2"]).where(F.struct("d", "u", "s") != F.col("a")).select(
-        "d", "u", F.col("s").cast("int").alias("lo"), F.col("s").cast("int").alias("hi"))
-    return one.where("whole").select("d", "u", "lo", "hi").unionByName(three).distinct()
-
-
-def removed_runs(lo, hi) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by windows lo..hi (start, end)."""
-    if lo is None or not len(lo):
+    drop_landed(rows)
+    release(spark)
+    halves = land(half_digits(texts, one.where("not whole")), "digit-2")
+    shared = halves.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    two = land(halves.join(shared, ["h1", "h2"], "left_semi").select("d", "x").distinct(), "pass-2")
+    drop_landed(halves)
+    release(spark)
+    three = land(pass_three(windows(texts, two)), "pass-3")
+    release(spark)
+    return one.where("whole").select("d", "x").unionAll(three)
+
+
+def removed_runs(xs) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by the windows of the stretches xs (start, end)."""
+    if xs is None or not len(xs):
         return []
+    lo, hi, _, _ = unpack(np.asarray(xs, dtype=np.int64))
     order = np.argsort(lo)
     start = np.asarray(lo, dtype=np.int64)[order]
     end = np.maximum.accumulate(np.asarray(hi, dtype=np.int64)[order] + LENGTH)
@@ -291,24 +366,26 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def _per_text(docs: DataFrame, schema: str, row) -> DataFrame:
-    ranges = _per_doc(repeated_ranges(docs), ["lo", "hi"], "s")
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), id_key().alias("d"),
-                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("u"), "text")
+    ranges = (repeated_ranges(docs).groupBy("d", F.col("x").bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("u"))
+              .agg(F.collect_list("x").alias("xs")))
     names = ["doc_id", *[c.split()[0] for c in schema.split(", ")[1:]]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, lo, hi in zip(b["text"], b["lo"], b["hi"]):
-                raw = (text or "").encode()
-                runs = removed_runs(lo, hi)
+            for raw, xs in zip(unpacked(b.column(1)), b.column(2)):
+                runs = removed_runs(xs.values.to_numpy() if xs.is_valid else None)
                 parts, at = [], 0
                 for a, z in runs:
                     parts.append(raw[at:a])
                     at = z
                 rows.append(row(b"".join([*parts, raw[at:]]), len(raw), runs))
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield out[names]
-
-    return keyed.join(ranges, ["d", "u"], "left").select("doc_id", "text", "lo", "hi").mapInPandas(run, schema)
+            cols = list(zip(*rows)) if rows else [()] * (len(names) - 1)
+            ids = b.column(0)
+            ids = pc.if_else(pc.equal(ids, LEAST_ID), pa.scalar(None, pa.int64()), ids)
+            yield pa.record_batch([ids, *[pa.array(c, types[n]) for n, c in zip(names[1:], cols)]], names=names)
+
+    types = {"kept": pa.binary(), "kept_sha256": pa.string(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
+             "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+    joined = packed(_keyed(docs), ["d", "u"]).join(ranges, ["d", "u"], "left").select("d", "z", "xs")
+    return joined.mapInArrow(run, schema)
