@@ -6,7 +6,8 @@ of ``TREES`` signature orders sorts them by ``DEPTH`` MinHash values.  A region
 one order whose rows share their first values; neighbours in it, those with the longest
 common prefix, are candidates.
 
-Candidates are taken in rounds.  Round 1 takes direct neighbours in a few orders, later rounds wider
+Of those, only pairs whose whole signatures agree as much as those of a pair at the threshold
+do (but for 3 in 100,000) are confirmed.  Candidates are taken in rounds.  Round 1 takes direct neighbours in a few orders, later rounds wider
 and wider windows in all orders.  Links are confirmed on the full sets after each
 round, and rows of one component that stand together count as one in the next, so large
 groups of near copies shrink to a row.  The depth adapts to the region: a region that fits the
@@ -172,41 +173,50 @@ def in_regions(rows: DataFrame, depth: int) -> DataFrame:
     return ordered.select("tree", "key", "d", "n").mapInArrow(run, "tree int, key binary, d bigint, n bigint")
 
 
-_FOUND = "kind int, a bigint, b bigint, tree int, key binary, n bigint, c bigint"
+_FOUND = "kind int, a bigint, b bigint, tree int, key binary, n bigint, c bigint, sig binary"
+
+
+def least_agreement(threshold: float) -> int:
+    """Equal MinHash values that a pair at the threshold has but for 3 in 100,000 (4 standard deviations)."""
+    size = TREES * DEPTH
+    return int(np.floor(size * threshold - 4 * np.sqrt(size * threshold * (1 - threshold))))
 
 
 def _neighbours(depth: int, window: int, threshold: int):
-    """Over rows (tree, key, d, n, c) in order: kind 0, pairs of neighbours of different components;
+    """Over rows (tree, key, d, n, c, sig) in order: kind 0, pairs of neighbours of different components
+    whose whole signatures agree enough;
     1, the rows at the ends of the partition; 2, one row if a window was cut short."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()),
-                            ("key", pa.binary()), ("n", pa.int64()), ("c", pa.int64())])
+                            ("key", pa.binary()), ("n", pa.int64()), ("c", pa.int64()), ("sig", pa.binary())])
+        enough = least_agreement(threshold / 100)
 
-        def out(kind, a, b=None, tree=None, key=None, n=None, c=None):
+        def out(kind, a, b=None, tree=None, key=None, n=None, c=None, sig=None):
             size = len(a)
             none = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
             return pa.record_batch([pa.array(np.full(size, kind), pa.int32()), none(a, pa.int64()), none(b, pa.int64()),
-                                    none(tree, pa.int32()), none(key, pa.binary()), none(n, pa.int64()), none(c, pa.int64())],
-                                   schema=schema)
+                                    none(tree, pa.int32()), none(key, pa.binary()), none(n, pa.int64()), none(c, pa.int64()),
+                                    none(sig, pa.binary())], schema=schema)
 
         def ends(x):
-            tree, key, d, n, c = x
-            return out(1, d, None, tree, [k.tobytes() for k in key], n, c)
+            tree, key, d, n, c, sig = x
+            return out(1, d, None, tree, [k.tobytes() for k in key], n, c, [k.tobytes() for k in sig])
 
         carry, first, cut = None, True, False
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(0).to_numpy(), _matrix(b.column(1)), *(b.column(k).to_numpy() for k in (2, 3, 4))]
+            new = [b.column(0).to_numpy(), _matrix(b.column(1)), *(b.column(k).to_numpy() for k in (2, 3, 4)),
+                   np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=">u4").reshape(-1, TREES * DEPTH)]
             x = new if carry is None else [np.concatenate([p, q]) for p, q in zip(carry, new)]
             held = 0 if carry is None else len(carry[0])
-            tree, key, d, n, c = x
+            tree, key, d, n, c, sig = x
             near = (tree[1:] == tree[:-1]) & (key[1:, :depth] == key[:-1, :depth]).all(axis=1)
             # rows that stand together and belong to one component count as one
             runs = np.flatnonzero(np.concatenate([[True], ~(near & (c[1:] == c[:-1]))]))
             runs = np.union1d(runs, np.arange(held)) if held else runs
             x = [p[runs] for p in x]
-            tree, key, d, n, c = x
+            tree, key, d, n, c, sig = x
             if first:
                 yield ends([p[:window + 1] for p in x])
                 first = False
@@ -221,6 +231,8 @@ def _neighbours(depth: int, window: int, threshold: int):
                     break
                 alike = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
                 i, j = i[alike], j[alike]
+                near = np.fromiter(((sig[p] == sig[q]).sum() for p, q in zip(i, j)), dtype=np.int64, count=len(i)) >= enough
+                i, j = i[near], j[near]
                 if len(i):
                     yield out(0, np.minimum(d[i], d[j]), np.maximum(d[i], d[j]))
             carry = [p[-(window + 1):] for p in x]
@@ -235,13 +247,13 @@ def _neighbours(depth: int, window: int, threshold: int):
 def candidates(active: DataFrame, comp: DataFrame, trees: int, window: int, depth: int, threshold: int):
     """(distinct pairs a < b, whether a window was cut short)."""
     by = ["tree", "key", "d"]
-    rows = active.where(F.col("tree") < trees).join(comp, "d").select("tree", "key", "d", "n", "c")
+    rows = active.where(F.col("tree") < trees).join(comp, "d").select("tree", "key", "d", "n", "c", "sig")
     spark = rows.sparkSession
     scan = _neighbours(depth, window, threshold)
     found = land(rows.repartitionByRange(shuffle_partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(scan, _FOUND),
                  "neighbours")
     # rows at the ends: 2 * (window + 1) a partition, whatever the input
-    border = (found.where("kind = 1").select("tree", "key", F.col("a").alias("d"), "n", "c").distinct()
+    border = (found.where("kind = 1").select("tree", "key", F.col("a").alias("d"), "n", "c", "sig").distinct()
               .repartition(1).sortWithinPartitions(*by).mapInArrow(scan, _FOUND))
     pairs = found.where("kind = 0").unionAll(border.where("kind = 0")).select("a", "b").distinct()
     return pairs, found.where("kind = 2").limit(1).count() > 0
@@ -296,7 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
                    "classes")
     least = least_depth(threshold / 100)
     reps = classes.select(F.col("rep").alias("d"), "n", "sig")
-    active = land(in_regions(orders(reps), least), "regions")
+    active = land(in_regions(orders(reps), least).join(reps.select("d", "sig"), "d"), "regions")
     ids = active.select("d").distinct().join(classes.select(F.col("rep").alias("d"), "s1"), "d").select("d", "s1")
     sets = land(full_sets(docs, ids, size), "sets")
     comp = land(active.select("d", F.col("d").alias("c")).distinct(), "component")
