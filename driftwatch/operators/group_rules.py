@@ -26,12 +26,16 @@ def _tagged(cur: DataFrame, prev: DataFrame, *cols) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def snapshot_counts(cur: DataFrame, prev: DataFrame, column_count: int) -> DataFrame:
-    """Rows, columns and distinct stores per snapshot."""
+def snapshot_counts(cur: DataFrame, prev: DataFrame, column_count: int,
+                    previous_column_count: int | None = None) -> DataFrame:
+    """Rows, columns and distinct stores per snapshot (both of one width unless told)."""
+    if previous_column_count is None:
+        previous_column_count = column_count
     t = _tagged(cur, prev, "sid")
     return (t.groupBy(F.when(F.col("is_cur"), F.lit("current")).otherwise(F.lit("previous")).alias("snapshot"))
              .agg(F.count(F.lit(1)).alias("row_count"),
-                  F.lit(column_count).cast("bigint").alias("column_count"),
+                  F.max(F.when(F.col("is_cur"), F.lit(column_count)).otherwise(F.lit(previous_column_count)))
+                   .cast("bigint").alias("column_count"),
                   F.countDistinct("sid").alias("store_count")))
 
 
@@ -197,46 +201,19 @@ def distinct_field_values(cur: DataFrame, prev: DataFrame, fields) -> DataFrame:
     return out.distinct()
 
 
-def row_hash(cols) -> "F.Column":
-    """64-bit hash of a row's columns (collisions are resolved exactly downstream)."""
-    return F.xxhash64(*[F.col(c) for c in cols])
-
-
-def distinct_with_copies(df: DataFrame, cols, hash_col: str = "_h") -> DataFrame:
+def distinct_with_copies(df: DataFrame, cols) -> DataFrame:
     """Distinct rows of ``cols`` with ``_copies`` = how often each occurs.
 
-    Only row hashes are shuffled to find repeats (a few bytes per row, with
-    map-side combine).  Rows whose hash occurs once are unique as they are and
-    are never shuffled; rows whose hash repeats — true copies or hash
-    collisions — are grouped on all columns, so the result is exact.  The
-    candidate hashes are joined back by a plain equi-join: AQE broadcasts them
-    when their measured size is small and falls back to a shuffle join when
-    copies are many.
+    One scan and one exchange, however many copies there are: copies are
+    combined in the map tasks before rows are shuffled.
     """
-    h = F.col(hash_col)
-    repeated = (df.groupBy(h).agg(F.count(F.lit(1)).alias("_n"))
-                  .where(F.col("_n") > 1).select(h, F.lit(True).alias("_rep")))
-    tagged = df.join(repeated, hash_col, "left")
-    single = tagged.where(F.col("_rep").isNull()).select(*cols, F.lit(1).cast("bigint").alias("_copies"))
-    multi = (tagged.where(F.col("_rep").isNotNull()).groupBy(*cols)
-                   .agg(F.count(F.lit(1)).alias("_copies")))
-    return single.unionByName(multi)
-
-
-def _with_copies(df: DataFrame) -> DataFrame:
-    cols = df.columns
-    return distinct_with_copies(df.withColumn("_h", row_hash(cols)), cols)
+    return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_copies"))
 
 
 def duplicate_row_groups(df: DataFrame) -> DataFrame:
-    """full-row groups with copies; ``surplus`` = copies beyond the first.
-
-    Hash-first (see ``distinct_with_copies``): long rows such as whole
-    documents are shuffled only when their hash repeats.
-    """
-    cols = df.columns
-    return (_with_copies(df).where(F.col("_copies") > 1)
-            .select(*cols, (F.col("_copies") - 1).alias("surplus")))
+    """full-row groups with copies; ``surplus`` = copies beyond the first."""
+    return (distinct_with_copies(df, df.columns).where(F.col("_copies") > 1)
+            .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_copies") - 1).alias("surplus")))
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
@@ -246,8 +223,8 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
-    """drop full-row duplicates (hash-first, exact)."""
-    return _with_copies(df).drop("_copies")
+    """drop full-row duplicates."""
+    return distinct_with_copies(df, df.columns).drop("_copies")
 
 
 # --------------------------------------------------------------------------

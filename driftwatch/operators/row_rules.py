@@ -110,8 +110,9 @@ def postal_format(col: str) -> Column:
 
 
 def postal_format_mix(c: DataFrame, col: str = "postal_ca") -> DataFrame:
-    """Rows per Canadian postal format (with space / no space / invalid)."""
-    return (c.groupBy(postal_format(col).alias("postal_format"))
+    """Rows per Canadian postal format (with space / no space / invalid); a null
+    code is no code and is not counted."""
+    return (c.where(F.col(col).isNotNull()).groupBy(postal_format(col).alias("postal_format"))
              .agg(F.count(F.lit(1)).alias("n")))
 
 

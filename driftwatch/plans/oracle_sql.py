@@ -239,7 +239,7 @@ ROW_SQL = {
     "postal_format_mix": with_listing(
         f"select case when length(postal_ca) = 7 and {rlike('postal_ca', CA_POSTAL_WITH_SPACE)} then 'with_space' "
         f"when length(postal_ca) = 6 and {rlike('postal_ca', CA_POSTAL_NO_SPACE)} then 'no_space' "
-        f"else 'invalid' end as postal_format, count(*) as n from cur group by 1"),
+        f"else 'invalid' end as postal_format, count(*) as n from cur where postal_ca is not null group by 1"),
     "null_violations": with_listing(
         _null_union("cur", LISTING_NULL_COLUMNS, LISTING_COLUMNS, _listing_blank)),
     "null_violations_feed": with_listing(

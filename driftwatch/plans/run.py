@@ -34,34 +34,35 @@ def _write(spark, res: su.SuiteResult, collisions, output_path: str) -> str:
 
 
 def run_validation(spark: SparkSession, current: str, previous: str, country: str,
-                   output_path: str, ftype: str = "FRG") -> str:
+                   output_path: str, ftype: str = "FRG", multiline: bool = True) -> str:
     """Price-listing suite on two snapshot files (feed type ``ftype``)."""
     profile = listing_profile(country=country, feed_type=ftype)
-    cur, prev, collisions = read_snapshots(spark, current, previous, profile)
+    cur, prev, collisions = read_snapshots(spark, current, previous, profile, multiline=multiline, keep_malformed=True)
     return _write(spark, su.listing_suite(cur, prev, profile), collisions, output_path)
 
 
 def validate_data(spark: SparkSession, input_path: str, output_path: str, country: str,
-                  ftype: str = "FRG") -> str:
+                  ftype: str = "FRG", multiline: bool = True) -> str:
     """Single-snapshot form of the price-listing suite."""
     profile = listing_profile(country=country, feed_type=ftype)
-    cur, collisions = read_snapshot(spark, input_path, profile)
+    cur, collisions = read_snapshot(spark, input_path, profile, multiline=multiline, keep_malformed=True)
     return _write(spark, su.listing_suite(cur, None, profile), collisions, output_path)
 
 
 def run_review_validation(spark: SparkSession, current: str, previous: str, country: str,
-                          output_path: str) -> str:
+                          output_path: str, multiline: bool = True) -> str:
     """Store-review suite on two snapshot files."""
     profile = review_profile(country=country)
-    cur, prev, collisions = read_snapshots(spark, current, previous, profile)
+    cur, prev, collisions = read_snapshots(spark, current, previous, profile, multiline=multiline, keep_malformed=True)
     return _write(spark, su.review_suite(cur, prev, profile), collisions, output_path)
 
 
 def run_stat_validation(spark: SparkSession, current: str, previous: str, output_path: str,
-                        as_of: dt.date | None = None, country: str = "USA") -> str:
+                        as_of: dt.date | None = None, country: str = "USA",
+                        multiline: bool = True) -> str:
     """Statistical suite; ``as_of`` defaults to today (the month under check)."""
     profile = listing_profile(country=country)
-    cur, prev, collisions = read_snapshots(spark, current, previous, profile)
+    cur, prev, collisions = read_snapshots(spark, current, previous, profile, multiline=multiline, keep_malformed=True)
     res = su.stat_suite(cur, prev, profile, as_of or dt.date.today())
     return _write(spark, res, collisions, output_path)
 
@@ -74,15 +75,18 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--country", default="USA")
     ap.add_argument("--ftype", default="FRG")
+    ap.add_argument("--single-line", action="store_true",
+                    help="no quoted line breaks in the files: large files are then split over tasks")
     ap.add_argument("--as-of", type=dt.date.fromisoformat, default=None)
     a = ap.parse_args(argv)
+    multi = not a.single_line
     spark = SparkSession.builder.appName("driftwatch").getOrCreate()
     if a.suite == "listing":
-        out = run_validation(spark, a.current, a.previous, a.country, a.out, a.ftype)
+        out = run_validation(spark, a.current, a.previous, a.country, a.out, a.ftype, multi)
     elif a.suite == "single":
-        out = validate_data(spark, a.current, a.out, a.country, a.ftype)
+        out = validate_data(spark, a.current, a.out, a.country, a.ftype, multi)
     elif a.suite == "review":
-        out = run_review_validation(spark, a.current, a.previous, a.country, a.out)
+        out = run_review_validation(spark, a.current, a.previous, a.country, a.out, multi)
     else:
-        out = run_stat_validation(spark, a.current, a.previous, a.out, a.as_of, a.country)
+        out = run_stat_validation(spark, a.current, a.previous, a.out, a.as_of, a.country, multi)
     print(out)

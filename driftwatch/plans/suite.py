@@ -68,19 +68,18 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     raw_cols = cur.columns
     f, m = [], []
 
-    # Land the cleaned snapshot with a row hash (one scan, no shuffle).  Only
-    # hashes are shuffled to find copies; only repeated rows are grouped on
-    # all columns.  The distinct rows with their copy counts are landed once
-    # and give both the duplicate groups and the de-duplicated snapshot.
-    raw = clean_snapshot(cur, profile).withColumn("_h", gr.row_hash(raw_cols))
-    raw = land(raw, "current") if materialize else raw
-    g = gr.distinct_with_copies(raw, [x for x in raw.columns if x != "_h"])
+    # The distinct rows with their copy counts are landed once and give both
+    # the duplicate groups and the de-duplicated snapshot.
+    raw = clean_snapshot(cur, profile)
+    if materialize and not profile.dedupe_current:
+        raw = land(raw, "current")
+    g = gr.distinct_with_copies(raw, raw.columns)
     g = land(g, "current-distinct") if materialize else g
-    dup = g.where(F.col("_copies") > 1).select(*raw_cols, (F.col("_copies") - 1).alias("surplus"))
+    dup = g.where(F.col("_copies") > 1).select(*[F.col(f"`{x}`") for x in raw_cols], (F.col("_copies") - 1).alias("surplus"))
     f.append(_f(dup, "duplicate_rows", value="surplus"))
     m.append(metric_rows(dup.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("surplus")),
                          "duplicate_rows", "surplus_rows", measured="surplus"))
-    c = g.drop("_copies") if profile.dedupe_current else raw.drop("_h")
+    c = g.drop("_copies") if profile.dedupe_current else raw
     p = None
     if prev is not None:
         pv = prev.dropDuplicates() if profile.dedupe_previous else prev
@@ -110,9 +109,16 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
         m.append(metric_rows(chk, consistency_check, "distinct_values", current="current_values",
                              previous="previous_values", status="status"))
 
+    # One snapshot alone: its own values must agree.
+    if p is None and _have(c, col):
+        own = gr.cardinality(c, col, "value_count")
+        f.append(_f(own.where(F.col("status") == "multiple"), consistency_check, column_name=col,
+                    value="value_count"))
+
     # Counts and size change.
     if p is not None:
-        sc = gr.snapshot_counts(c, p, len(raw_cols))
+        width = lambda df: len([x for x in df.columns if x != CORRUPT_COL])
+        sc = gr.snapshot_counts(c, p, width(cur), width(prev))
         m.append(metric_rows(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_rows")),
                              measured="row_count"))
         m.append(metric_rows(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_stores")),

@@ -57,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if sc_dir:
         return sc_dir
+    if sc is not None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="driftwatch-ckpt-", dir=os.environ.get("DRIFTWATCH_SCRATCH"))
     if sc is not None:
         sc.setCheckpointDir(path)

