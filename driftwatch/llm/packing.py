@@ -21,7 +21,9 @@ rows; extra columns are ignored; a text of any length is handled whole.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from .common import land, worker_cache
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 1_000_000
 
 
 class WordTokenizer:
@@ -45,38 +47,48 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, chunk: str) -> bytes:
-        return np.asarray(self.tok.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, chunk: str) -> bytes:
-        got = self.known.get(chunk)
-        if got is None:
-            low = chunk.lower() if chunk.isascii() and "<" not in chunk else chunk
-            # a lone . or , after a letter or digit is a word of its own
-            if low.isascii() and len(low) > 1 and low[-1] in ".," and low[-2].isalnum():
-                got = self._learn(low[:-1]) + self._learn(low[-1])
-            elif low != chunk:
-                got = self._learn(low)
-            else:
-                got = self._ids(chunk)
-            self.known[chunk] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self.known.setdefault("", b"")
-            return b"".join(map(self._learn, chunks))
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, ...]:
+        """Words that give the chunk's ids one after the other, lower-cased where that is plain."""
+        low = chunk.lower() if chunk.isascii() and "<" not in chunk else chunk
+        # a lone . or , after a letter or digit is a word of its own
+        if low.isascii() and len(low) > 1 and low[-1] in ".," and low[-2].isalnum():
+            return low[:-1], low[-1]
+        return (low,)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = {c: self._parts(c) for c in set().union(*cut).difference(known)}
+        words = list({p for ps in parts.values() for p in ps}.difference(known))
+        for word, got in zip(words, self.batch(words, add_special_tokens=False)):
+            known[word] = array("I", got.ids).tobytes()
+        for chunk, ps in parts.items():
+            known[chunk] = b"".join([known[p] for p in ps])
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+
+
+def _groups(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+    """Consecutive texts of about so many characters together."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
@@ -93,8 +105,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = tok.encode(text or "") + end
+            encoded = (e for g in _groups([t or "" for t in b["text"]]) for e in tok.encode_many(g))
+            for doc_id, ids in zip(b["doc_id"], encoded):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start:4 * (start + window)]
