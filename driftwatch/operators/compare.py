@@ -66,8 +66,8 @@ def categories_not_in_current(cur: DataFrame, prev: DataFrame, category_col: str
                 .select("store_id", "category"))
 
 
-def price_change(snapshots: DataFrame, keys, cur_year: int, last_year: int, last2_year: int,
-                 snapshot_col: str = "yr", price_col: str = "price_num") -> DataFrame:
+def price_change(snapshots: DataFrame, keys, current: str, last: str, last2: str,
+                 snapshot_col: str = "snap", price_col: str = "price_num") -> DataFrame:
     """Listing keys whose current price differs from either earlier one.
 
     ``snapshots`` holds all three snapshots with a ``snapshot_col`` tag.  One
@@ -78,14 +78,14 @@ def price_change(snapshots: DataFrame, keys, cur_year: int, last_year: int, last
     s = F.col(snapshot_col)
     price = F.col(price_col)
 
-    def at(y):
-        return F.min(F.when(s == y, price))
+    def at(tag):
+        return F.min(F.when(s == tag, price))
 
     sel = [F.col("sid").alias("store_id") if k == "store_id" else F.col(k) for k in keys]
     g = (snapshots.select(*sel, s, price)
                   .groupBy(*keys)
-                  .agg(at(cur_year).alias("current_price"), at(last_year).alias("last_price"),
-                       at(last2_year).alias("last2_price")))
+                  .agg(at(current).alias("current_price"), at(last).alias("last_price"),
+                       at(last2).alias("last2_price")))
     present = F.lit(True)
     for k in keys:
         present = present & F.col(k).isNotNull()

@@ -37,7 +37,7 @@ select case when l_orderkey % 211 = 0 then null else concat('S', lpad(cast(l_sup
   case when l_orderkey % 7 = 0 then 'RetailB' else 'RetailA' end as competitor,
   case when l_orderkey % 97 = 0 then concat('$', cast(p_retailprice as string)) when l_orderkey % 89 = 0 then '0.00'
        when l_orderkey % 83 = 0 then '1,299.00' when l_orderkey % 79 = 0 then null when l_orderkey % 151 = 0 then '9999.5'
-       when p_partkey % 5 = 0 then cast(p_retailprice + year(l_shipdate) % 3 as string) else cast(p_retailprice as string) end as price,
+       when p_partkey % 5 = 0 then cast(p_retailprice + case when l_shipdate >= timestamp '2000-01-01' then 2 when l_shipdate >= timestamp '1998-01-01' then 1 else 0 end as string) else cast(p_retailprice as string) end as price,
   case when l_orderkey % 73 = 0 then null when l_orderkey % 71 = 0 then concat(cast(l_suppkey as string), '.0')
        when l_orderkey % 67 = 0 then 'ABCDE' when l_orderkey % 61 = 0 then '12345-6789'
        else lpad(cast(l_suppkey as string), 5, '0') end as zip_code,
@@ -48,10 +48,10 @@ select case when l_orderkey % 211 = 0 then null else concat('S', lpad(cast(l_sup
   case when l_orderkey % 47 = 0 then '-200.25'
        else concat('-', cast(67 + (l_suppkey - case when l_suppkey % 25 = 1 then 1 else 0 end) % 57 as string), '.',
                    lpad(cast(((l_suppkey - case when l_suppkey % 25 = 1 then 1 else 0 end) * 53) % 10000 as string), 4, '0')) end as longitude,
-  cast(l_shipdate as date) as date_extracted, year(l_shipdate) as yr
+  cast(l_shipdate as date) as date_extracted,
+  case when l_shipdate >= timestamp '2000-01-01' then 'cur' when l_shipdate >= timestamp '1998-01-01' then 'prev' else 'prev2' end as snap,
+  l_shipdate >= timestamp '2000-01-01' and (l_suppkey % 25 = 4 or (l_suppkey % 10 = 6 and p_type = 'PROMO')) as lost
 from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
-where not (year(l_shipdate) = 2000 and l_suppkey % 25 = 4)
-  and not (year(l_shipdate) = 2000 and l_suppkey % 10 = 6 and p_type = 'PROMO')
 """
 
 REVIEW_VIEW = """
@@ -118,31 +118,32 @@ def body_of(stmt: str) -> str:
     return stmt.split(BODY_MARK, 1)[1]
 
 
-def with_listing(body: str, years=(2000,), clean: bool = True, dedupe_current: bool = False) -> str:
+def with_listing(body: str, snapshots: int = 1, clean: bool = True, dedupe_current: bool = False) -> str:
     """``listing`` view, snapshot CTEs ``cur``/``prev``/``prev2`` and the query body.
 
-    ``cur_raw`` is the current snapshot as is; ``cur`` is the same, or its
+    ``snapshots`` is 1 (``cur`` is the whole listing), 2 (``prev`` is all that came before
+    ``cur``) or 3.  ``cur_raw`` is the current snapshot as is; ``cur`` is the same, or its
     distinct rows when ``dedupe_current`` (as the two-snapshot suites do).
     """
-    yrs = ", ".join(str(y) for y in years)
-    cols = f"*, {CLEAN_COLS}" if clean else "*"
+    cols = f"* exclude (snap, lost), {CLEAN_COLS}" if clean else "* exclude (snap, lost)"
     cur = "select distinct * from cur_raw" if dedupe_current else "select * from cur_raw"
-    return (f"with listing as ({LISTING_VIEW}),\n"
-            f"snap as materialized (select {cols} from listing where yr in ({yrs})),\n"
-            f"cur_raw as materialized (select * exclude (yr) from snap where yr = 2000),\n"
-            f"cur as materialized ({cur}),\n"
-            f"prev as materialized (select * exclude (yr) from snap where yr = 1999),\n"
-            f"prev2 as materialized (select * exclude (yr) from snap where yr = 1998)\n"
-            f"{BODY_MARK}{body}")
+    tables = {
+        1: {"cur_raw": "true"},
+        2: {"cur_raw": "snap = 'cur' and not lost", "prev": "snap <> 'cur'"},
+        3: {"cur_raw": "snap = 'cur' and not lost", "prev": "snap = 'prev'", "prev2": "snap = 'prev2'"},
+    }[snapshots]
+    parts = [f"listing as materialized ({LISTING_VIEW})"]
+    parts += [f"{t} as materialized (select {cols} from listing where {rows})" for t, rows in tables.items()]
+    return "with " + ",\n".join([*parts, f"cur as materialized ({cur})"]) + f"\n{BODY_MARK}{body}"
 
 
-def with_review(body: str, dedupe_current: bool = False) -> str:
+def with_review(body: str, dedupe_current: bool = False, whole: bool = False) -> str:
     clean = (f"* exclude (snap), {clean_text('store_id')} as sid, cast(null as double) as price_num, "
              f"cast(null as varchar) as zip_clean, cast(null as double) as lat_num, "
              f"cast(null as double) as lon_num")
     cur = "select distinct * from rcur_raw" if dedupe_current else "select * from rcur_raw"
     return (f"with review as ({REVIEW_VIEW}),\n"
-            f"rcur_raw as materialized (select {clean} from review where snap = 'cur'),\n"
+            f"rcur_raw as materialized (select {clean} from review{'' if whole else " where snap = 'cur'"}),\n"
             f"rcur as materialized ({cur}),\n"
             f"rprev as materialized (select {clean} from review where snap = 'prev')\n"
             f"{BODY_MARK}{body}")
@@ -246,7 +247,7 @@ ROW_SQL = {
         _null_union("cur", LISTING_NULL_COLUMNS + FEED_NULL_COLUMNS["TMAD"], LISTING_COLUMNS, _listing_blank)),
     "review_null_violations": with_review(
         _null_union("rcur", REVIEW_NULL_COLUMNS, REVIEW_COLUMNS,
-                    lambda c: is_blank(f"cast({c} as varchar)"))),
+                    lambda c: is_blank(f"cast({c} as varchar)")), whole=True),
     "zero_price": with_listing(
         "select distinct sid as store_id from cur where price_num = 0 and sid is not null"),
     "symbol_violations": with_listing(
@@ -254,7 +255,7 @@ ROW_SQL = {
     "feed_symbol_violations": with_listing(
         _symbol_union("cur", {**LISTING_SYMBOL_PATTERNS, **FEED_SYMBOL_PATTERNS["TMAD"]}, LISTING_COLUMNS)),
     "review_symbol_violations": with_review(
-        _symbol_union("rcur", REVIEW_SYMBOL_PATTERNS, REVIEW_COLUMNS)),
+        _symbol_union("rcur", REVIEW_SYMBOL_PATTERNS, REVIEW_COLUMNS), whole=True),
     "text_symbol_counts": with_listing(
         _symbol_counts("cur", _LISTING_TEXT, "listing") + "\nunion all\n"
         + _symbol_counts("documents", ["text"], "documents")),
@@ -277,8 +278,6 @@ ROW_SQL = {
 # Group, statistics, duplicate, comparison and top-k rules
 # --------------------------------------------------------------------------
 
-CP = (1999, 2000)
-CPP = (1998, 1999, 2000)
 LISTING_COLUMN_COUNT = len(LISTING_COLUMNS)
 
 
@@ -310,29 +309,29 @@ def _price_change(keys) -> str:
     return with_listing(
         f"select {outk}, c.price as current_price, l.price as last_price, l2.price as last2_price "
         f"from {snap('cur')} c join {snap('prev')} l using ({using}) join {snap('prev2')} l2 using ({using}) "
-        f"where c.price <> l.price or c.price <> l2.price", years=CPP)
+        f"where c.price <> l.price or c.price <> l2.price", snapshots=3)
 
 
 GROUP_SQL = {
     "snapshot_counts": with_listing(
         f"select 'current' as snapshot, count(*) as row_count, cast({LISTING_COLUMN_COUNT} as bigint) as column_count, "
         f"count(distinct sid) as store_count from (select distinct * from cur) "
-        f"union all select 'previous', count(*), {LISTING_COLUMN_COUNT}, count(distinct sid) from prev", years=CP),
+        f"union all select 'previous', count(*), {LISTING_COLUMN_COUNT}, count(distinct sid) from prev", snapshots=2),
     "size_change_pct": with_listing(
         "select c as current_count, p as previous_count, "
         "case when c + p > 0 then (c - p) / (c + p) * 100.0 end as pct, "
         "case when c + p = 0 then 'empty' when c > p then 'increased' when c < p then 'decreased' "
         "else 'unchanged' end as status "
         "from (select (select count(*) from (select distinct * from cur)) as c, (select count(*) from prev) as p)",
-        years=CP),
+        snapshots=2),
     "count_margin": with_listing(
         "select c as current_count, p as previous_count, abs(c - p) / greatest(c, p) * 100.0 as pct, "
         "case when greatest(c, p) = 0 then 'empty' when abs(c - p) / greatest(c, p) * 100.0 > 2.0 then 'flag' "
         "else 'ok' end as status "
-        "from (select (select count(*) from cur) as c, (select count(*) from prev) as p)", years=CP),
+        "from (select (select count(*) from cur) as c, (select count(*) from prev) as p)", snapshots=2),
     "feed_id_counts": with_listing(
         "select 'current' as snapshot, count(distinct tmad_id) as id_count from cur "
-        "union all select 'previous', count(distinct tmad_id) from prev", years=CP),
+        "union all select 'previous', count(distinct tmad_id) from prev", snapshots=2),
     "retailer_counts": with_review(
         "select c.retailer, c.current_rows, c.current_stores, "
         "cast(coalesce(p.previous_rows, 0) as bigint) as previous_rows, "
@@ -346,7 +345,7 @@ GROUP_SQL = {
         "case when cv = 1 and pv = 1 and cm = pm then 'ok' else 'mismatch' end as status "
         "from (select (select count(distinct competitor) from cur) as cv, "
         "(select count(distinct competitor) from prev) as pv, "
-        "(select min(competitor) from cur) as cm, (select min(competitor) from prev) as pm)", years=CP),
+        "(select min(competitor) from cur) as cm, (select min(competitor) from prev) as pm)", snapshots=2),
     "competitor_values": with_listing("select distinct competitor from cur"),
     "country_cardinality": with_listing(
         "select count(distinct country) as country_count, "
@@ -395,7 +394,7 @@ GROUP_SQL = {
         f"as date_extracted from cur where date_extracted is not null"),
     "distinct_field_values": with_listing(
         "select distinct 'current' as snapshot, 'competitor' as field, cast(competitor as varchar) as value from cur "
-        "union select distinct 'previous', 'competitor', cast(competitor as varchar) from prev", years=CP),
+        "union select distinct 'previous', 'competitor', cast(competitor as varchar) from prev", snapshots=2),
     "duplicate_row_count":
         "select cast(coalesce(sum(n - 1), 0) as bigint) as surplus "
         "from (select text, count(*) as n from documents group by text having count(*) > 1)",
@@ -404,20 +403,20 @@ GROUP_SQL = {
     "dedupe_rows": "select distinct text from documents",
     "stores_not_in_current": with_listing(
         "select distinct sid as store_id from prev p where not exists (select 1 from cur c where c.sid = p.sid)",
-        years=CP),
+        snapshots=2),
     "missing_store_pct": with_listing(
         "select m as missing_count, t as previous_total, "
         "case when t > 0 then m / t * 100.0 else 0.0 end as pct_missing, "
         "case when (case when t > 0 then m / t * 100.0 else 0.0 end) > 1.0 then 'flag' else 'ok' end as status "
         "from (select (select count(*) from (select sid from prev except select sid from cur)) as m, "
-        "(select count(*) from (select distinct sid from prev)) as t)", years=CP),
+        "(select count(*) from (select distinct sid from prev)) as t)", snapshots=2),
     "stores_with_fewer_rows": with_listing(
-        "select distinct sid as store_id from (select sid from prev except all select sid from cur)", years=CP),
+        "select distinct sid as store_id from (select sid from prev except all select sid from cur)", snapshots=2),
     "categories_not_in_current": with_listing(
         "select distinct p.sid as store_id, p.category from prev p "
         "where p.sid is not null and p.sid in (select sid from cur where sid is not null) "
         "and not exists (select 1 from cur c where c.sid = p.sid and c.category is not distinct from p.category)",
-        years=CP),
+        snapshots=2),
     "price_change_with_product_id": _price_change(_PRICE_KEYS_WITH),
     "price_change_without_product_id": _price_change(_PRICE_KEYS_WITHOUT),
     "top_prices": with_listing(
@@ -584,8 +583,8 @@ _STAT_SUITE_PARTS = [
 ]
 
 SUITE_SQL = {
-    "listing_suite_summary": with_listing(_count_union(_LISTING_SUITE_PARTS), years=CP, dedupe_current=True),
-    "findings_by_severity": with_listing(_with_severity(_LISTING_SUITE_PARTS), years=CP, dedupe_current=True),
+    "listing_suite_summary": with_listing(_count_union(_LISTING_SUITE_PARTS), snapshots=2, dedupe_current=True),
+    "findings_by_severity": with_listing(_with_severity(_LISTING_SUITE_PARTS), snapshots=2, dedupe_current=True),
     "review_suite_summary": with_review(_count_union(_REVIEW_SUITE_PARTS), dedupe_current=True),
-    "stat_suite_summary": with_listing(_count_union(_STAT_SUITE_PARTS), years=CP),
+    "stat_suite_summary": with_listing(_count_union(_STAT_SUITE_PARTS), snapshots=2),
 }

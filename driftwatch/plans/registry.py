@@ -31,8 +31,8 @@ TMAD = listing_profile(feed_type="TMAD")
 
 
 def cur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned current listing snapshot."""
-    return clean_snapshot(fx.current_listing(spark, sf_dir), LISTING)
+    """The whole listing, cleaned, as one snapshot."""
+    return clean_snapshot(fx.whole_listing(spark, sf_dir), LISTING)
 
 
 def cur_prev(spark: SparkSession, sf_dir: str):
@@ -41,37 +41,36 @@ def cur_prev(spark: SparkSession, sf_dir: str):
 
 
 def review_cur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, _ = fx.review_snapshots(spark, sf_dir)
-    return clean_snapshot(c, REVIEW)
+    return clean_snapshot(fx.whole_review(spark, sf_dir), REVIEW)
 
 
 ROW_QUERIES: dict[str, Query] = {
-    "clean_listing": lambda s, d: clean_listing(fx.current_listing(s, d), LISTING),
+    "clean_listing": lambda s, d: clean_listing(fx.whole_listing(s, d), LISTING),
     "invalid_latitude": lambda s, d: rr.invalid_latitude(cur(s, d), LISTING),
     "invalid_longitude": lambda s, d: rr.invalid_longitude(cur(s, d), LISTING),
     "outside_geo_box": lambda s, d: rr.outside_geo_box(cur(s, d)),
     "outside_any_geo_box": lambda s, d: rr.outside_any_geo_box(cur(s, d)),
     "invalid_zip": lambda s, d: rr.invalid_zip(cur(s, d), LISTING),
-    "zip_non_numeric": lambda s, d: rr.zip_non_numeric(fx.current_listing(s, d)),
-    "zip_numeric_count": lambda s, d: rr.zip_numeric_count(fx.current_listing(s, d)),
-    "zip_bad_length": lambda s, d: rr.zip_bad_length(fx.current_listing(s, d)),
-    "postal_format_mix": lambda s, d: rr.postal_format_mix(fx.current_listing(s, d)),
+    "zip_non_numeric": lambda s, d: rr.zip_non_numeric(fx.whole_listing(s, d)),
+    "zip_numeric_count": lambda s, d: rr.zip_numeric_count(fx.whole_listing(s, d)),
+    "zip_bad_length": lambda s, d: rr.zip_bad_length(fx.whole_listing(s, d)),
+    "postal_format_mix": lambda s, d: rr.postal_format_mix(fx.whole_listing(s, d)),
     "null_violations": lambda s, d: rr.null_violations(cur(s, d), LISTING),
-    "null_violations_feed": lambda s, d: rr.null_violations(clean_snapshot(fx.current_listing(s, d), TMAD), TMAD),
+    "null_violations_feed": lambda s, d: rr.null_violations(clean_snapshot(fx.whole_listing(s, d), TMAD), TMAD),
     "review_null_violations": lambda s, d: rr.null_violations(review_cur(s, d), REVIEW),
     "zero_price": lambda s, d: rr.zero_price(cur(s, d)),
     "symbol_violations": lambda s, d: rr.symbol_violations(cur(s, d), LISTING),
     "feed_symbol_violations": lambda s, d: rr.symbol_violations(
-        clean_snapshot(fx.current_listing(s, d), TMAD), TMAD),
+        clean_snapshot(fx.whole_listing(s, d), TMAD), TMAD),
     "review_symbol_violations": lambda s, d: rr.symbol_violations(review_cur(s, d), REVIEW),
-    "text_symbol_counts": lambda s, d: rr.text_symbol_counts(fx.current_listing(s, d)).unionByName(
+    "text_symbol_counts": lambda s, d: rr.text_symbol_counts(fx.whole_listing(s, d)).unionByName(
         rr.text_symbol_counts(fx.documents(s, d), ["text"], source="documents")),
     "text_symbol_rows": lambda s, d: rr.text_symbol_rows(fx.documents(s, d), "doc_id", ["text"]),
-    "long_price": lambda s, d: rr.long_price(fx.current_listing(s, d)),
-    "price_dollar_sign": lambda s, d: rr.price_dollar_sign(fx.current_listing(s, d)),
-    "price_comma": lambda s, d: rr.price_comma(fx.current_listing(s, d)),
-    "date_month_mismatch": lambda s, d: rr.date_month_mismatch(fx.current_listing(s, d), fx.AS_OF),
-    "empty_entity_id": lambda s, d: rr.empty_entity_id(fx.current_listing(s, d)),
+    "long_price": lambda s, d: rr.long_price(fx.whole_listing(s, d)),
+    "price_dollar_sign": lambda s, d: rr.price_dollar_sign(fx.whole_listing(s, d)),
+    "price_comma": lambda s, d: rr.price_comma(fx.whole_listing(s, d)),
+    "date_month_mismatch": lambda s, d: rr.date_month_mismatch(fx.whole_listing(s, d), fx.AS_OF),
+    "empty_entity_id": lambda s, d: rr.empty_entity_id(fx.whole_listing(s, d)),
 }
 
 
@@ -89,8 +88,7 @@ def review_cur_prev(spark: SparkSession, sf_dir: str, dedupe_current: bool = Tru
 
 
 def three_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = (fx.BEFORE_PREVIOUS_YEAR, fx.PREVIOUS_YEAR, fx.CURRENT_YEAR)
-    return clean_snapshot(fx.listing(spark, sf_dir, years=years), LISTING)
+    return clean_snapshot(fx.listing_history(spark, sf_dir), LISTING)
 
 
 def _docs_text(s, d):
@@ -99,7 +97,7 @@ def _docs_text(s, d):
 
 def listing_column_count(spark: SparkSession, sf_dir: str) -> int:
     """Columns of a raw listing snapshot (schema only, no job)."""
-    return len(fx.current_listing(spark, sf_dir).columns)
+    return len(fx.whole_listing(spark, sf_dir).columns)
 
 
 PRICE_KEYS_WITH_ID = ("store_id", "product_id")
@@ -107,8 +105,7 @@ PRICE_KEYS_WITHOUT_ID = ("store_id", "category", "product", "type", "subtype_siz
 
 
 def _price_change(keys):
-    return lambda s, d: cmp.price_change(three_snapshots(s, d), keys, fx.CURRENT_YEAR,
-                                         fx.PREVIOUS_YEAR, fx.BEFORE_PREVIOUS_YEAR)
+    return lambda s, d: cmp.price_change(three_snapshots(s, d), keys, fx.CURRENT, fx.PREVIOUS, fx.BEFORE_PREVIOUS)
 
 
 GROUP_QUERIES: dict[str, Query] = {
@@ -128,7 +125,7 @@ GROUP_QUERIES: dict[str, Query] = {
     "location_multi_store": lambda s, d: gr.location_multi_store(cur(s, d)),
     "store_metadata_conflicts": lambda s, d: gr.store_metadata_conflicts(cur(s, d)),
     "duplicate_listing_groups": lambda s, d: gr.duplicate_groups(cur(s, d), DUPLICATE_LISTING_KEYS),
-    "duplicate_products": lambda s, d: gr.duplicate_entities(cur_prev_dedup(s, d)[0], DUPLICATE_PRODUCT_KEYS),
+    "duplicate_products": lambda s, d: gr.duplicate_entities(cur(s, d).dropDuplicates(), DUPLICATE_PRODUCT_KEYS),
     "uniform_pricing": lambda s, d: gr.uniform_groups(cur(s, d), UNIFORM_PRICE_KEYS),
     "categories_per_product_store": lambda s, d: gr.categories_per_product_store(cur(s, d)),
     "scrape_dates": lambda s, d: gr.scrape_dates(cur(s, d)),
@@ -157,7 +154,7 @@ HEADER_QUERIES: dict[str, Query] = {
     "standardize_review": lambda s, d: sch.standardize_headers(_docs(s, d), "doc_id", "text", REVIEW),
     "missing_columns": lambda s, d: sch.missing_header_columns(_docs(s, d), "doc_id", "text", LISTING),
     "read_listing_csv": lambda s, d: csv_round_trip(
-        fx.current_listing(s, d), ["store_id", "product_id", "price", "zip_code"]),
+        fx.whole_listing(s, d), ["store_id", "product_id", "price", "zip_code"]),
 }
 
 

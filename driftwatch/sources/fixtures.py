@@ -6,9 +6,10 @@ that reshape ``lineitem``/``part``/``supplier`` into price listings and
 The residues only decide *which* rows carry a fault; every view covers the
 whole table.
 
-Snapshots are chosen by ship year (listing: current 2000, previous 1999,
-before-previous 1998) and the year range is applied as a ``l_shipdate``
-range so it reaches the parquet scan as a pushed filter.
+Checks of one snapshot read the whole view.  Comparisons split all rows into
+snapshots by ship date (listing: current from 2000 on, previous 1998 and 1999,
+before-previous all earlier ones); the dates of the snapshots asked for reach
+the parquet scan as a pushed ``l_shipdate`` range.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .tables import read_table
 
-CURRENT_YEAR = 2000
-PREVIOUS_YEAR = 1999
-BEFORE_PREVIOUS_YEAR = 1998
+CURRENT, PREVIOUS, BEFORE_PREVIOUS = "cur", "prev", "prev2"
+CURRENT_FROM = "2000-01-01 00:00:00"
+PREVIOUS_FROM = "1998-01-01 00:00:00"
 REVIEW_CUTOFF = "2024-01-16 00:00:00"
 
 
@@ -34,26 +35,24 @@ def _s(c) -> Column:
     return c.cast("string")
 
 
-def listing(spark: SparkSession, sf_dir: str, years=(CURRENT_YEAR,)) -> DataFrame:
-    """The ``listing`` view restricted to the given snapshot years."""
-    lo, hi = min(years), max(years)
-    li = (
-        read_table(spark, sf_dir, "lineitem")
-        .where((F.col("l_shipdate") >= _ts(f"{lo}-01-01 00:00:00"))
-               & (F.col("l_shipdate") < _ts(f"{hi + 1}-01-01 00:00:00")))
-        .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
-    )
+def listing(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The ``listing`` view: every lineitem row, tagged with its snapshot (``snap``).
+
+    ``where`` is a predicate on the ``lineitem`` columns, applied before the
+    joins so it reaches the parquet scan.
+    """
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    if where is not None:
+        li = li.where(where)
     part = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
 
-    yr = F.year("l_shipdate")
+    snap = (F.when(F.col("l_shipdate") >= _ts(CURRENT_FROM), F.lit(CURRENT))
+             .when(F.col("l_shipdate") >= _ts(PREVIOUS_FROM), F.lit(PREVIOUS))
+             .otherwise(F.lit(BEFORE_PREVIOUS)))
     j = (li.join(part, li.l_partkey == part.p_partkey)
-           .join(supp, li.l_suppkey == supp.s_suppkey)
-           .where(~((yr == 2000) & (F.col("l_suppkey") % 25 == 4)))
-           .where(~((yr == 2000) & (F.col("l_suppkey") % 10 == 6) & (F.col("p_type") == "PROMO"))))
-    if set(years) != set(range(lo, hi + 1)):
-        j = j.where(yr.isin(*years))
+           .join(supp, li.l_suppkey == supp.s_suppkey))
 
     ok = F.col("l_orderkey")
     sk = F.col("l_suppkey")
@@ -74,7 +73,7 @@ def listing(spark: SparkSession, sf_dir: str, years=(CURRENT_YEAR,)) -> DataFram
               .when(ok % 83 == 0, F.lit("1,299.00"))
               .when(ok % 79 == 0, F.lit(None).cast("string"))
               .when(ok % 151 == 0, F.lit("9999.5"))
-              .when(F.col("p_partkey") % 5 == 0, _s(F.col("p_retailprice") + yr % 3))
+              .when(F.col("p_partkey") % 5 == 0, _s(F.col("p_retailprice") + F.when(snap == CURRENT, 2).when(snap == PREVIOUS, 1).otherwise(0)))
               .otherwise(_s(F.col("p_retailprice"))))
     zip_code = (F.when(ok % 73 == 0, F.lit(None).cast("string"))
                  .when(ok % 71 == 0, F.concat(sks, F.lit(".0")))
@@ -113,19 +112,27 @@ def listing(spark: SparkSession, sf_dir: str, years=(CURRENT_YEAR,)) -> DataFram
         latitude.alias("latitude"),
         longitude.alias("longitude"),
         F.to_date("l_shipdate").alias("date_extracted"),
-        yr.alias("yr"),
+        snap.alias("snap"),
+        # Faults of the comparisons: stores, and categories of a store, that the current snapshot lacks.
+        ((snap == CURRENT) & ((sk % 25 == 4) | ((sk % 10 == 6) & (F.col("p_type") == "PROMO")))).alias("lost"),
     )
 
 
+def listing_history(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The listing split into snapshots, without the stores and categories the current one lacks."""
+    return listing(spark, sf_dir, where).where(~F.coalesce("lost", F.lit(False))).drop("lost")
+
+
 def listing_snapshots(spark: SparkSession, sf_dir: str):
-    """(current, previous) listing snapshots, years 2000 and 1999."""
-    both = listing(spark, sf_dir, years=(PREVIOUS_YEAR, CURRENT_YEAR))
-    return (both.where(F.col("yr") == CURRENT_YEAR).drop("yr"),
-            both.where(F.col("yr") == PREVIOUS_YEAR).drop("yr"))
+    """(current, previous) listing snapshots; the previous one is all that was shipped before."""
+    cut = _ts(CURRENT_FROM)
+    return (listing_history(spark, sf_dir, F.col("l_shipdate") >= cut).drop("snap"),
+            listing_history(spark, sf_dir, F.col("l_shipdate") < cut).drop("snap"))
 
 
-def current_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing(spark, sf_dir, years=(CURRENT_YEAR,)).drop("yr")
+def whole_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the listing as one snapshot."""
+    return listing(spark, sf_dir).drop("snap", "lost")
 
 
 def review(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
@@ -151,6 +158,11 @@ def review(spark: SparkSession, sf_dir: str, where: Column | None = None) -> Dat
     )
 
 
+def whole_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the reviews as one snapshot."""
+    return review(spark, sf_dir).drop("snap")
+
+
 def review_snapshots(spark: SparkSession, sf_dir: str):
     """(current, previous) review snapshots; the cut-off reaches the scan."""
     cut = _ts(REVIEW_CUTOFF)

@@ -19,13 +19,13 @@ def test_no_python_udf_in_any_query(spark):
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p, name
 
 
-def test_snapshot_year_reaches_parquet_scan(spark):
-    p = plan(fx.current_listing(spark, SF))
+def test_snapshot_dates_reach_parquet_scan(spark):
+    p = plan(fx.listing_snapshots(spark, SF)[0])
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in p
 
 
 def test_fused_row_pass_is_one_scan(spark):
-    c = clean_snapshot(fx.current_listing(spark, SF), LISTING)
+    c = clean_snapshot(fx.whole_listing(spark, SF), LISTING)
     p = plan(rr.fused_row_findings(c, LISTING))
     assert p.count("lineitem.parquet") == 1
 
