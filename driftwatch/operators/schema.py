@@ -28,23 +28,28 @@ def canonical_name(header: str, profile: Profile) -> str:
     return profile.aliases.get(normalize_header(header), header.strip())
 
 
-def standardize_columns(df: DataFrame, profile: Profile):
-    """Rename columns to canonical names; returns ``(df, collisions)``.
+def canonical_names(headers, profile: Profile):
+    """Canonical names of a header and its ``(header, canonical, new_name)`` collisions.
 
-    When two headers map to one canonical name the first keeps it and later
-    ones get ``<name>__<position>``; ``collisions`` lists ``(header,
-    canonical, new_name)`` for the report.
+    When two headers map to one canonical name (upper and lower case alike, as Spark
+    resolves columns) the first keeps it and later ones get ``<name>__<position>``.
     """
     seen: set = set()
     names, collisions = [], []
-    for i, h in enumerate(df.columns):
+    for i, h in enumerate(headers):
         c = canonical_name(h, profile)
-        if c in seen:
+        if c.lower() in seen:
             new = f"{c}__{i}"
             collisions.append((h, c, new))
             c = new
-        seen.add(c)
+        seen.add(c.lower())
         names.append(c)
+    return names, collisions
+
+
+def standardize_columns(df: DataFrame, profile: Profile):
+    """Rename columns to canonical names; returns ``(df, collisions)`` for the report."""
+    names, collisions = canonical_names(df.columns, profile)
     return df.toDF(*names), collisions
 
 

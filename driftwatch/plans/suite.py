@@ -46,11 +46,11 @@ def _prepare(df: DataFrame, profile: Profile, name: str, materialize: bool) -> D
     return land(c, name) if materialize else c
 
 
-def _missing(spark, df: DataFrame, required) -> DataFrame | None:
+def _missing(spark, df: DataFrame, required, snapshot: str | None = None) -> DataFrame | None:
     miss = missing_columns(df, list(dict.fromkeys(required)))
     if not miss:
         return None
-    return plan_findings(spark, [("missing_column", SEVERITY["missing_column"], m, None, None, None)
+    return plan_findings(spark, [("missing_column", SEVERITY["missing_column"], m, None, None, snapshot)
                                  for m in miss])
 
 
@@ -92,6 +92,9 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     if profile.box is not None:
         required += ["latitude", "longitude", profile.zip_col]
     f.append(_missing(spark, c, [x for x in required if x]))
+    if p is not None:
+        # What only the previous snapshot lacks: comparisons on it are skipped.
+        f.append(_missing(spark, p, [x for x in required if x in c.columns], "previous"))
     if CORRUPT_COL in c.columns:
         f.append(_f(c.where(F.col(CORRUPT_COL).isNotNull()), "malformed_rows", entity="sid",
                     value=CORRUPT_COL))
@@ -199,6 +202,7 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
              "longitude", profile.consistency_col] + list(STORE_METADATA_COLUMNS)
             + list(DUPLICATE_LISTING_KEYS) + list(UNIFORM_PRICE_KEYS) + list(TEXT_SYMBOL_FIELDS))
     f.append(_missing(spark, c, [x for x in need if x]))
+    f.append(_missing(spark, p, [x for x in need if x in c.columns], "previous"))
 
     if _have(c, profile.date_col):
         d = rr.date_month_mismatch(c, as_of, profile.date_col)

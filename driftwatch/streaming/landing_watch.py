@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.text import na_to_null
 from ..operators.clean import clean_snapshot
 from ..operators.row_rules import fused_row_findings
-from ..operators.schema import canonical_name
+from ..operators.schema import canonical_names
 from ..profiles import Profile
 from ..sources.csv import READ_OPTIONS
 
@@ -30,14 +30,18 @@ def header_schema(headers) -> StructType:
 
 def snapshot_stream(spark: SparkSession, folder: str, headers, profile: Profile, sep: str = ",",
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of canonicalised snapshot rows, tagged by source file."""
-    reader = (spark.readStream.schema(header_schema(headers)).options(**READ_OPTIONS)
+    """Streaming DataFrame of canonicalised snapshot rows, tagged by source file.
+
+    Columns are read by position, so repeated headers and headers that share a canonical
+    name are kept apart as in ``canonical_names``.
+    """
+    names, _ = canonical_names(headers, profile)
+    reader = (spark.readStream.schema(header_schema(names)).options(**READ_OPTIONS)
                    .option("sep", sep))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(folder)
-    canon = [canonical_name(h, profile) for h in headers]
-    return raw.select(*[na_to_null(F.col(f"`{h}`")).alias(c) for h, c in zip(headers, canon)],
+    return raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in names],
                       F.col("_metadata.file_path").alias("source_file"))
 
 

@@ -95,3 +95,10 @@ def test_snapshot_shape_metrics(spark):
     m = {r["metric"]: r["measured"] for r in res.metrics.where("check_id = 'snapshot_counts'").collect()}
     assert m["current_rows"] == 2.0 and m["previous_rows"] == 1.0          # current de-duplicated
     assert m["current_columns"] == 18.0 and m["current_stores"] == 2.0
+
+
+def test_columns_only_the_previous_snapshot_lacks_are_reported(spark):
+    cur = snap(spark, [row(), row(sid="S2")])
+    res = su.listing_suite(cur, cur.drop("category"), LISTING, materialize=False)
+    found = res.findings.where("check_id = 'missing_column' and column_name = 'category'").collect()
+    assert [r["detail"] for r in found] == ["previous"]
