@@ -43,6 +43,8 @@ TREES = 16
 DEPTH = 8
 #: Rounds: orders used, rows of other components ahead that a row is compared with, added depth.
 ROUNDS = [(4, 1, 0), (TREES, 2, 0), (TREES, 8, 0), (TREES, 32, 1), (TREES, 128, 2)]
+#: Rows and shingles of a block of a region, whose rows meet those of another block in one task.
+BLOCK_ROWS, BLOCK_WORDS = 1000, 4_000_000
 #: Words whose hash a worker remembers.
 CACHE = 500_000
 
@@ -278,6 +280,122 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             .mapInArrow(run, "d bigint, s binary"))
 
 
+def _region(depth: int):
+    return F.expr(f"substring(key, 1, {4 * depth})").alias("region")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (tree, region, d, n, c, ...) of regions with more than one component, once for each pair of
+    blocks (i, j) they belong to, so that any two rows of different components meet.
+
+    The largest component of a region need not meet itself, so it has blocks of its own (negative).
+    Blocks have about ``BLOCK_ROWS`` rows and ``BLOCK_WORDS`` shingles.
+    """
+    by = ["tree", "region"]
+    sizes = rows.groupBy(*by, "c").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    whole = sizes.groupBy(*by).agg(F.max(F.struct("k", "c", "w")).alias("m"), F.sum("k").alias("k"), F.sum("w").alias("w"))
+
+    def blocks(k, w):
+        return F.ceil(F.greatest(k / BLOCK_ROWS, w / BLOCK_WORDS)).cast("int")
+
+    whole = (whole.where("k > m.k")
+             .select(*by, F.col("m.c").alias("most"), blocks(F.col("m.k"), F.col("m.w")).alias("n_most"),
+                     blocks(F.col("k") - F.col("m.k"), F.col("w") - F.col("m.w")).alias("n_rest")))
+    own = F.xxhash64("d")
+    mine = F.when(F.col("c") == F.col("most"), -1 - F.pmod(own, "n_most")).otherwise(F.pmod(own, "n_rest")).cast("int")
+    # rest meets rest and the largest component; that meets the rest only
+    others = F.expr("if(mine < 0, sequence(0, n_rest - 1), sequence(-n_most, n_rest - 1))")
+    at = rows.join(whole, by).withColumn("mine", mine).withColumn("other", F.explode(others))
+    return (at.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+            .drop("most", "n_most", "n_rest", "mine", "other"))
+
+
+def _meet(depth: int, threshold: int, exact: bool):
+    """Over rows (tree, region, i, j, d, n, c, sig[, s]) sorted by the first four: all pairs of different components
+    in a group whose whole signatures agree enough, each in the first order in which it shares a region.
+
+    Not exact: the rows with such a pair.  Exact: the links (a, b) by the full sets that join components.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enough = least_agreement(threshold / 100)
+
+        def judged(rows):
+            tree, region, i, j = rows.column(0)[0], rows.column(1)[0], rows.column(2)[0].as_py(), rows.column(3)[0].as_py()
+            d, n, c = (rows.column(k).to_numpy() for k in (4, 5, 6))
+            sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=">u4").astype(np.uint32).reshape(-1, TREES * DEPTH)
+            starts = sig.reshape(-1, TREES, DEPTH)[:, :, :depth]
+            own, root = tree.as_py(), {int(x): int(x) for x in c}
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in rows.column(8)] if exact else None
+            hit, links = np.zeros(len(d), bool), []
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for p in range(len(d) - 1):
+                q = p + 1 + np.flatnonzero((c[p + 1:] != c[p]) & (100 * np.minimum(n[p + 1:], n[p])
+                                                                  >= threshold * np.maximum(n[p + 1:], n[p])))
+                q = q[np.count_nonzero(sig[q] == sig[p], axis=1) >= enough]
+                if len(q):
+                    q = q[(starts[q] == starts[p]).all(axis=2).argmax(axis=1) == own]
+                if not len(q):
+                    continue
+                hit[p] = hit[q] = True
+                for k in q.tolist() if exact else ():
+                    x, y = find(int(c[p])), find(int(c[k]))
+                    if x != y:
+                        both = len(np.intersect1d(sets[p], sets[k], assume_unique=True))
+                        if 100 * both >= threshold * (len(sets[p]) + len(sets[k]) - both):
+                            root[x] = y
+                            links.append((int(d[p]), int(d[k])))
+            if exact:
+                return pa.record_batch([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())],
+                                       names=["a", "b"])
+            at = np.flatnonzero(hit)
+            return pa.record_batch([pa.array([own] * len(at), pa.int32()), pa.array([region.as_py()] * len(at), pa.binary()),
+                                    pa.array(d[at])], names=["tree", "region", "d"])
+
+        held, now = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, i, j = (b.column(k).to_numpy() for k in (0, 2, 3))
+            region = np.array(b.column(1).to_pylist(), dtype=object)
+            new = np.flatnonzero((tree[1:] != tree[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (region[1:] != region[:-1])) + 1
+            for at, to in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
+                group = (tree[at], region[at], i[at], j[at])
+                if group != now and held:
+                    yield judged(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held = []
+                now = group
+                held.append(b.slice(at, to - at))
+        if held:
+            yield judged(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def remaining_links(active: DataFrame, comp: DataFrame, sets: DataFrame, depth: int, threshold: int) -> DataFrame:
+    """Links (a, b) between components among all pairs of rows that share a region at ``depth``.
+
+    Nothing is windowed: a first pass compares the signatures of every such pair and keeps the rows that have a
+    candidate, a second one confirms the candidates on the full sets where they meet.
+    """
+    by = ["tree", "region", "i", "j"]
+    parts = shuffle_partitions(active.sparkSession)
+    rows = active.join(comp, "d").select("tree", _region(depth), "d", "n", "c", "sig")
+
+    def met(x, schema, exact):
+        cols = [*by, "d", "n", "c", "sig", *(["s"] if exact else [])]
+        return _dealt(x).select(*cols).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(
+            _meet(depth, threshold, exact), schema)
+
+    hit = land(met(rows, "tree int, region binary, d bigint", False).distinct(), "open")
+    return land(met(rows.join(hit, ["tree", "region", "d"], "left_semi").join(sets, "d"), "a bigint, b bigint", True).distinct(),
+                "links")
+
+
 def _set_hash(s: np.ndarray) -> np.int64:
     from xxhash import xxh3_128_digest
 
@@ -300,6 +418,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (d, c) after the links (a, b)."""
+    of = lambda x, y: comp.select(F.col("d").alias(x), F.col("c").alias(y))
+    roots = components(links.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
+    return land(comp.join(roots, F.col("c") == F.col("node"), "left").select("d", F.coalesce("root", "c").alias("c")),
+                "component")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, d, s1 (set hash), n_shingles, component_id per row; threshold in hundredths."""
     sk = land(sketches(docs, size), "sketches")
@@ -319,14 +445,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = land(pairs, "pairs")
         links = land(confirmed(pairs, sets, threshold), "links")
-        of = lambda x, y: comp.select(F.col("d").alias(x), F.col("c").alias(y))
-        edges = links.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v")
-        roots = components(edges)
-        comp = land(comp.join(roots, F.col("c") == F.col("node"), "left").select("d", F.coalesce("root", "c").alias("c")),
-                    "component")
+        comp = _merged(comp, links)
         tested = pairs if tested is None else tested.unionAll(pairs)
         if n and not cut:
             break
+    comp = _merged(comp, remaining_links(active, comp, sets, least, threshold))
     root = (classes.join(comp, F.col("rep") == F.col("d"), "left").select("s1", "s2", F.coalesce("c", "rep").alias("root")))
     return (sk.join(root, ["s1", "s2"], "left")
             .select("doc_id", "d", "s1", F.col("n").alias("n_shingles"),

@@ -178,6 +178,26 @@ def test_near_duplicates_match_brute_force(docs, texts):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def drifted(n, seed=0):
+    """A tree of copies, each linked (at just 0.85 of three-word shingles) to the one copy it was made from."""
+    rng = random.Random(seed)
+    made = [[f"w{k}" for k in range(150)]]
+    for k in range(1, n):
+        words = list(rng.choice(made[-40:]))
+        for at in rng.sample(range(3, 147, 6), 4):
+            words[at] = f"x{k}-{at}"
+        made.append(words)
+    rng.shuffle(made)
+    return [(i, " ".join(w)) for i, w in enumerate(made)]
+
+
+def test_near_duplicates_of_long_chains(spark):
+    rows = [(i + 1000 * k, t.replace("w", f"{k}w")) for k in range(3) for i, t in drifted(300, k)]
+    want = components_by_hand(rows, 3, 85)
+    got = {r.doc_id: r.component_id for r in lsh_forest.query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
 def test_sentencepiece_equals_the_library(spark, docs, texts):
     import sentencepiece
 
