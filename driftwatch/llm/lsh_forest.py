@@ -3,23 +3,21 @@
 A document's set is its distinct word shingles (64-bit hashes).  Documents with equal sets
 are one class, represented by its least doc_id; only representatives go on.  Each
 of ``TREES`` signature orders sorts them by ``DEPTH`` MinHash values.  A region is a stretch of
-one order whose rows share their first values; neighbours in it, those with the longest
-common prefix, are candidates.
+one order whose rows share their first values (the least depth).
 
-Of those, only pairs whose whole signatures agree as much as those of a pair at the threshold
-do (but for 3 in 100,000) are confirmed.  Candidates are taken in rounds.  Round 1 takes direct neighbours in a few orders, later rounds wider
-and wider windows in all orders.  Links are confirmed on the full sets after each
-round, and rows of one component that stand together count as one in the next, so large
-groups of near copies shrink to a row.  The depth adapts to the region: a region that fits the
-window is compared whole at the least depth, one that does not is cut at a greater
-depth before it is compared further.  Rounds end when no window was cut short.
+Candidates first are neighbours: rounds over a few and then all orders link what stands close together, which
+shrinks large groups of near copies to a component.  The rounds only save work.  After them all pairs
+of rows of different components that share a region at the least depth are compared, however many rows
+the region has: its rows are dealt into blocks, and every two blocks that can hold such a pair meet in a task.
+
+A pair is confirmed on the full sets if the whole signatures agree as much as those of a pair at the
+threshold do (but for 3 in 100,000).
 
 The least depth is the largest at which a pair at the threshold shares a region of some order with
-probability 1 - 2e-5 or more.
+probability 1 - 2e-5 or more.  Work grows with the square of the rows of different components in a region.
 
 Orders are range-partitioned on (order, signature, doc_id), so a region of any size is
-split over tasks; the few rows at the partitions' borders are compared in one more
-small task.  Components, candidates and links stay in Spark.
+split over tasks.  Components, candidates and links stay in Spark.
 
 Defined results: documents without words (null, empty or blank text) have an empty
 set, are linked with nothing and are their own component; ties go to the least doc_id; rows
@@ -41,8 +39,8 @@ from .components import components
 
 TREES = 16
 DEPTH = 8
-#: Rounds: orders used, rows of other components ahead that a row is compared with, added depth.
-ROUNDS = [(4, 1, 0), (TREES, 2, 0), (TREES, 8, 0), (TREES, 32, 1), (TREES, 128, 2)]
+#: Rounds of neighbours: orders used, rows ahead that a row is compared with.
+ROUNDS = [(4, 1), (TREES, 2)]
 #: Rows and shingles of a block of a region, whose rows meet those of another block in one task.
 BLOCK_ROWS, BLOCK_WORDS = 1000, 4_000_000
 #: Words whose hash a worker remembers.
@@ -175,9 +173,6 @@ def in_regions(rows: DataFrame, depth: int) -> DataFrame:
     return ordered.select("tree", "key", "d", "n").mapInArrow(run, "tree int, key binary, d bigint, n bigint")
 
 
-_FOUND = "kind int, a bigint, b bigint, tree int, key binary, n bigint, c bigint, sig binary"
-
-
 def least_agreement(threshold: float) -> int:
     """Equal MinHash values that a pair at the threshold has but for 3 in 100,000 (4 standard deviations)."""
     size = TREES * DEPTH
@@ -185,26 +180,11 @@ def least_agreement(threshold: float) -> int:
 
 
 def _neighbours(depth: int, window: int, threshold: int):
-    """Over rows (tree, key, d, n, c, sig) in order: kind 0, pairs of neighbours of different components
-    whose whole signatures agree enough;
-    1, the rows at the ends of the partition; 2, one row if a window was cut short."""
+    """Over rows (tree, key, d, n, c, sig) in order: pairs of neighbours of different components
+    whose whole signatures agree enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()),
-                            ("key", pa.binary()), ("n", pa.int64()), ("c", pa.int64()), ("sig", pa.binary())])
         enough = least_agreement(threshold / 100)
-
-        def out(kind, a, b=None, tree=None, key=None, n=None, c=None, sig=None):
-            size = len(a)
-            none = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
-            return pa.record_batch([pa.array(np.full(size, kind), pa.int32()), none(a, pa.int64()), none(b, pa.int64()),
-                                    none(tree, pa.int32()), none(key, pa.binary()), none(n, pa.int64()), none(c, pa.int64()),
-                                    none(sig, pa.binary())], schema=schema)
-
-        def ends(x):
-            tree, key, d, n, c, sig = x
-            return out(1, d, None, tree, [k.tobytes() for k in key], n, c, [k.tobytes() for k in sig])
-
-        carry, first, cut = None, True, False
+        carry = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -213,52 +193,27 @@ def _neighbours(depth: int, window: int, threshold: int):
             x = new if carry is None else [np.concatenate([p, q]) for p, q in zip(carry, new)]
             held = 0 if carry is None else len(carry[0])
             tree, key, d, n, c, sig = x
-            near = (tree[1:] == tree[:-1]) & (key[1:, :depth] == key[:-1, :depth]).all(axis=1)
-            # rows that stand together and belong to one component count as one
-            runs = np.flatnonzero(np.concatenate([[True], ~(near & (c[1:] == c[:-1]))]))
-            runs = np.union1d(runs, np.arange(held)) if held else runs
-            x = [p[runs] for p in x]
-            tree, key, d, n, c, sig = x
-            if first:
-                yield ends([p[:window + 1] for p in x])
-                first = False
-            for step in range(1, window + 2):
+            for step in range(1, window + 1):
                 i = np.arange(max(0, held - step), len(d) - step)
                 j = i + step
                 i, j = i[j >= held], j[j >= held]
-                same = (tree[i] == tree[j]) & (key[i, :depth] == key[j, :depth]).all(axis=1)
-                i, j = i[same], j[same]
-                if step > window:
-                    cut = cut or len(i) > 0
-                    break
-                alike = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+                alike = ((tree[i] == tree[j]) & (key[i, :depth] == key[j, :depth]).all(axis=1) & (c[i] != c[j])
+                         & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])))
                 i, j = i[alike], j[alike]
                 near = np.fromiter(((sig[p] == sig[q]).sum() for p, q in zip(i, j)), dtype=np.int64, count=len(i)) >= enough
-                i, j = i[near], j[near]
-                if len(i):
-                    yield out(0, np.minimum(d[i], d[j]), np.maximum(d[i], d[j]))
-            carry = [p[-(window + 1):] for p in x]
-        if carry is not None:
-            yield ends(carry)
-            if cut:
-                yield out(2, [0])
+                yield pa.record_batch([pa.array(f(d[i[near]], d[j[near]]), pa.int64()) for f in (np.minimum, np.maximum)],
+                                      names=["a", "b"])
+            carry = [p[-window:] for p in x]
 
     return run
 
 
-def candidates(active: DataFrame, comp: DataFrame, trees: int, window: int, depth: int, threshold: int):
-    """(distinct pairs a < b, whether a window was cut short)."""
+def candidates(active: DataFrame, comp: DataFrame, trees: int, window: int, depth: int, threshold: int) -> DataFrame:
+    """Distinct pairs a < b of neighbours."""
     by = ["tree", "key", "d"]
     rows = active.where(F.col("tree") < trees).join(comp, "d").select("tree", "key", "d", "n", "c", "sig")
-    spark = rows.sparkSession
-    scan = _neighbours(depth, window, threshold)
-    found = land(rows.repartitionByRange(shuffle_partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(scan, _FOUND),
-                 "neighbours")
-    # rows at the ends: 2 * (window + 1) a partition, whatever the input
-    border = (found.where("kind = 1").select("tree", "key", F.col("a").alias("d"), "n", "c", "sig").distinct()
-              .repartition(1).sortWithinPartitions(*by).mapInArrow(scan, _FOUND))
-    pairs = found.where("kind = 0").unionAll(border.where("kind = 0")).select("a", "b").distinct()
-    return pairs, found.where("kind = 2").limit(1).count() > 0
+    return (rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+            .mapInArrow(_neighbours(depth, window, threshold), "a bigint, b bigint").distinct())
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -438,17 +393,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     ids = active.select("d").distinct().join(classes.select(F.col("rep").alias("d"), "s1"), "d").select("d", "s1")
     sets = land(full_sets(docs, ids, size), "sets")
     comp = land(active.select("d", F.col("d").alias("c")).distinct(), "component")
-    tested = None
-    for n, (trees, window, deeper) in enumerate(ROUNDS):
-        pairs, cut = candidates(active, comp, trees, window, min(DEPTH, least + deeper), threshold)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = land(pairs, "pairs")
-        links = land(confirmed(pairs, sets, threshold), "links")
-        comp = _merged(comp, links)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        if n and not cut:
-            break
+    for trees, window in ROUNDS:
+        pairs = land(candidates(active, comp, trees, window, least, threshold), "pairs")
+        comp = _merged(comp, land(confirmed(pairs, sets, threshold), "links"))
     comp = _merged(comp, remaining_links(active, comp, sets, least, threshold))
     root = (classes.join(comp, F.col("rep") == F.col("d"), "left").select("s1", "s2", F.coalesce("c", "rep").alias("root")))
     return (sk.join(root, ["s1", "s2"], "left")

@@ -198,6 +198,33 @@ def test_near_duplicates_of_long_chains(spark):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_duplicates_far_apart_in_a_region(spark, monkeypatch):
+    """A few links among many unlinked documents of one region, whose order says nothing about them."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", 64)
+    rng, size = np.random.default_rng(4), lsh_forest.TREES * lsh_forest.DEPTH
+    least = lsh_forest.least_depth(0.85)
+    sigs, sets = [], []
+    for d in range(400):
+        # all share the least depth of the first order only; d and d + 200 agree elsewhere but for the next values of it
+        sig = rng.integers(0, 2 ** 32, size, dtype=np.uint64).astype(">u4")
+        own = np.arange(1000 * d, 1000 * d + 100, dtype=np.uint64)
+        if d >= 200:
+            sig, own = np.where(np.arange(size) % lsh_forest.DEPTH < 1, sig, sigs[d - 200]), sets[d - 200]
+            sig[least:lsh_forest.DEPTH] = rng.integers(0, 2 ** 32, lsh_forest.DEPTH - least)
+        sig = sig.astype(">u4")
+        sig[:least] = 7
+        sigs.append(sig)
+        sets.append(own)
+    sk = spark.createDataFrame([(d, 100, bytearray(s.tobytes())) for d, s in enumerate(sigs)], "d bigint, n bigint, sig binary")
+    full = spark.createDataFrame([(d, bytearray(s.tobytes())) for d, s in enumerate(sets)], "d bigint, s binary")
+    rows = lsh_forest.orders(sk).where("tree = 0").join(sk.select("d", "sig"), "d")
+    comp = sk.select("d", F.col("d").alias("c"))
+    got = lsh_forest.remaining_links(rows, comp, full, least, 85).collect()
+    assert {tuple(r) for r in got} == {(d, d + 200) for d in range(200)}
+
+
 def test_sentencepiece_equals_the_library(spark, docs, texts):
     import sentencepiece
 
