@@ -1,7 +1,7 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 A document's set is its distinct word shingles (64-bit hashes).  Documents with equal sets
-are one class, represented by its least doc_id; only representatives go on.  Each
+are one class, represented by its least document; only representatives go on.  Each
 of ``TREES`` signature orders sorts them by ``DEPTH`` MinHash values.  A region is a stretch of
 one order whose rows share their first values (the least depth).
 
@@ -20,8 +20,9 @@ Orders are range-partitioned on (order, signature, doc_id), so a region of any s
 split over tasks.  Components, candidates and links stay in Spark.
 
 Defined results: documents without words (null, empty or blank text) have an empty
-set, are linked with nothing and are their own component; ties go to the least doc_id; rows
-that share a doc_id but not the text are judged by their own text; an empty table
+set, are linked with nothing and are their own component; ties go to the least doc_id, then the
+least hash of the text; rows that share a doc_id (or have none) but not the text are documents of their own, told
+apart by a 64-bit hash of the text, so components that start at one id share a component_id; an empty table
 gives no rows; extra columns are ignored; texts of any length are handled whole.
 """
 
@@ -103,9 +104,14 @@ def _shingler(size: int) -> Shingler:
     return worker_cache(("shingles", size), lambda: Shingler(size))
 
 
+def _document() -> list:
+    """d, u: a document's id and the hash of its text, as texts may share an id."""
+    return [id_key().cast("bigint").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u")]
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, d, n (set size), s1, s2 (hash of the set), sig (null for an empty set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()),
+    """doc_id, d, u (hash of the text), n (set size), s1, s2 (hash of the set), sig (null for an empty set)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("u", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()),
                         ("s2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,18 +122,18 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 n, s1, s2, sig = [], [], [], []
-                for text in part.column(2):
+                for text in part.column(3):
                     s = sh.shingles(text.as_py())
                     both = np.frombuffer(xxh3_128_digest(s.tobytes()), dtype=np.int64)
                     n.append(len(s))
                     s1.append(int(both[0]))
                     s2.append(int(both[1]))
                     sig.append(sh.signature(s) if len(s) else None)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()),
+                yield pa.record_batch([*part.columns[:3], pa.array(n, pa.int64()), pa.array(s1, pa.int64()),
                                        pa.array(s2, pa.int64()), pa.array(sig, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), id_key().cast("bigint").alias("d"), "text").mapInArrow(
-        run, "doc_id bigint, d bigint, n bigint, s1 bigint, s2 bigint, sig binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_document(), "text").mapInArrow(
+        run, "doc_id bigint, d bigint, u bigint, n bigint, s1 bigint, s2 bigint, sig binary")
 
 
 def orders(reps: DataFrame) -> DataFrame:
@@ -216,23 +222,20 @@ def candidates(active: DataFrame, comp: DataFrame, trees: int, window: int, dept
             .mapInArrow(_neighbours(depth, window, threshold), "a bigint, b bigint").distinct())
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """d, s: the sorted shingle hashes (packed 64-bit) of the documents in ``ids``."""
+def full_sets(docs: DataFrame, ids: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """d, s: the sorted shingle hashes (packed 64-bit) of the documents in ``ids`` (d, u, node), by node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = _shingler(size)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                sets = [sh.shingles(t.as_py()) for t in part.column(3)]
-                # rows that share the id but not the text of the representative go
-                mine = [s1 == int(_set_hash(s)) for s, s1 in zip(sets, part.column(1).to_pylist())]
-                keep = [k for k, ok in enumerate(mine) if ok]
-                yield pa.record_batch([part.column(0).take(pa.array(keep, pa.int64())),
-                                       pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["d", "s"])
+                yield pa.record_batch([part.column(0), pa.array([sh.shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())],
+                                      names=["d", "s"])
 
-    keyed = docs.select(id_key().cast("bigint").alias("d"), "text")
-    return (keyed.join(ids, "d").select("d", "s1", F.lit(0).alias("x"), "text")
-            .mapInArrow(run, "d bigint, s binary"))
+    mine = docs.select(*_document(), "text").join(ids, ["d", "u"])
+    if repeated:
+        mine = mine.dropDuplicates(["d", "u"])
+    return mine.select("node", "text").mapInArrow(run, "d bigint, s binary")
 
 
 def _region(depth: int):
@@ -351,12 +354,6 @@ def remaining_links(active: DataFrame, comp: DataFrame, sets: DataFrame, depth:
                 "links")
 
 
-def _set_hash(s: np.ndarray) -> np.int64:
-    from xxhash import xxh3_128_digest
-
-    return np.frombuffer(xxh3_128_digest(s.tobytes()), dtype=np.int64)[0]
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs with 100 * intersection >= threshold * union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,31 +379,38 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, d, s1 (set hash), n_shingles, component_id per row; threshold in hundredths."""
+    """doc_id, d, u, n_shingles, component_id, kept per row; threshold in hundredths."""
     sk = land(sketches(docs, size), "sketches")
     words = sk.where("n > 0")
-    classes = land(words.groupBy("s1", "s2").agg(F.min("d").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")),
-                   "classes")
+    classes = words.groupBy("s1", "s2").agg(F.min(F.struct("d", "u")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # nodes are numbered in the order of their representatives, so the least node of a component has the least
+    classes = land(classes.select("s1", "s2", "rep.d", "rep.u", "n", "sig")
+                   .repartitionByRange(shuffle_partitions(docs.sparkSession), "d", "u").sortWithinPartitions("d", "u")
+                   .withColumn("node", F.monotonically_increasing_id()), "classes")
     least = least_depth(threshold / 100)
-    reps = classes.select(F.col("rep").alias("d"), "n", "sig")
+    reps = classes.select(F.col("node").alias("d"), "n", "sig")
     active = land(in_regions(orders(reps), least).join(reps.select("d", "sig"), "d"), "regions")
-    ids = active.select("d").distinct().join(classes.select(F.col("rep").alias("d"), "s1"), "d").select("d", "s1")
-    sets = land(full_sets(docs, ids, size), "sets")
+    ids = classes.select("d", "u", "node").join(active.select(F.col("d").alias("node")).distinct(), "node", "left_semi")
+    repeated = words.groupBy("d", "u").count().where("count > 1").limit(1).count() > 0
+    sets = land(full_sets(docs, ids, size, repeated), "sets")
     comp = land(active.select("d", F.col("d").alias("c")).distinct(), "component")
     for trees, window in ROUNDS:
         pairs = land(candidates(active, comp, trees, window, least, threshold), "pairs")
         comp = _merged(comp, land(confirmed(pairs, sets, threshold), "links"))
     comp = _merged(comp, remaining_links(active, comp, sets, least, threshold))
-    root = (classes.join(comp, F.col("rep") == F.col("d"), "left").select("s1", "s2", F.coalesce("c", "rep").alias("root")))
+    root = (classes.select("s1", "s2", "node").join(comp.withColumnRenamed("d", "node"), "node", "left")
+            .select("s1", "s2", F.coalesce("c", "node").alias("node"))
+            .join(classes.select("node", F.col("d").alias("rd"), F.col("u").alias("ru")), "node").drop("node"))
+    alone = F.col("n") == 0
     return (sk.join(root, ["s1", "s2"], "left")
-            .select("doc_id", "d", "s1", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("d")).alias("component_id")))
+            .select("doc_id", "d", "u", F.col("n").alias("n_shingles"),
+                    F.when(alone, F.col("d")).otherwise(F.col("rd")).alias("component_id"),
+                    (alone | ((F.col("d") == F.col("rd")) & (F.col("u") == F.col("ru")))).alias("kept")))
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Three-word shingles at 0.85."""
-    return near_duplicates(docs, 3, 85).select(
-        "doc_id", "n_shingles", "component_id", (F.col("d") == F.col("component_id")).alias("kept"))
+    return near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
@@ -414,8 +418,9 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     from pyspark.sql import Window
 
     out = near_duplicates(docs, size, threshold)
-    kept = out.where("d = component_id").select(F.col("d").alias("__d")).distinct()
-    rows = docs.withColumn("__d", id_key())
-    once = (rows.join(kept, "__d", "left_semi")
-            .withColumn("__k", F.row_number().over(Window.partitionBy("__d").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))))
+    kept = out.where("kept").select(F.col("d").alias("__d"), F.col("u").alias("__u")).distinct()
+    d, u = _document()
+    rows = docs.withColumn("__d", d).withColumn("__u", u)
+    once = (rows.join(kept, ["__d", "__u"], "left_semi")
+            .withColumn("__k", F.row_number().over(Window.partitionBy("__d", "__u").orderBy("__u"))))
     return once.where("__k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -225,6 +225,18 @@ def test_near_duplicates_far_apart_in_a_region(spark, monkeypatch):
     assert {tuple(r) for r in got} == {(d, d + 200) for d in range(200)}
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Texts without an id or with one id are documents of their own, and the least of a group stays."""
+    words = [f"w{k}" for k in range(60)]
+    apart = [" ".join(f"{name}{w}" for w in words) for name in "abcdef"]
+    rows = [(None, apart[0]), (None, apart[1]), (None, apart[2]), (7, apart[3]), (7, apart[4]), (8, apart[0] + " end"),
+            (9, apart[3] + " end"), (7, apart[3] + " end more"), (None, apart[0]), (None, None), (7, ""), (10, apart[5])]
+    out = [r.text for r in lsh_forest.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    group = {apart[3], apart[3] + " end more"}
+    assert len(group & set(out)) == 1
+    assert sorted(t or "" for t in out if t not in group) == sorted([*apart[:3], *apart[4:], "", ""])
+
+
 def test_sentencepiece_equals_the_library(spark, docs, texts):
     import sentencepiece
 
