@@ -4,7 +4,7 @@ A rolling hash over the last ``WINDOW`` bytes ends a chunk wherever it is -1 mod
 block size; each chunk gives one character of a signature.  The block size is the
 least power of two that leaves ``TARGET`` chunks or fewer on average, so texts of like length have
 equal or neighbouring block sizes; it is halved while a (repetitive) text gives fewer than
-``FEWEST`` chunks.  A fingerprint holds the signatures at the block
+``FEWEST`` chunks, and doubled while one gives more than ``LONGEST`` and keeps ``FEWEST``.  A fingerprint holds the signatures at the block
 size and at twice it: ``block:signature:signature``.
 
 Two fingerprints are compared by the edit distance of the signatures at a block size that both have:
@@ -19,7 +19,8 @@ rows a partition).
 Defined results: null text counts as empty, and the empty text has the fingerprint of no chunks;
 with equal doc_ids the order is by a hash of the text; a single document is its own successor; an
 empty table gives no rows; extra columns are ignored; texts of any length are handled
-whole.  A signature has ``LONGEST`` characters at most; the last covers the rest of the text.
+whole, and a signature has a character for every chunk: more than ``LONGEST`` only for repetitive texts
+that the next block size would leave with fewer than ``FEWEST``.
 """
 
 from __future__ import annotations
@@ -61,22 +62,21 @@ def rolling(b: np.ndarray) -> np.ndarray:
 
 def signature(b: np.ndarray, roll: np.ndarray, block: int) -> str:
     """A character for each chunk that ends where roll is -1 modulo block, and for the rest."""
-    ends = np.flatnonzero((roll & np.uint32(block - 1)) == np.uint32(block - 1))[:LONGEST - 1] + 1
+    ends = np.flatnonzero((roll & np.uint32(block - 1)) == np.uint32(block - 1)) + 1
     if not len(ends) or ends[-1] < len(b):
         ends = np.append(ends, len(b))
     starts = np.concatenate([[0], ends[:-1]])
-    out = np.empty(len(ends), np.uint64)
-    long = np.flatnonzero(ends - starts > BLOCK)
-    weights = np.arange(len(b), dtype=np.uint64) if not len(long) else None
-    if weights is not None:
-        # bytes weighed by their place in the chunk
-        weights -= np.repeat(starts, ends - starts).astype(np.uint64)
-        term = (b.astype(np.uint64) + np.uint64(1)) * ((weights * _A) ^ _B)
+    out = np.zeros(len(ends), np.uint64)
+    for at in range(0, len(b), BLOCK):
+        to = min(at + BLOCK, len(b))
+        i, j = np.searchsorted(ends, at, "right"), np.searchsorted(starts, to, "left")
+        first = np.maximum(starts[i:j], at)
+        # bytes weighed by their place in the chunk, which may have begun in an earlier piece
+        weights = np.arange(at, to, dtype=np.uint64)
+        weights -= np.repeat(starts[i:j], np.minimum(ends[i:j], to) - first).astype(np.uint64)
+        term = (b[at:to].astype(np.uint64) + np.uint64(1)) * ((weights * _A) ^ _B)
         term ^= term >> np.uint64(31)
-        out = np.add.reduceat(term * _B, starts)
-    else:
-        for k, (i, j) in enumerate(zip(starts.tolist(), ends.tolist())):
-            out[k] = int.from_bytes(hashlib.blake2b(b[i:j], digest_size=8).digest(), "little")
+        out[i:j] += np.add.reduceat(term * _B, first - at)
     return ALPHABET[(out >> np.uint64(40) & np.uint64(63)).astype(np.int64)].tobytes().decode()
 
 
@@ -89,8 +89,14 @@ def fingerprint(text: str | None) -> str:
         return f"{block}::"
     b = np.frombuffer(raw, dtype=np.uint8)
     roll = rolling(b)
-    while block > LEAST_BLOCK and np.count_nonzero((roll & np.uint32(block - 1)) == np.uint32(block - 1)) < FEWEST:
+
+    def chunks(size: int) -> int:
+        return np.count_nonzero((roll & np.uint32(size - 1)) == np.uint32(size - 1))
+
+    while block > LEAST_BLOCK and chunks(block) < FEWEST:
         block //= 2
+    while chunks(block) >= LONGEST and chunks(2 * block) >= FEWEST:
+        block *= 2
     return f"{block}:{signature(b, roll, block)}:{signature(b, roll, 2 * block)}"
 
 

@@ -119,6 +119,28 @@ def test_fingerprints(docs, texts):
                                  piecewise_hash.likeness(own, piecewise_hash.fingerprint(after)))
 
 
+def test_fingerprints_cover_repetitive_texts():
+    """The last quarter of a text counts as a quarter, however often its lines trigger."""
+    rng = random.Random(8)
+    after = "".join(rng.choice("abcdefgh \n") for _ in range(200_000))
+    long = 0
+    for _ in range(40):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(60))
+        text = (line + "\n") * 2000
+        own = piecewise_hash.fingerprint(text)
+        long += len(own.split(":")[1]) > 160
+        assert piecewise_hash.likeness(own, piecewise_hash.fingerprint(piecewise_hash.edited(text, after))) < 0.9
+    assert long
+
+
+def test_fingerprints_of_long_chunks():
+    """Equal chunks have equal characters, whether or not another one is over 1 MiB."""
+    rng = random.Random(9)
+    prose = "".join(rng.choice("abcdefgh \n") for _ in range(800_000))
+    below, above = (piecewise_hash.fingerprint(prose + "z" * n).split(":") for n in (900_000, 1_300_000))
+    assert below[0] == above[0] and [s[:-1] for s in below[1:]] == [s[:-1] for s in above[1:]]
+
+
 def test_edit_distance():
     rng = random.Random(3)
     for _ in range(500):
