@@ -26,8 +26,9 @@ Texts are read as UTF-8 and matches never cross documents; the earliest copy (sm
 doc_id, then smaller start) stays.  Repeats are judged on the input, and overlaps count.
 Grams and stretches are compared by 64-bit hashes each (128 bits together), windows by 128 bits.
 
-A row holds its place packed into one number, ``x``: start, length and gram of the stretch, and 16
-bits of a hash of the text that tell rows with one doc_id apart.
+A row holds its place packed into one number, ``x``: start, length and gram of the stretch.  Its document,
+``d``, is the doc_id; where texts share an id (or have none) it is the document's number in the
+order of id and 64-bit hash of the text.
 
 Defined results: null counts as empty; texts below ``LENGTH`` bytes keep all; equal
 rows (doc_id and text) are one document and get equal results; an empty table gives no rows;
@@ -106,27 +107,34 @@ def stretches(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield g[place[first]], place[first] + at, first + at, last + at
 
 
-def pack(lo, hi, p, u):
-    """Stretch of windows lo..hi (at most 127 apart) that select the gram at p, in text u."""
-    return lo << 30 | (hi - lo) << 23 | (p - lo) << 16 | u
+def pack(lo, hi, p):
+    """Stretch of windows lo..hi (at most 127 apart) that select the gram at p."""
+    return lo << 30 | (hi - lo) << 23 | (p - lo) << 16
 
 
 def unpack(x):
     lo = x >> 30
-    return lo, lo + (x >> 23 & 127), lo + (x >> 16 & 127), x & 0xFFFF
+    return lo, lo + (x >> 23 & 127), lo + (x >> 16 & 127)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(id_key().cast("bigint").alias("d"),
-                       F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("u"), "text")
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, d, text of all rows, k the id; d, text with equal rows once).
 
-
-def distinct_documents(docs: DataFrame) -> DataFrame:
-    """d, u, text with equal rows once; the texts are only shuffled if there are such rows."""
-    keyed = _keyed(docs)
-    if keyed.groupBy("d", "u").count().where("count > 1").limit(1).count():
-        return keyed.dropDuplicates(["d", "u"])
-    return keyed
+    The texts are only shuffled if rows share an id.
+    """
+    keyed = docs.select(id_key().cast("bigint").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u"), "text")
+    if not keyed.groupBy("k").count().where("count > 1").limit(1).count():
+        rows = keyed.select("k", F.col("k").alias("d"), "text")
+        return rows, rows.select("d", "text")
+    documents = keyed.select("k", "u").distinct()
+    if documents.groupBy("k").count().where("count > 1").limit(1).count():
+        by = ["k", "u"]
+        numbers = land(documents.repartitionByRange(shuffle_partitions(docs.sparkSession), *by).sortWithinPartitions(*by)
+                       .withColumn("d", F.monotonically_increasing_id()), "numbers")
+        rows = keyed.join(numbers, by).select("k", "d", "text")
+    else:
+        rows = keyed.select("k", F.col("k").alias("d"), "text")
+    return rows, rows.select("d", "text").dropDuplicates(["d"])
 
 
 def _utf8(column: pa.Array) -> Iterator[bytes]:
@@ -145,13 +153,13 @@ def digit_rows(texts: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(np.concatenate([h[k] for h in held])) for k in range(4)], schema=schema)
 
         for b in batches:
-            for d, u, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _utf8(b.column(2))):
+            for d, raw in zip(b.column(0).to_pylist(), _utf8(b.column(1))):
                 if len(raw) < LENGTH:
                     continue
                 for g, p, lo, hi in stretches(np.frombuffer(raw, dtype=np.uint8)):
                     c = np.fromiter((xxh3_64_intdigest(raw[i:j]) for i, j in zip(lo.tolist(), (hi + LENGTH).tolist())),
                                     dtype=np.uint64, count=len(lo))
-                    held.append((g.view(np.int64), c.view(np.int64), np.full(len(g), d), pack(lo, hi, p, u)))
+                    held.append((g.view(np.int64), c.view(np.int64), np.full(len(g), d), pack(lo, hi, p)))
                     size += len(g)
                 if size > 200_000:
                     yield flush()
@@ -159,7 +167,7 @@ def digit_rows(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.select("d", "u", "text").mapInArrow(run, "g bigint, c bigint, d bigint, x bigint")
+    return texts.select("d", "text").mapInArrow(run, "g bigint, c bigint, d bigint, x bigint")
 
 
 def pass_one(rows: DataFrame) -> DataFrame:
@@ -200,10 +208,9 @@ def pass_one(rows: DataFrame) -> DataFrame:
 
 
 def _with_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """d, u, xs, text: a document's places in an array (their number is bounded by its text's length)."""
-    mine = (places.groupBy("d", F.col("x").bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("u"))
-            .agg(F.collect_list("x").alias("xs")))
-    return packed(texts, ["d", "u"]).join(mine, ["d", "u"]).select("d", "u", "xs", "z")
+    """d, xs, text: a document's places in an array (their number is bounded by its text's length)."""
+    mine = places.groupBy("d").agg(F.collect_list("x").alias("xs"))
+    return packed(texts, ["d"]).join(mine, "d").select("d", "xs", "z")
 
 
 def packed(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -240,17 +247,17 @@ def half_digits(texts: DataFrame, left: DataFrame) -> DataFrame:
 
         for b in batches:
             hs, ds, out = [], [], []
-            for d, u, xs, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), unpacked(b.column(3))):
+            for d, xs, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unpacked(b.column(2))):
                 for x in xs:
-                    lo, hi, p, _ = unpack(x)
+                    lo, hi, p = unpack(x)
                     # windows up to p - HALF have HALF bytes before the gram, the others after it
                     if lo <= p - HALF:
                         hs.append(xxh3_128_intdigest(raw[p - HALF:p + GRAM], 1))
-                        out.append(pack(lo, min(hi, p - HALF), p, u))
+                        out.append(pack(lo, min(hi, p - HALF), p))
                         ds.append(d)
                     if hi > p - HALF:
                         hs.append(xxh3_128_intdigest(raw[p:p + GRAM + HALF], 2))
-                        out.append(pack(max(lo, p - HALF + 1), hi, p, u))
+                        out.append(pack(max(lo, p - HALF + 1), hi, p))
                         ds.append(d)
             yield pa.record_batch([*_hashes(hs), pa.array(ds, pa.int64()), pa.array(out, pa.int64())], names=["h1", "h2", "d", "x"])
 
@@ -271,14 +278,14 @@ def windows(texts: DataFrame, left: DataFrame) -> DataFrame:
             raw, ds, xs = raw[order], ds[order], xs[order]
             known = np.concatenate([[False], (raw[1:] == raw[:-1]).all(axis=1)])
             # known repeats go on as stretches: nothing needs to meet them, so they may go to any task
-            kd, ku, ks = ds[known], xs[known] & 0xFFFF, xs[known] >> 30
-            order = np.lexsort((ks, ku, kd))
-            kd, ku, ks = kd[order], ku[order], ks[order]
+            kd, ks = ds[known], xs[known] >> 30
+            order = np.lexsort((ks, kd))
+            kd, ks = kd[order], ks[order]
             new = np.ones(len(kd), bool)
-            new[1:] = (kd[1:] != kd[:-1]) | (ku[1:] != ku[:-1]) | (ks[1:] != ks[:-1] + 1) | (ks[1:] % 100 == 0)
+            new[1:] = (kd[1:] != kd[:-1]) | (ks[1:] != ks[:-1] + 1) | (ks[1:] % 100 == 0)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(kd))[:len(first)] - 1
-            kx = pack(ks[first], ks[last], ks[first], ku[first])
+            kx = pack(ks[first], ks[last], ks[first])
             fresh = ~known
             cols = [np.concatenate(c) for c in ((raw[fresh, 0], kx), (raw[fresh, 1], kd[first]), (ds[fresh], kd[first]),
                                                 (xs[fresh], kx))]
@@ -287,10 +294,10 @@ def windows(texts: DataFrame, left: DataFrame) -> DataFrame:
 
         held, size = [], 0
         for b in batches:
-            for d, u, xs, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), unpacked(b.column(3))):
+            for d, xs, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unpacked(b.column(2))):
                 starts = [s for x in xs for s in range(unpack(x)[0], unpack(x)[1] + 1)]
                 held.append((b"".join([xxh3_128_digest(raw[s:s + LENGTH]) for s in starts]), d,
-                             np.asarray(starts, dtype=np.int64) << 30 | u))
+                             np.asarray(starts, dtype=np.int64) << 30))
                 size += len(starts)
                 if size > 500_000:
                     yield settled(held)
@@ -323,10 +330,9 @@ def pass_three(wins: DataFrame) -> DataFrame:
             .select("h1", "h2", "d", "x", "known").mapInArrow(run, "d bigint, x bigint"))
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """d, x of stretches of repeated windows."""
-    spark = docs.sparkSession
-    texts = distinct_documents(docs)
+def repeated_ranges(texts: DataFrame) -> DataFrame:
+    """d, x of stretches of repeated windows in the texts (d, text)."""
+    spark = texts.sparkSession
     rows = land(digit_rows(texts), "digit-1")
     one = land(pass_one(rows), "pass-1")
     drop_landed(rows)
@@ -345,7 +351,7 @@ def removed_runs(xs) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the windows of the stretches xs (start, end)."""
     if xs is None or not len(xs):
         return []
-    lo, hi, _, _ = unpack(np.asarray(xs, dtype=np.int64))
+    lo, hi, _ = unpack(np.asarray(xs, dtype=np.int64))
     order = np.argsort(lo)
     start = np.asarray(lo, dtype=np.int64)[order]
     end = np.maximum.accumulate(np.asarray(hi, dtype=np.int64)[order] + LENGTH)
@@ -366,8 +372,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def _per_text(docs: DataFrame, schema: str, row) -> DataFrame:
-    ranges = (repeated_ranges(docs).groupBy("d", F.col("x").bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("u"))
-              .agg(F.collect_list("x").alias("xs")))
+    every, texts = numbered(docs)
+    ranges = repeated_ranges(texts).groupBy("d").agg(F.collect_list("x").alias("xs"))
     names = ["doc_id", *[c.split()[0] for c in schema.split(", ")[1:]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,5 +393,5 @@ def _per_text(docs: DataFrame, schema: str, row) -> DataFrame:
 
     types = {"kept": pa.binary(), "kept_sha256": pa.string(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
              "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-    joined = packed(_keyed(docs), ["d", "u"]).join(ranges, ["d", "u"], "left").select("d", "z", "xs")
+    joined = packed(every, ["k", "d"]).join(ranges, "d", "left").select("k", "z", "xs")
     return joined.mapInArrow(run, schema)

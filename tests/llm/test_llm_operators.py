@@ -57,6 +57,18 @@ def test_suffix_dedup_is_exact(docs, texts):
             len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_of_texts_that_share_an_id(spark):
+    """1,500 texts without an id: each is scanned, whatever the low bits of its hash."""
+    rng = random.Random(6)
+    first = ["".join(rng.choice("abcdefghij ") for _ in range(150)) for _ in range(1500)]
+    rows = [(None, t) for t in first] + [(k, f"{t} {k}") for k, t in enumerate(first)] + [(None, first[0])]
+    got = suffix_dedup.query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    want = collections.Counter((None, 150, 0, 0) for _ in range(1501))
+    want.update((k, 151 + len(str(k)), 150, 1) for k in range(1500))
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == want
+
+
 def test_packing_holds_every_id_once(docs, texts):
     from tokenizers import Tokenizer
 
