@@ -45,7 +45,9 @@ def land(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.landed_in = path
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -59,12 +61,10 @@ def release(spark: SparkSession) -> None:
 
 
 def drop_landed(df: DataFrame) -> None:
-    """Delete the files of a landed table once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the folder of a table that ``land`` returned, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.landed_in)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -72,12 +72,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def worker_cache(key: Hashable, make: Callable[[], object]):
-    """One object per Python worker process, kept across the tasks it runs.
+    """The object of one operator, kept by a Python worker across its tasks; another operator's takes its place.
 
     Functions reach a worker by value, so a global of theirs would last for one task.
     """
     name = "_driftwatch_llm_worker"
     held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get("key") != key:
+        held["made"] = None                      # let go of the old one before the new one is made
+        held["key"], held["made"] = key, make()
+    return held["made"]
+
+
+class Remembered(dict):
+    """A dictionary of what has been computed, emptied when its keys and values pass ``limit`` bytes.
+
+    ``keep`` is the one way in, so the limit is tested at each entry.  Values over ``longest`` bytes aren't kept.
+    """
+
+    ENTRY = 160                                  # of the table and the two objects' heads
+
+    def __init__(self, limit: int = 64 << 20, longest: int = 1024):
+        super().__init__()
+        self.limit, self.longest, self.held = limit, longest, 0
+
+    def keep(self, key, value, size: int) -> None:
+        """``size``: bytes of the key and the value."""
+        if size > self.longest:
+            return
+        if self.held + size + self.ENTRY > self.limit:
+            self.clear()
+            self.held = 0
+        self.held += size + self.ENTRY
+        self[key] = value

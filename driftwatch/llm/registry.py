@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from . import (
-    license_scan, line_dedup, lsh_forest, packing, pii, piecewise_hash, quality_rules, sentencepiece_codec,
-    suffix_dedup, warc,
+    ann_tree, conversation_repair, hard_negatives, license_scan, line_dedup, lsh_forest, packing, pii, piecewise_hash,
+    quality_rules, sentencepiece_codec, suffix_dedup, warc,
 )
 from .common import documents
 
@@ -26,11 +26,16 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": lambda s, d: sentencepiece_codec.query(documents(s, d)),
     "op9_warc_derivatives": lambda s, d: warc.query(read_table(s, d, "pages")),
     "op10_pii": lambda s, d: pii.query(documents(s, d)),
+    "op11_ann_tree": lambda s, d: ann_tree.query(read_table(s, d, "embeddings")),
+    "op12_hard_negatives": lambda s, d: hard_negatives.query(read_table(s, d, "embeddings")),
+    "op13_conversation_repair": lambda s, d: conversation_repair.query(read_table(s, d, "conversations")),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle_sql(),
     "op7_line_dedup": line_dedup.oracle_sql(),
+    "op12_hard_negatives": hard_negatives.oracle_sql(),
+    "op13_conversation_repair": conversation_repair.oracle_sql(),
 }
 
 

@@ -331,6 +331,9 @@ def test_tagger_finds_held_out_spans():
 def test_empty_tables(spark, key, tmpdir_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmpdir_path}/pages.parquet")
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmpdir_path}/embeddings.parquet")
+    spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(
+        f"{tmpdir_path}/conversations.parquet")
     assert __spark_entry__.queries()[key](spark, tmpdir_path).count() == 0
 
 
