@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_landed, land, shuffle_partitions
+from .common import drop_landed, land
 from .vectors import dimension, distinct_ids, finite, matrix, packed, unpacked
 
 SCALE = 256
@@ -174,7 +174,7 @@ def _past(rows: DataFrame, anchors: DataFrame, slabs: int, dim: int, answer, sch
                        F.lit(None).cast("array<bigint>").alias("scores"))
     each = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), F.lit(1).alias("tag"), "id", "label",
                           "v", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("stored"), "scores")
-    both = held.unionByName(each).repartition(max(slabs, 1), "slab").sortWithinPartitions("slab", "tag", "id")
+    both = held.unionByName(each).repartition(2 * slabs, "slab").sortWithinPartitions("slab", "tag", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, slab, now = [], None, None
@@ -228,7 +228,9 @@ def mine(rows: DataFrame, every: int = 100) -> DataFrame:
     spark = rows.sparkSession
     stored, dim = prepared(rows)
     stored = land(stored, "codes")
-    slabs = max(-(-stored.count() * (4 * dim + 64 + CODES * (dim // 8 + 16)) // SLAB_BYTES), shuffle_partitions(spark))
+    # as few as memory and cores ask for: each slab gives its best rows of every anchor
+    slabs = max(-(-stored.count() * (4 * dim + 64 + CODES * (dim // 8 + 16)) // SLAB_BYTES),
+                2 * spark.sparkContext.defaultParallelism)
     anchors = stored.where(F.col("id") % every == 0).select("id", "label", "v")
     near = _past(stored, anchors.withColumn("scores", F.array().cast("array<bigint>")), slabs, dim, _positives,
                  "anchor_id bigint, positive_id bigint, positive_score bigint")
