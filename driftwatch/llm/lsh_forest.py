@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, land, shuffle_partitions, worker_cache
+from .common import Remembered, id_key, land, shuffle_partitions, worker_cache
 from .components import components
 
 TREES = 16
@@ -44,8 +44,8 @@ DEPTH = 8
 ROUNDS = [(4, 1), (TREES, 2)]
 #: Rows and shingles of a block of a region, whose rows meet those of another block in one task.
 BLOCK_ROWS, BLOCK_WORDS = 1000, 4_000_000
-#: Words whose hash a worker remembers.
-CACHE = 500_000
+#: Bytes of words whose hash a worker remembers.
+CACHE = 64 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,7 +65,7 @@ class Shingler:
     def __init__(self, size: int):
         from xxhash import xxh3_64_intdigest
 
-        self.size, self.digest, self.known = size, xxh3_64_intdigest, {}
+        self.size, self.digest, self.known = size, xxh3_64_intdigest, Remembered(CACHE)
         rng = np.random.default_rng(20240229)
         self.a = rng.integers(0, 2 ** 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2 ** 63, TREES * DEPTH, dtype=np.uint64)
@@ -73,7 +73,8 @@ class Shingler:
     def _learn(self, word: bytes) -> int:
         h = self.known.get(word)
         if h is None:
-            h = self.known[word] = self.digest(word)
+            h = self.digest(word)
+            self.known.keep([(word, h)])
         return h
 
     def shingles(self, text: str | None) -> np.ndarray:
@@ -81,8 +82,6 @@ class Shingler:
         words = (text or "").encode().lower().split()       # ASCII white space, as bytes
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.known) > CACHE:
-            self.known.clear()
         w = np.fromiter(map(self._learn, words), dtype=np.uint64, count=len(words))
         k = min(self.size, len(w))
         h = w[:len(w) - k + 1].copy()

@@ -27,16 +27,18 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import land, worker_cache
+from .common import Remembered, land, worker_cache
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers.
-CACHE = 1_000_000
+#: Bytes of words and ids that a worker remembers.
+CACHE = 144 << 20
+#: Rows of the (length, task) table from which on it is joined by a shuffle, whatever its size in bytes.
+SHUFFLED = 200_000
 
 
 class WordTokenizer:
@@ -52,7 +54,7 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(CACHE)
 
     @staticmethod
     def _parts(chunk: str) -> tuple[str, ...]:
@@ -65,24 +67,24 @@ class WordTokenizer:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        parts = {c: self._parts(c) for c in set().union(*cut).difference(known)}
-        words = list({p for ps in parts.values() for p in ps}.difference(known))
-        for word, got in zip(words, self.batch(words, add_special_tokens=False)):
-            known[word] = array("I", got.ids).tobytes()
+        known = self.known
+        now = {c: known.get(c) for c in set().union(*cut)}       # of these texts alone
+        parts = {c: self._parts(c) for c, ids in now.items() if ids is None}
+        words = list({p for ps in parts.values() for p in ps if p not in known})
+        ids = {w: array("I", got.ids).tobytes() for w, got in zip(words, self.batch(words, add_special_tokens=False))}
         for chunk, ps in parts.items():
-            known[chunk] = b"".join([known[p] for p in ps])
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+            now[chunk] = b"".join([ids[p] if p in ids else known[p] for p in ps])
+        known.keep(ids.items())
+        known.keep((c, now[c]) for c in parts if c not in ids)
+        return [b"".join(map(now.__getitem__, chunks)) for chunks in cut]
 
 
-def _groups(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
-    """Consecutive texts of about so many characters together."""
+def _groups(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
+    """Consecutive texts (null: empty) of about so many characters together."""
     group, size = [], 0
     for t in texts:
-        group.append(t)
+        group.append(t := t.as_py() or "")
         size += len(t)
         if size >= chars:
             yield group
@@ -96,17 +98,18 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
     task's pieces of that length); with ``keep_ids`` also ids (packed little-endian)."""
     schema = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task int, nth bigint"
               + ", ids binary" * keep_ids)
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tok = worker_cache(("words", tokenizer), lambda: WordTokenizer(tokenizer))
         task, seen = TaskContext.get().partitionId(), {}
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for b in batches:
-            rows = []
-            encoded = (e for g in _groups([t or "" for t in b["text"]]) for e in tok.encode_many(g))
-            for doc_id, ids in zip(b["doc_id"], encoded):
+            at, rows, parts = [], [], []
+            encoded = (e for g in _groups(b.column(1)) for e in tok.encode_many(g))
+            for row, ids in enumerate(encoded):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
@@ -114,14 +117,16 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
                     length = len(part) // 4
                     nth = seen.get(length, 0)
                     seen[length] = nth + 1
-                    row = (None if pd.isna(doc_id) else int(doc_id), start, length, zlib.crc32(part), n, task, nth)
-                    rows.append((*row, part) if keep_ids else row)
-            names = [c.split()[0] for c in schema.split(", ")]
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    at.append(row)
+                    rows.append((start, length, zlib.crc32(part), n, task, nth))
+                    if keep_ids:
+                        parts.append(part)
+            numbers = np.asarray(rows, dtype=np.int64).reshape(-1, 6).T
+            columns = [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c) for c in numbers[:4]),
+                       pa.array(numbers[4].astype(np.int32)), pa.array(numbers[5])]
+            yield pa.record_batch(columns + [pa.array(parts, pa.binary())] * keep_ids, names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
 def pack_histogram(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -160,9 +165,9 @@ def pack_histogram(counts: dict[int, int], window: int = WINDOW) -> list[tuple[i
     return [(copies, list(lengths)) for group in by_room.values() for copies, lengths in group]
 
 
-def placements(patterns: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
-    """length, first (rank), copies, sequence (of the first copy), offset: one row per distinct
-    length of a pattern.  Rank first + j goes to copy j % copies, at its place j // copies."""
+def placements(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray]:
+    """length, first (rank), copies, sequence (of the first copy), offset: one entry per distinct
+    length of a pattern, in order of length and first.  Rank first + j goes to copy j % copies, at its place j // copies."""
     taken: dict[int, int] = {}
     rows, sequence = [], 0
     for copies, lengths in patterns:
@@ -172,8 +177,8 @@ def placements(patterns: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFram
             taken[length] = taken.get(length, 0) + copies * times
             offset += length * times
         sequence += copies
-    return pd.DataFrame(rows, columns=["length", "first", "copies", "sequence", "offset"]).sort_values(
-        ["length", "first"], ignore_index=True)
+    table = np.asarray(sorted(rows), dtype=np.int64).reshape(-1, 5).T
+    return dict(zip(["length", "first", "copies", "sequence", "offset"], table))
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
@@ -186,25 +191,26 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool =
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     place = placements(pack_histogram(counts, window))
     # places of a length are contiguous and sorted by first rank
-    table = spark.sparkContext.broadcast({c: place[c].to_numpy(np.int64) for c in place.columns})
+    table = spark.sparkContext.broadcast(place)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         key = t["length"] * (1 << 48) + t["first"]
         for b in batches:
-            length = b["length"].to_numpy(np.int64)
-            rank = b["base"].to_numpy(np.int64) + b["nth"].to_numpy(np.int64)
+            length, rank = b.column("length").to_numpy(), b.column("base").to_numpy() + b.column("nth").to_numpy()
             at = np.searchsorted(key, length * (1 << 48) + rank, side="right") - 1
             j = rank - t["first"][at]
-            b["sequence_id"] = t["sequence"][at] + j % t["copies"][at]
-            b["offset"] = t["offset"][at] + j // t["copies"][at] * length
-            yield b.drop(columns=["task", "nth", "base"])
+            sequence = t["sequence"][at] + j % t["copies"][at]
+            offset = t["offset"][at] + j // t["copies"][at] * length
+            yield pa.record_batch([*(b.column(c) for c in cols), pa.array(sequence), pa.array(offset)],
+                                  names=[*cols, "sequence_id", "offset"])
 
-    named = cut.join(by_task.select("length", "task", "base"), ["length", "task"])
+    of_task = by_task.select("length", "task", "base")
+    named = cut.join(of_task.hint("merge") if by_task.count() > SHUFFLED else of_task, ["length", "task"])
     cols = [c for c in cut.columns if c not in ("task", "nth")]
     types = dict(cut.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", sequence_id bigint, offset bigint"
-    return named.select(*cut.columns, "base").mapInPandas(assign, schema)
+    return named.select(*cut.columns, "base").mapInArrow(assign, schema)
 
 
 def tokenizer_path() -> str:

@@ -4,7 +4,9 @@ A rolling hash over the last ``WINDOW`` bytes ends a chunk wherever it is -1 mod
 block size; each chunk gives one character of a signature.  The block size is the
 least power of two that leaves ``TARGET`` chunks or fewer on average, so texts of like length have
 equal or neighbouring block sizes; it is halved while a (repetitive) text gives fewer than
-``FEWEST`` chunks, and doubled while one gives more than ``LONGEST`` and keeps ``FEWEST``.  A fingerprint holds the signatures at the block
+``FEWEST`` chunks, and doubled while one gives more than ``LONGEST`` and keeps ``FEWEST``.  Where a repetitive text
+still gives more than ``MOST`` chunks, as the next block size finds next to none, so many neighbouring chunks are taken
+together, a power of two, that ``MOST`` or fewer are left.  A fingerprint holds the signatures at the block
 size and at twice it: ``block:signature:signature``.
 
 Two fingerprints are compared by the edit distance of the signatures at a block size that both have:
@@ -19,8 +21,8 @@ rows a partition).
 Defined results: null text counts as empty, and the empty text has the fingerprint of no chunks;
 with equal doc_ids the order is by a hash of the text; a single document is its own successor; an
 empty table gives no rows; extra columns are ignored; texts of any length are handled
-whole, and a signature has a character for every chunk: more than ``LONGEST`` only for repetitive texts
-that the next block size would leave with fewer than ``FEWEST``.
+whole, and a signature has a character for every chunk or group of chunks: more than ``LONGEST`` only for repetitive
+texts that the next block size would leave with fewer than ``FEWEST``, and never more than ``MOST``.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ TARGET = 48
 FEWEST = 12
 LEAST_BLOCK = 4
 LONGEST = 160
+#: Characters of a signature, whatever the text: an edit distance costs their square.
+MOST = 2048
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +81,12 @@ def signature(b: np.ndarray, roll: np.ndarray, block: int) -> str:
         term = (b[at:to].astype(np.uint64) + np.uint64(1)) * ((weights * _A) ^ _B)
         term ^= term >> np.uint64(31)
         out[i:j] += np.add.reduceat(term * _B, first - at)
+    times = 1
+    while len(out) > MOST * times:
+        times *= 2
+    if times > 1:
+        place = np.arange(len(out), dtype=np.uint64) & np.uint64(times - 1)
+        out = np.add.reduceat(out * (place * _B | np.uint64(1)), np.arange(0, len(out), times))
     return ALPHABET[(out >> np.uint64(40) & np.uint64(63)).astype(np.int64)].tobytes().decode()
 
 

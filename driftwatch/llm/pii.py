@@ -9,9 +9,9 @@ numbers and addresses set into windows of the corpus.
 
 Texts are cut into overlapping windows, decoded by Viterbi in batches, and reconciled: each character takes
 its tag from the window it is most central in, and spans are read off the whole text's
-tags.  A span of any kind has a digit or an at sign by definition, so a window with neither
-is all "outside" and isn't decoded.  A model's span is added if it has the form of its kind and doesn't
-overlap a base span.
+tags.  A model's span is added if it has the form of its kind and doesn't overlap a base span.  By these
+forms a span lies in a run of characters other than white space that has an at sign, or in a run of digits and
+``().+-`` and blanks that has a digit; a window that meets no such run isn't decoded.
 
 Defined results: null or empty text has no spans; repeated rows get equal rows; where two
 spans of the model touch, both stay; an empty table gives no rows (and trains on generated
@@ -21,15 +21,18 @@ any length are handled whole.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_landed, land
+
 KINDS = ["email", "ip", "card", "phone"]
 #: Characters a window, and from one window's start to the next's.
 WINDOW, STRIDE = 64, 32
@@ -108,6 +111,9 @@ for _lo, _hi, _k in (("0", "9", 1), ("a", "z", 2), ("A", "Z", 3)):
 _CLASS[[9, 10, 11, 12, 13, 32]] = 5
 _CLASS[[ord(c) for c in _SINGLE]] = np.arange(7, 7 + len(_SINGLE))
 N_CLASSES = 7 + len(_SINGLE)
+#: Classes of the characters of numbers: digits, blanks, ``().+-``.
+_IN_NUMBER = np.zeros(N_CLASSES, bool)
+_IN_NUMBER[[1, 5, *(7 + _SINGLE.index(c) for c in "().+-")]] = True
 N_TAGS = 1 + 2 * len(KINDS)                       # outside, then begin and inside of each kind
 
 
@@ -123,11 +129,28 @@ def tags_of(n: int, spans) -> np.ndarray:
     return out
 
 
-def window_starts(text: str, x: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a digit or an at sign."""
+def _runs_with(member: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Marks the maximal runs of ``member`` that hold a ``wanted`` place."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], member, [False]]).astype(np.int8)))
+    first, end = edge[::2], edge[1::2]
+    seen = np.concatenate([[0], np.cumsum(wanted)])
+    held = seen[end] > seen[first]
+    steps = np.zeros(len(member) + 1, dtype=np.int64)
+    np.add.at(steps, first[held], 1)
+    np.add.at(steps, end[held], -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def possible(x: np.ndarray) -> np.ndarray:
+    """Places of a text (its classes) where a span of some kind's form can be."""
+    return _runs_with((x != 5) & (x != 0), x == 7) | _runs_with(_IN_NUMBER[x], x == 1)
+
+
+def window_starts(x: np.ndarray) -> np.ndarray:
+    """Starts of the windows that meet a place where a span can be."""
     n = max(1, -(-max(0, len(x) - WINDOW) // STRIDE) + 1)
     hit = np.zeros(len(x) + 1, dtype=np.int64)
-    np.cumsum((x == 1) | (x == 7), out=hit[1:])
+    np.cumsum(possible(x), out=hit[1:])
     starts = np.arange(n) * STRIDE
     return starts[hit[np.minimum(starts + WINDOW, len(x))] > hit[np.minimum(starts, len(x))]]
 
@@ -314,23 +337,39 @@ def _made(rng: np.random.Generator) -> list[tuple[str, str]]:
 
 def sample_windows(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Texts of windows (with their surroundings) with and without a base span: ``SAMPLE`` of each at
-    most, those of least hash.  Only they reach the driver."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    most, those of least hash.  The table is read once; a task gives no more than its own ``SAMPLE`` of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        least: list[dict[tuple[int, str], None]] = [{}, {}]
+        most = [2 ** 64, 2 ** 64]
         for b in batches:
-            rows = []
-            for text in b["text"]:
+            for text in b.column(0).to_pylist():
                 if not text or not _HINT.search(text):
                     continue
-                found = base_spans(text)
-                for s in window_starts(text, classes(text)).tolist():
+                found = sorted((a, z) for _, a, z in base_spans(text))
+                ends = np.maximum.accumulate([z for _, z in found]) if found else []
+                begins = [a for a, _ in found]
+                for s in window_starts(classes(text)).tolist():
+                    k = bisect.bisect_left(begins, s + WINDOW)
+                    has = k > 0 and bool(ends[k - 1] > s)
                     piece = text[max(0, s - STRIDE):s + WINDOW + STRIDE]
-                    rows.append((any(a < s + WINDOW and z > s for _, a, z in found), piece))
-            yield pd.DataFrame(rows, columns=["has", "piece"])
-
-    pieces = docs.select("text").mapInPandas(run, "has boolean, piece string")
-    take = lambda has: [r["piece"] for r in pieces.where(F.col("has") == has).groupBy("piece").agg(F.lit(1)).orderBy(
-        F.xxhash64("piece"), "piece").limit(SAMPLE).select("piece").collect()]
-    return take(True), take(False)
+                    h = xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), 42)
+                    if h < most[has]:
+                        least[has][h, piece] = None
+                        if len(least[has]) >= 2 * SAMPLE:
+                            least[has] = dict.fromkeys(sorted(least[has])[:SAMPLE])
+                            most[has] = max(least[has])[0] + 1
+        rows = [(has, h - 2 ** 63, piece) for has in (False, True) for h, piece in sorted(least[has])[:SAMPLE]]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int64()),
+                               pa.array([r[2] for r in rows], pa.string())], names=["has", "h", "piece"])
+
+    pieces = land(docs.select("text").mapInArrow(run, "has boolean, h bigint, piece string"), "windows")
+    take = lambda has: [r["piece"] for r in pieces.where(F.col("has") == has).select("h", "piece").distinct().orderBy(
+        "h", "piece").limit(SAMPLE).collect()]
+    out = take(True), take(False)
+    drop_landed(pieces)
+    return out
 
 
 def training_set(having: list[str], without: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +391,7 @@ def training_set(having: list[str], without: list[str], seed: int = 11) -> tuple
     xs, ys = [], []
     for text, spans in examples:
         x = classes(text)
-        starts = window_starts(text, x)
+        starts = window_starts(x)
         xs.append(cut(x, starts))
         ys.append(cut(tags_of(len(x), spans), starts))
     return np.concatenate(xs), np.concatenate(ys)
@@ -369,7 +408,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------- spans of whole texts
 
 _FORM = {
-    "email": lambda s: s.count("@") == 1 and "." in s.split("@")[1].strip(".") and " " not in s,
+    "email": lambda s: s.count("@") == 1 and "." in s.split("@")[1].strip(".") and not re.search(r"\s", s),
     "ip": lambda s: re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", s) is not None,
     "card": lambda s: re.fullmatch(r"[0-9][0-9 -]+[0-9]", s) is not None and 13 <= len(_digits(s)) <= 19 and luhn(_digits(s)),
     "phone": lambda s: re.fullmatch(r"\+?[0-9(][0-9 ().-]+[0-9]", s) is not None and 8 <= len(_digits(s)) <= 15,
@@ -399,7 +438,7 @@ def spans_of_tags(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
 def find(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text."""
     xs = [classes(t) if _HINT.search(t) else None for t in texts]
-    starts = [window_starts(t, x) if x is not None else None for t, x in zip(texts, xs)]
+    starts = [window_starts(x) if x is not None else None for x in xs]
     tags = [np.zeros(len(x), dtype=np.int8) if x is not None else None for x in xs]
     todo = [(k, s) for k, ss in enumerate(starts) if ss is not None for s in ss.tolist()]
     side = (WINDOW - STRIDE) // 2
@@ -416,18 +455,22 @@ def find(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list, lis
         base = base_spans(text)
         added = []
         if t is not None and t.any():
-            taken = sorted((a, b) for _, a, b in base)
-            added = [s for s in spans_of_tags(text, t) if not any(a < s[2] and b > s[1] for a, b in _near(taken, s))]
+            added = _apart(spans_of_tags(text, t), base)
         out.append((base, added))
     return out
 
 
-def _near(taken: list[tuple[int, int]], span) -> list[tuple[int, int]]:
-    import bisect
-
-    k = bisect.bisect_left(taken, (span[1], 0))
-    # base spans of different kinds can overlap each other, so look a few back
-    return taken[max(0, k - 4):bisect.bisect_left(taken, (span[2], 0))]
+def _apart(spans, base):
+    """The spans that overlap no base span (these may overlap each other)."""
+    taken = sorted((a, b) for _, a, b in base)
+    begins = [a for a, _ in taken]
+    ends = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+    out = []
+    for span in spans:
+        k = bisect.bisect_left(begins, span[2])              # base spans that begin before its end
+        if not k or ends[k - 1] <= span[1]:
+            out.append(span)
+    return out
 
 
 def _window(x: np.ndarray, s: int) -> np.ndarray:
@@ -443,17 +486,19 @@ def scan(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFra
     """doc_id, counts of base spans by kind, base_sha256, spans (base and added)."""
     model = model or train(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for base, added in find([t or "" for t in b["text"]], model):
+            for base, added in find([t or "" for t in b.column(1).to_pylist()], model):
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 rows.append((*n, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + added)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield out
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64() if n.startswith("n_") else pa.string())
+                                                  for n, c in zip(names, columns))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string")
 
 
@@ -475,9 +520,7 @@ def redact(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataF
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), "text")
     schema = packed.schema
 
-    def keep(batches):
-        import pyarrow as pa
-
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             found = find([t or "" for t in texts], model)

@@ -13,7 +13,7 @@ links give the pieces that end there, and a table over positions is relaxed with
 
 Where no piece of the model reaches over them (looked up when it is loaded), the text is cut
 in front of each run of space markers and after each word, and each worker remembers the
-ids of the chunks it has seen (``CACHE`` at most).  Characters without a piece become byte
+ids of the chunks it has seen (``CACHE`` bytes at most).  Characters without a piece become byte
 pieces or the unknown id.
 
 Defined results: null or empty text has no pieces and decodes to the empty string;
@@ -32,14 +32,15 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import Remembered, worker_cache
 
 MARK = "▁"
-CACHE = 1_000_000
+#: Bytes of chunks and ids that a worker remembers, and pairs of pieces whose order it has judged.
+CACHE, PAIRS = 64 << 20, 500_000
 
 
 class Codec:
@@ -64,7 +65,7 @@ class Codec:
                 self.auto.add_word(text, (i, len(text)))
         self.auto.make_automaton()
         self.alphabet = {t for t in self.score if len(t) == 1}
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(CACHE)
         self.valid: dict[int, bool] = {}
         self.edges: dict[int, tuple | None] = {}
         self.raw = [p if isinstance(p, bytes) else (p or " ⁇ ").encode() for p in self.piece]
@@ -115,7 +116,7 @@ class Codec:
         key = (a + 1) << 32 | b
         got = self.valid.get(key)
         if got is None:
-            if len(self.valid) > CACHE // 2:
+            if len(self.valid) > PAIRS:
                 self.valid.clear()
             one, two = a < 0 or self._edges(a), self._edges(b)
             if one and two:
@@ -190,8 +191,7 @@ class Codec:
         got = self.known.get(chunk)
         if got is None:
             got = self._encode_chunk(chunk)
-            if len(chunk) <= 64:
-                self.known[chunk] = got
+            self.known.keep([(chunk, got)])
         return got
 
     def encode_packed(self, text: str) -> bytes:
@@ -199,8 +199,6 @@ class Codec:
         if not text:
             return b""
         marked = MARK + text.replace(" ", MARK)
-        if len(self.known) > CACHE:
-            self.known.clear()
         chunks = self.chunks.findall(marked) if self.chunks else [marked]
         return b"".join(map(self._learn, chunks))
 
@@ -208,7 +206,7 @@ class Codec:
         return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
 
     def decode(self, ids) -> str:
-        raw = b"".join([self.raw[i] for i in ids])
+        raw = b"".join([self.raw[i if i is not None and 0 <= i < len(self.raw) else self.unk] for i in ids])
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -218,46 +216,53 @@ def _stretches(chunk: str, alphabet: set) -> list[tuple[bool, str]]:
     return [(known, "".join(part)) for known, part in itertools.groupby(chunk, alphabet.__contains__)]
 
 
+def _of_texts(docs: DataFrame, made, schema: str) -> DataFrame:
+    """doc_id as it is, and the columns that ``made`` gives for a list of texts (null: empty)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = made([t or "" for t in b.column(1).to_pylist()])
+            yield pa.record_batch([b.column(0), *columns.values()], names=["doc_id", *columns])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, " + schema)
+
+
 def encode(docs: DataFrame, model_file: str, bpe: bool = True) -> DataFrame:
     """doc_id, ids (array of int) of every text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(texts: list[str]) -> dict[str, pa.Array]:
         codec = worker_cache(("sentencepiece", model_file, bpe), lambda: Codec(model_file, bpe))
-        for b in batches:
-            ids = [codec.encode(t or "") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": ids})
+        return {"ids": pa.array([codec.encode(t) for t in texts], pa.list_(pa.int32()))}
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, ids array<int>")
+    return _of_texts(docs, made, "ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, text of every ids array."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id, text of every ids array; an id that the model hasn't is read as the unknown one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_cache(("sentencepiece", model_file, True), lambda: Codec(model_file))
         for b in batches:
-            text = [codec.decode(i) if i is not None else None for i in b["ids"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": text})
+            text = [None if ids is None else codec.decode(ids) for ids in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id bigint, text string")
+    return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(
+        run, "doc_id bigint, text string")
 
 
 def digest(docs: DataFrame, model_file: str, bpe: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, round_trip."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(texts: list[str]) -> dict[str, pa.Array]:
         codec = worker_cache(("sentencepiece", model_file, bpe), lambda: Codec(model_file, bpe))
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                text = text or ""
-                packed = codec.encode_packed(text)
-                back = codec.decode(np.frombuffer(packed, dtype="<u4").tolist())
-                rows.append((len(packed) // 4, zlib.crc32(packed),
-                             hashlib.sha256(back.encode()).hexdigest(), back == text.replace(MARK, " ")))
-            out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
+        n, crc, sha, same = [], [], [], []
+        for text in texts:
+            packed = codec.encode_packed(text)
+            back = codec.decode(np.frombuffer(packed, dtype="<u4").tolist())
+            n.append(len(packed) // 4)
+            crc.append(zlib.crc32(packed))
+            sha.append(hashlib.sha256(back.encode()).hexdigest())
+            same.append(back == text.replace(MARK, " "))
+        return {"n_pieces": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+                "decoded_sha256": pa.array(sha, pa.string()), "round_trip": pa.array(same, pa.bool_())}
+
+    return _of_texts(docs, made, "n_pieces bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
 
 
 def model_path() -> str:
