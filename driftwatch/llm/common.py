@@ -16,7 +16,7 @@ import gc
 import sys
 import types
 import uuid
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,28 +84,28 @@ def worker_cache(key: Hashable, make: Callable[[], object]):
     return held["made"]
 
 
-class Remembered(dict):
-    """A dictionary of what has been computed, emptied when its keys and values pass ``limit`` bytes.
+class Remembered:
+    """What has been computed, by key, in the plain dictionary ``table``; emptied when keys and values pass ``limit`` bytes.
 
-    ``keep`` is the one way in, so the limit is tested at each entry.  Entries over ``longest`` bytes aren't kept.
+    ``keep`` tests the limit at each entry.  Entries over ``longest`` bytes aren't kept.
     """
 
     ENTRY = 160                                  # of the table and the two objects' heads
 
     def __init__(self, limit: int = 64 << 20, longest: int = 1024):
-        super().__init__()
+        self.table: dict = {}
         self.limit, self.longest, self.held = limit, longest, 0
 
-    def keep(self, entries: Iterable[tuple]) -> None:
-        """``entries``: (key, value); keys are strings or bytes, values too or numbers."""
-        longest, limit, held, entry = self.longest, self.limit, self.held, self.ENTRY
-        for key, value in entries:
-            size = len(key) + (0 if isinstance(value, int) else len(value))
-            if size > longest:
-                continue
-            held += size + entry
-            if held > limit:
-                self.clear()
-                held = size + entry
-            self[key] = value
-        self.held = held
+    def clear(self) -> None:
+        self.table.clear()
+        self.held = 0
+
+    def keep(self, key, value) -> None:
+        """``key`` is a string or bytes, ``value`` too or a number."""
+        size = len(key) + (0 if isinstance(value, int) else len(value))
+        if size > self.longest:
+            return
+        if self.held + size + self.ENTRY > self.limit:
+            self.clear()
+        self.held += size + self.ENTRY
+        self.table[key] = value

@@ -71,10 +71,10 @@ class Shingler:
         self.b = rng.integers(0, 2 ** 63, TREES * DEPTH, dtype=np.uint64)
 
     def _learn(self, word: bytes) -> int:
-        h = self.known.get(word)
+        h = self.known.table.get(word)
         if h is None:
             h = self.digest(word)
-            self.known.keep([(word, h)])
+            self.known.keep(word, h)
         return h
 
     def shingles(self, text: str | None) -> np.ndarray:

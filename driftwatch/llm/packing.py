@@ -35,8 +35,8 @@ from .common import Remembered, land, worker_cache
 
 WINDOW = 4096
 END_ID = 2
-#: Bytes of words and ids that a worker remembers.
-CACHE = 144 << 20
+#: Bytes of words and ids that a worker remembers (tested before each piece), and words of a piece of a very long text.
+CACHE, STEP = 192 << 20, 200_000
 #: Rows of the (length, task) table from which on it is joined by a shuffle, whatever its size in bytes.
 SHUFFLED = 200_000
 
@@ -65,19 +65,39 @@ class WordTokenizer:
             return low[:-1], low[-1]
         return (low,)
 
+    def _learn(self, chunks: set[str]) -> list[str]:
+        """Remembers the ids of all chunks; returns those too long to be kept."""
+        known, long, size = self.known.table, [], 0
+        parts = {c: self._parts(c) for c in chunks.difference(known)}
+        words = list({p for ps in parts.values() for p in ps}.difference(known))
+        for word, got in zip(words, self.batch(words, add_special_tokens=False)):
+            ids = known[word] = array("I", got.ids).tobytes()
+            size += len(word) + len(ids)
+            if len(word) > self.known.longest:
+                long.append(word)
+        for chunk, ps in parts.items():
+            if ps != (chunk,):
+                ids = known[chunk] = b"".join([known[p] for p in ps])
+                size += len(chunk) + len(ids) + self.known.ENTRY
+                if len(chunk) > self.known.longest:
+                    long.append(chunk)
+        self.known.held += size + self.known.ENTRY * len(words)
+        return long
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        now = {c: known.get(c) for c in set().union(*cut)}       # of these texts alone
-        parts = {c: self._parts(c) for c, ids in now.items() if ids is None}
-        words = list({p for ps in parts.values() for p in ps if p not in known})
-        ids = {w: array("I", got.ids).tobytes() for w, got in zip(words, self.batch(words, add_special_tokens=False))}
-        for chunk, ps in parts.items():
-            now[chunk] = b"".join([ids[p] if p in ids else known[p] for p in ps])
-        known.keep(ids.items())
-        known.keep((c, now[c]) for c in parts if c not in ids)
-        return [b"".join(map(now.__getitem__, chunks)) for chunks in cut]
+        known, out = self.known.table, []
+        # texts of about a million characters are learnt together, and a longer one piece by piece
+        pieces = [cut] if len(cut) > 1 else [[cut[0][at:at + STEP]] for at in range(0, len(cut[0]), STEP)] if cut else []
+        for piece in pieces:
+            if self.known.held > self.known.limit:
+                self.known.clear()
+            long = self._learn(set().union(*piece))
+            out.append([b"".join(map(known.__getitem__, chunks)) for chunks in piece])
+            for chunk in long:
+                del known[chunk]
+        return out[0] if len(cut) > 1 else [b"".join([part for part, in out])] if cut else []
 
 
 def _groups(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:

@@ -188,10 +188,10 @@ class Codec:
         return array("I", out).tobytes()
 
     def _learn(self, chunk: str) -> bytes:
-        got = self.known.get(chunk)
+        got = self.known.table.get(chunk)
         if got is None:
             got = self._encode_chunk(chunk)
-            self.known.keep([(chunk, got)])
+            self.known.keep(chunk, got)
         return got
 
     def encode_packed(self, text: str) -> bytes:

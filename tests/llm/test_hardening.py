@@ -49,9 +49,10 @@ def test_ids_beside_nulls(spark):
 def test_remembered_is_bounded_while_it_fills():
     held = Remembered(limit=10_000, longest=100)
     for k in range(1000):
-        held.keep([(f"key {k}", b"v" * 20), ("l" * 200, b"")])
-        assert len(held) * held.ENTRY <= 10_000 and held[f"key {k}"] == b"v" * 20
-    assert "l" * 200 not in held
+        held.keep(f"key {k}", b"v" * 20)
+        held.keep("l" * 200, b"")
+        assert len(held.table) * held.ENTRY <= 10_000 and held.table[f"key {k}"] == b"v" * 20
+    assert "l" * 200 not in held.table
 
 
 def test_worker_holds_one_operators_cache():
@@ -61,13 +62,17 @@ def test_worker_holds_one_operators_cache():
     assert worker_cache(("a",), lambda: ["new"]) == ["new"]
 
 
-def test_tokenizer_with_little_memory(docs):
+def test_tokenizer_with_little_memory(docs, monkeypatch):
     """The same ids, however often what is remembered is emptied; long words are not kept."""
     texts = [r.text for r in docs.limit(40).collect()] + ["w" * 5000 + " end", ""]
     little, much = (packing.WordTokenizer(packing.tokenizer_path()) for _ in range(2))
     little.known.limit = 20_000
     assert little.encode_many(texts) == much.encode_many(texts) == little.encode_many(texts)
-    assert "w" * 5000 not in much.known and len(little.known) * Remembered.ENTRY <= 20_000
+    assert "w" * 5000 not in much.known.table
+    monkeypatch.setattr(packing, "STEP", 100)
+    every = " ".join(texts)
+    ids = np.asarray(much.tok.encode(every, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert little.encode_many([every]) == [ids] and len(little.known.table) * Remembered.ENTRY <= 20_000 + 200 * 2 * Remembered.ENTRY
 
 
 def test_landed_tables_are_dropped(spark):
