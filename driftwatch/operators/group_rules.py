@@ -113,6 +113,13 @@ def distinct_values(c: DataFrame, col: str) -> DataFrame:
     return c.select(col).distinct()
 
 
+def exactly_one_value(c: DataFrame, col: str) -> DataFrame:
+    """E9 as a check: one value in all rows, null being a value; an empty snapshot has none."""
+    n = (F.countDistinct(col) + F.max(F.col(col).isNull().cast("bigint"))).alias("value_count")
+    return c.agg(n).select(F.coalesce("value_count", F.lit(0)).cast("bigint").alias("value_count")).select(
+        "value_count", F.when(F.col("value_count") == 1, F.lit("ok")).otherwise(F.lit("mismatch")).alias("status"))
+
+
 def cardinality(c: DataFrame, col: str, out: str) -> DataFrame:
     """Distinct non-null values, flagged when more than one."""
     n = F.countDistinct(col)

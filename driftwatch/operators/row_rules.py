@@ -303,13 +303,13 @@ def row_rules(c: DataFrame, profile: Profile) -> list:
     return rules
 
 
-def fused_row_findings(c: DataFrame, profile: Profile, extra_keys=()) -> DataFrame:
-    """All row rules in one scan -> distinct (check_id, severity, column, entity, value).
+def fused_row_findings(c: DataFrame, profile: Profile, extra_keys=(), only=None) -> DataFrame:
+    """All row rules (or those with a check id in ``only``) in one scan -> distinct (check_id, severity, column, entity, value).
 
     ``extra_keys`` are columns of ``c`` kept in the finding key (e.g. the
     source file of a streamed snapshot).
     """
-    rules = row_rules(c, profile)
+    rules = [r for r in row_rules(c, profile) if only is None or r.check_id in only]
     keys = list(extra_keys)
     if not rules:
         return c.sparkSession.createDataFrame(

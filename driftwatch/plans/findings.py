@@ -38,10 +38,6 @@ def as_findings(df: DataFrame, check_id: str, severity: str, column_name=None,
                      _s(value).alias("value"), _s(detail).alias("detail"))
 
 
-def empty_findings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FINDINGS_SCHEMA)
-
-
 def plan_findings(spark: SparkSession, rows) -> DataFrame:
     """Findings known at plan time (missing columns, skipped checks): a handful of rows."""
     return spark.createDataFrame([tuple(r) for r in rows], FINDINGS_SCHEMA)

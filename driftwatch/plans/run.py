@@ -3,8 +3,8 @@
 ``run_validation`` (price listings, two snapshots), ``run_review_validation``
 (store reviews), ``validate_data`` (one snapshot) and ``run_stat_validation``
 (the statistical suite).  Each reads the delimited files with the snapshot
-reader, runs the suite lazily and writes findings, metrics and the text
-report under ``output_path`` (any Hadoop-FS path); the path is returned.
+reader, runs the suite's checks one by one (one that fails costs no other its
+findings) and writes findings, metrics and the text report under ``output_path`` (any Hadoop-FS path); the path is returned.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 from ..profiles import listing_profile, review_profile
 from ..sources.csv import read_snapshot, read_snapshots
+from . import isolation as iso
 from . import suite as su
 from .findings import plan_findings, write_report
 
@@ -28,9 +29,12 @@ def _collision_findings(spark, collisions):
 
 
 def _write(spark, res: su.SuiteResult, collisions, output_path: str) -> str:
+    """Each check by itself under ``checks``, then findings, metrics and the report from what these wrote."""
     extra = _collision_findings(spark, collisions)
-    findings = res.findings if extra is None else res.findings.unionByName(extra)
-    return write_report(findings, res.metrics, output_path)
+    parts = res.parts + ([] if extra is None else [iso.ready(extra, "header_collision")])
+    checks = f"{output_path.rstrip('/')}/checks"
+    iso.write_parts(spark, parts, checks)
+    return write_report(*iso.written(spark, parts, checks), output_path)
 
 
 def run_validation(spark: SparkSession, current: str, previous: str, country: str,

@@ -9,13 +9,14 @@ Plan shape: the cleaned snapshots are landed once (``materialize``); every row
 rule then runs in ONE fused pass; group and comparison rules are aggregates
 over the landed tables; all outputs are unioned lazily.  Columns a check needs
 but the snapshot lacks are resolved at plan time into ``missing_column``
-findings and the check is skipped (M6) — nothing throws on bad data because
-every parse is a ``try_*``/guarded expression.
+findings and the check is skipped.  Bad data doesn't throw, because every parse is a
+``try_*``/guarded expression; what throws all the same costs only its own check
+(M6): a suite is a list of parts, see ``isolation``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,22 @@ from ..profiles import (
 )
 from ..sources.csv import CORRUPT_COL
 from ..sources.landing import land
-from .findings import METRICS_SCHEMA, as_findings, metric_rows, plan_findings, union_all
+from . import isolation as iso
+from .findings import plan_findings
+from .isolation import Part, finding as _f, metric as _m, once
 
 
 @dataclass
 class SuiteResult:
+    """Lazy findings and metrics of all checks, and the parts they are made of (to run each by itself)."""
+
     findings: DataFrame
     metrics: DataFrame
+    parts: list[iso.Part] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, spark, parts: list[iso.Part]) -> "SuiteResult":
+        return cls(*iso.planned(spark, parts), parts)
 
 
 def _prepare(df: DataFrame, profile: Profile, name: str, materialize: bool) -> DataFrame:
@@ -46,27 +56,30 @@ def _prepare(df: DataFrame, profile: Profile, name: str, materialize: bool) -> D
     return land(c, name) if materialize else c
 
 
-def _missing(spark, df: DataFrame, required, snapshot: str | None = None) -> DataFrame | None:
+def _missing(spark, df: DataFrame, required, snapshot: str | None = None) -> list[Part]:
     miss = missing_columns(df, list(dict.fromkeys(required)))
     if not miss:
-        return None
-    return plan_findings(spark, [("missing_column", SEVERITY["missing_column"], m, None, None, snapshot)
-                                 for m in miss])
+        return []
+    return [iso.ready(plan_findings(spark, [("missing_column", SEVERITY["missing_column"], m, None, None, snapshot)
+                                            for m in miss]), "missing_column")]
 
 
 def _have(df: DataFrame, *cols) -> bool:
     return all(c in df.columns for c in cols if c)
 
 
-def _f(df, check_id, **kw):
-    return as_findings(df, check_id, SEVERITY[check_id], **kw)
+def _row_part(c: DataFrame, profile: Profile) -> Part:
+    """All row rules in one pass; should that fail, one pass for each rule."""
+    ids = list(dict.fromkeys(r.check_id for r in rr.row_rules(c, profile)))
+    each = tuple(Part("findings", i, lambda i=i: rr.fused_row_findings(c, profile, only={i})) for i in ids)
+    return Part("findings", "row_rules", lambda: rr.fused_row_findings(c, profile), each)
 
 
-def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
-                        materialize: bool, consistency_check: str, extra) -> SuiteResult:
+def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile, materialize: bool,
+                        consistency_check: str, extra) -> tuple[SuiteResult, DataFrame, DataFrame | None]:
     spark = cur.sparkSession
     raw_cols = cur.columns
-    f, m = [], []
+    f: list[Part] = []
 
     # The distinct rows with their copy counts are landed once and give both
     # the duplicate groups and the de-duplicated snapshot.
@@ -77,7 +90,7 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     g = land(g, "current-distinct") if materialize else g
     dup = g.where(F.col("_copies") > 1).select(*[F.col(f"`{x}`") for x in raw_cols], (F.col("_copies") - 1).alias("surplus"))
     f.append(_f(dup, "duplicate_rows", value="surplus"))
-    m.append(metric_rows(dup.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("surplus")),
+    f.append(_m(dup.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("surplus")),
                          "duplicate_rows", "surplus_rows", measured="surplus"))
     c = g.drop("_copies") if profile.dedupe_current else raw
     p = None
@@ -91,70 +104,69 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
         required += list(DUPLICATE_PRODUCT_KEYS)
     if profile.box is not None:
         required += ["latitude", "longitude", profile.zip_col]
-    f.append(_missing(spark, c, [x for x in required if x]))
+    f.extend(_missing(spark, c, [x for x in required if x]))
     if p is not None:
         # What only the previous snapshot lacks: comparisons on it are skipped.
-        f.append(_missing(spark, p, [x for x in required if x in c.columns], "previous"))
+        f.extend(_missing(spark, p, [x for x in required if x in c.columns], "previous"))
     if CORRUPT_COL in c.columns:
-        f.append(_f(c.where(F.col(CORRUPT_COL).isNotNull()), "malformed_rows", entity="sid",
+        f.append(_f(lambda: c.where(F.col(CORRUPT_COL).isNotNull()), "malformed_rows", entity="sid",
                     value=CORRUPT_COL))
     if profile.box is None:
         # Unknown country: coordinate and postal-code rules are skipped, once.
-        f.append(plan_findings(spark, [("unknown_country", SEVERITY["unknown_country"], "country",
-                                        None, profile.country, "coordinate and postal rules skipped")]))
+        f.append(iso.ready(plan_findings(spark, [("unknown_country", SEVERITY["unknown_country"], "country", None,
+                                                  profile.country, "coordinate and postal rules skipped")]), "unknown_country"))
 
     # Consistency of the competitor / retailer column.
     col = profile.consistency_col
     if p is not None and _have(c, col) and _have(p, col):
-        chk = gr.single_value_check(c, p, col)
-        f.append(_f(chk.where(F.col("status") == "mismatch"), consistency_check, column_name=col,
+        chk = once(lambda: gr.single_value_check(c, p, col))
+        f.append(_f(lambda: chk().where(F.col("status") == "mismatch"), consistency_check, column_name=col,
                     detail=F.format_string("current=%d previous=%d", "current_values", "previous_values")))
-        m.append(metric_rows(chk, consistency_check, "distinct_values", current="current_values",
+        f.append(_m(chk, consistency_check, "distinct_values", current="current_values",
                              previous="previous_values", status="status"))
 
-    # One snapshot alone: its own values must agree.
+    # One snapshot alone: it must have exactly one value, null being one.
     if p is None and _have(c, col):
-        own = gr.cardinality(c, col, "value_count")
-        f.append(_f(own.where(F.col("status") == "multiple"), consistency_check, column_name=col,
-                    value="value_count"))
+        f.append(_f(lambda: gr.exactly_one_value(c, col).where(F.col("status") == "mismatch"), consistency_check,
+                    column_name=col, value="value_count"))
 
     # Counts and size change.
     if p is not None:
         width = lambda df: len([x for x in df.columns if x != CORRUPT_COL])
-        sc = gr.snapshot_counts(c, p, width(cur), width(prev))
-        m.append(metric_rows(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_rows")),
+        sc = once(lambda: gr.snapshot_counts(c, p, width(cur), width(prev)))
+        f.append(_m(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_rows")),
                              measured="row_count"))
-        m.append(metric_rows(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_stores")),
+        f.append(_m(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_stores")),
                              measured="store_count"))
-        m.append(metric_rows(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_columns")),
+        f.append(_m(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_columns")),
                              measured="column_count"))
-        m.append(metric_rows(gr.size_change_pct(c, p), "size_change_pct", "pct",
+        f.append(_m(lambda: gr.size_change_pct(c, p), "size_change_pct", "pct",
                              current="current_count", previous="previous_count", measured="pct",
                              status="status"))
         if profile.feed_id_col and _have(c, profile.feed_id_col) and _have(p, profile.feed_id_col):
-            fc = gr.feed_id_counts(c, p, profile.feed_id_col)
-            m.append(metric_rows(fc, "feed_id_counts", F.col("snapshot"), measured="id_count"))
+            fc = once(lambda: gr.feed_id_counts(c, p, profile.feed_id_col))
+            f.append(_m(fc, "feed_id_counts", F.col("snapshot"), measured="id_count"))
 
     # Country cardinality.
     if _have(c, "country"):
-        cc = gr.cardinality(c, "country", "country_count")
-        f.append(_f(cc.where(F.col("status") == "multiple"), "country_cardinality",
+        cc = once(lambda: gr.cardinality(c, "country", "country_count"))
+        f.append(_f(lambda: cc().where(F.col("status") == "multiple"), "country_cardinality",
                     column_name="country", value="country_count"))
 
     # Every row rule in one pass.
-    f.append(rr.fused_row_findings(c, profile))
+    f.append(_row_part(c, profile))
 
     f.extend(extra(c, p))
 
     # Drift against the previous snapshot.
     if p is not None:
-        f.append(_f(cmp.stores_not_in_current(c, p), "stores_not_in_current", entity="store_id"))
+        f.append(_f(lambda: cmp.stores_not_in_current(c, p), "stores_not_in_current", entity="store_id"))
 
     # Scrape dates.
     if profile.date_col and _have(c, profile.date_col):
-        f.append(_f(gr.scrape_dates(c, profile.date_col), "scrape_dates", value="date_extracted"))
+        f.append(_f(lambda: gr.scrape_dates(c, profile.date_col), "scrape_dates", value="date_extracted"))
 
-    return SuiteResult(union_all(f, spark), union_all(m, spark, METRICS_SCHEMA)), c, p
+    return SuiteResult.of(spark, f), c, p
 
 
 def listing_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
@@ -163,10 +175,10 @@ def listing_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
     def extra(c, p):
         out = []
         if _have(c, *DUPLICATE_PRODUCT_KEYS):
-            out.append(_f(gr.duplicate_entities(c, DUPLICATE_PRODUCT_KEYS), "duplicate_products",
+            out.append(_f(lambda: gr.duplicate_entities(c, DUPLICATE_PRODUCT_KEYS), "duplicate_products",
                           entity="store_id"))
         if p is not None and _have(c, profile.category_col) and _have(p, profile.category_col):
-            out.append(_f(cmp.categories_not_in_current(c, p, profile.category_col),
+            out.append(_f(lambda: cmp.categories_not_in_current(c, p, profile.category_col),
                           "categories_not_in_current", column_name=profile.category_col,
                           entity="store_id", value="category"))
         return out
@@ -181,12 +193,11 @@ def review_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
     col = profile.group_col
     if p is None or not col or col not in c.columns:
         return res
-    gc = gr.group_counts(c, p, col)
-    rows = metric_rows(gc, "retailer_counts", F.concat(F.col(col), F.lit("_rows")),
-                       current="current_rows", previous="previous_rows")
-    stores = metric_rows(gc, "retailer_counts", F.concat(F.col(col), F.lit("_stores")),
-                         current="current_stores", previous="previous_stores")
-    return SuiteResult(res.findings, res.metrics.unionByName(rows).unionByName(stores))
+    gc = once(lambda: gr.group_counts(c, p, col))
+    more = [_m(gc, "retailer_counts", F.concat(F.col(col), F.lit("_rows")), current="current_rows", previous="previous_rows"),
+            _m(gc, "retailer_counts", F.concat(F.col(col), F.lit("_stores")), current="current_stores",
+               previous="previous_stores")]
+    return SuiteResult.of(cur.sparkSession, res.parts + more)
 
 
 def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
@@ -195,87 +206,87 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
     spark = cur.sparkSession
     c = _prepare(cur, profile, "stat-current", materialize)
     p = _prepare(prev, profile, "stat-previous", materialize)
-    f, m = [], []
+    f: list[Part] = []
 
     text_fields = [x for x in TEXT_SYMBOL_FIELDS if x in c.columns]
     need = ([profile.entity_col, profile.price_col, profile.zip_col, profile.date_col, "latitude",
              "longitude", profile.consistency_col] + list(STORE_METADATA_COLUMNS)
             + list(DUPLICATE_LISTING_KEYS) + list(UNIFORM_PRICE_KEYS) + list(TEXT_SYMBOL_FIELDS))
-    f.append(_missing(spark, c, [x for x in need if x]))
-    f.append(_missing(spark, p, [x for x in need if x in c.columns], "previous"))
+    f.extend(_missing(spark, c, [x for x in need if x]))
+    f.extend(_missing(spark, p, [x for x in need if x in c.columns], "previous"))
 
     if _have(c, profile.date_col):
-        d = rr.date_month_mismatch(c, as_of, profile.date_col)
+        d = once(lambda: rr.date_month_mismatch(c, as_of, profile.date_col))
         f.append(_f(d, "date_month_mismatch", column_name=profile.date_col,
                     value="date_extracted", detail="n"))
-        f.append(_f(gr.scrape_dates(c, profile.date_col), "scrape_dates", value="date_extracted"))
+        f.append(_f(lambda: gr.scrape_dates(c, profile.date_col), "scrape_dates", value="date_extracted"))
     if _have(p, profile.date_col):
-        f.append(_f(gr.scrape_dates(p, profile.date_col), "scrape_dates_previous", value="date_extracted"))
+        f.append(_f(lambda: gr.scrape_dates(p, profile.date_col), "scrape_dates_previous", value="date_extracted"))
     if _have(c, profile.consistency_col) and _have(p, profile.consistency_col):
-        f.append(_f(gr.distinct_field_values(c, p, [profile.consistency_col]), "distinct_field_values",
+        f.append(_f(lambda: gr.distinct_field_values(c, p, [profile.consistency_col]), "distinct_field_values",
                     column_name=F.col("field"), value="value", detail="snapshot"))
 
-    cm = gr.count_margin(c, p, profile.count_margin_pct)
-    f.append(_f(cm.where(F.col("status") == "flag"), "count_margin", value="pct"))
-    m.append(metric_rows(cm, "count_margin", "pct", current="current_count", previous="previous_count",
+    cm = once(lambda: gr.count_margin(c, p, profile.count_margin_pct))
+    f.append(_f(lambda: cm().where(F.col("status") == "flag"), "count_margin", value="pct"))
+    f.append(_m(cm, "count_margin", "pct", current="current_count", previous="previous_count",
                          measured="pct", threshold=profile.count_margin_pct, status="status"))
 
-    f.append(_f(st.store_count_outliers(c, profile.iqr_factor), "store_count_outliers",
+    f.append(_f(lambda: st.store_count_outliers(c, profile.iqr_factor), "store_count_outliers",
                 entity="store_id", value="n"))
 
     if _have(c, profile.price_col):
-        q = st.price_quartiles(c)
-        m.append(metric_rows(q, "price_quartiles", "q1", measured="q1"))
-        m.append(metric_rows(q, "price_quartiles", "q3", measured="q3"))
-        m.append(metric_rows(gr.top_values(c, "price_num", 5), "top_prices", "price", measured="price_num"))
-        f.append(_f(st.price_outliers(c, profile.iqr_factor, q), "price_outliers",
+        q = once(lambda: st.price_quartiles(c))
+        f.append(_m(q, "price_quartiles", "q1", measured="q1"))
+        f.append(_m(q, "price_quartiles", "q3", measured="q3"))
+        f.append(_m(lambda: gr.top_values(c, "price_num", 5), "top_prices", "price", measured="price_num"))
+        f.append(_f(lambda: st.price_outliers(c, profile.iqr_factor, q()), "price_outliers",
                     entity="store_id", value="price_num"))
-        f.append(_f(rr.long_price(c, profile.price_col), "long_price", column_name=profile.price_col, value="price"))
+        f.append(_f(lambda: rr.long_price(c, profile.price_col), "long_price", column_name=profile.price_col, value="price"))
         if _have(p, profile.price_col):
-            f.append(_f(rr.long_price(p, profile.price_col), "long_price_previous",
+            f.append(_f(lambda: rr.long_price(p, profile.price_col), "long_price_previous",
                         column_name=profile.price_col, value="price"))
-        f.append(_f(rr.price_dollar_sign(c, profile.price_col), "price_dollar_sign",
+        f.append(_f(lambda: rr.price_dollar_sign(c, profile.price_col), "price_dollar_sign",
                     column_name=profile.price_col, value="price"))
-        f.append(_f(rr.price_comma(c, profile.price_col), "price_comma",
+        f.append(_f(lambda: rr.price_comma(c, profile.price_col), "price_comma",
                     column_name=profile.price_col, value="price"))
 
     if _have(c, profile.zip_col):
-        f.append(_f(rr.zip_non_numeric(c, profile.zip_col), "zip_non_numeric",
+        f.append(_f(lambda: rr.zip_non_numeric(c, profile.zip_col), "zip_non_numeric",
                     column_name=profile.zip_col, value="zip_code"))
-        f.append(_f(rr.zip_bad_length(c, profile.zip_col), "zip_bad_length",
+        f.append(_f(lambda: rr.zip_bad_length(c, profile.zip_col), "zip_bad_length",
                     column_name=profile.zip_col, value="zip_code"))
-        m.append(metric_rows(rr.zip_numeric_count(c, profile.zip_col), "zip_numeric_count", "rows",
+        f.append(_m(lambda: rr.zip_numeric_count(c, profile.zip_col), "zip_numeric_count", "rows",
                              measured="n"))
 
     if _have(c, "latitude", "longitude"):
-        f.append(_f(gr.store_multi_location(c), "store_multi_location", entity="store_id",
+        f.append(_f(lambda: gr.store_multi_location(c), "store_multi_location", entity="store_id",
                     value="unique_locations"))
-        f.append(_f(gr.location_multi_store(c), "location_multi_store",
+        f.append(_f(lambda: gr.location_multi_store(c), "location_multi_store",
                     value=F.format_string("%s,%s", "lat4", "lon4"), detail="store_count"))
-        f.append(_f(rr.outside_boxes(c, profile.geo_boxes), "outside_geo_box", entity="store_id",
+        f.append(_f(lambda: rr.outside_boxes(c, profile.geo_boxes), "outside_geo_box", entity="store_id",
                     value=F.format_string("%s,%s", "latitude", "longitude")))
 
-    ms = cmp.missing_store_pct(c, p, profile.missing_store_pct)
-    f.append(_f(ms.where(F.col("status") == "flag"), "missing_store_pct", value="pct_missing",
+    ms = once(lambda: cmp.missing_store_pct(c, p, profile.missing_store_pct))
+    f.append(_f(lambda: ms().where(F.col("status") == "flag"), "missing_store_pct", value="pct_missing",
                 detail="missing_count"))
-    m.append(metric_rows(ms, "missing_store_pct", "pct", current="missing_count", previous="previous_total",
+    f.append(_m(ms, "missing_store_pct", "pct", current="missing_count", previous="previous_total",
                          measured="pct_missing", threshold=profile.missing_store_pct, status="status"))
-    f.append(_f(cmp.stores_with_fewer_rows(c, p), "stores_with_fewer_rows", entity="store_id"))
+    f.append(_f(lambda: cmp.stores_with_fewer_rows(c, p), "stores_with_fewer_rows", entity="store_id"))
 
-    ee = rr.empty_entity_id(c, profile.entity_col)
-    f.append(_f(ee.where(F.col("n") > 0), "empty_entity_id", column_name=profile.entity_col, value="n"))
+    ee = once(lambda: rr.empty_entity_id(c, profile.entity_col))
+    f.append(_f(lambda: ee().where(F.col("n") > 0), "empty_entity_id", column_name=profile.entity_col, value="n"))
 
     meta = [x for x in STORE_METADATA_COLUMNS if x in c.columns]
     if meta:
-        f.append(_f(gr.store_metadata_conflicts(c, meta), "store_metadata_conflicts", entity="store_id"))
+        f.append(_f(lambda: gr.store_metadata_conflicts(c, meta), "store_metadata_conflicts", entity="store_id"))
     if _have(c, *[k for k in DUPLICATE_LISTING_KEYS if k != "store_id"]):
-        f.append(_f(gr.duplicate_groups(c, DUPLICATE_LISTING_KEYS), "duplicate_listing_groups",
+        f.append(_f(lambda: gr.duplicate_groups(c, DUPLICATE_LISTING_KEYS), "duplicate_listing_groups",
                     entity="store_id", value="n"))
     if _have(c, *UNIFORM_PRICE_KEYS):
-        f.append(_f(gr.uniform_groups(c, UNIFORM_PRICE_KEYS), "uniform_pricing",
+        f.append(_f(lambda: gr.uniform_groups(c, UNIFORM_PRICE_KEYS), "uniform_pricing",
                     value=F.concat_ws("|", *UNIFORM_PRICE_KEYS)))
     if text_fields:
-        ts = rr.text_symbol_counts(c, text_fields)
-        f.append(_f(ts.where(F.col("n") > 0), "text_symbol_counts", value="symbol", detail="n"))
+        ts = once(lambda: rr.text_symbol_counts(c, text_fields))
+        f.append(_f(lambda: ts().where(F.col("n") > 0), "text_symbol_counts", value="symbol", detail="n"))
 
-    return SuiteResult(union_all(f, spark), union_all(m, spark, METRICS_SCHEMA))
+    return SuiteResult.of(spark, f)

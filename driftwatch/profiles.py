@@ -227,6 +227,7 @@ SEVERITY = {
     "unknown_country": "warning",
     "header_collision": "warning",
     "malformed_rows": "error",
+    "check_failed": "error",
     "duplicate_rows": "warning",
     "competitor_check": "error",
     "retailer_check": "error",

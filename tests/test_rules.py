@@ -158,7 +158,7 @@ def test_price_change_brute_force(spark):
          ("S2", "22", "7.0", 2000), ("S2", "22", "7.0", 1999), ("S2", "22", "7.0", 1998),
          ("S3", "33", "1.0", 2000), ("S3", "33", "2.0", 1999)]
     df = spark.createDataFrame(y, "store_id string, product_id string, price string, yr int")
-    out = cmp.price_change(clean_snapshot(df, LISTING), ("store_id", "product_id"), 2000, 1999, 1998)
+    out = cmp.price_change(clean_snapshot(df, LISTING), ("store_id", "product_id"), 2000, 1999, 1998, "yr")
     assert [tuple(r) for r in out.collect()] == [("S1", "11", 5.0, 5.0, 6.0)]
 
 
