@@ -143,16 +143,12 @@ GROUP_QUERIES: dict[str, Query] = {
 }
 
 
-def _docs(s, d):
-    return fx.documents(s, d, columns=("doc_id", "text"))
-
-
 HEADER_QUERIES: dict[str, Query] = {
-    "detect_delimiter": lambda s, d: sch.detect_delimiters(_docs(s, d), "doc_id", "text"),
-    "normalize_headers": lambda s, d: sch.normalize_headers(_docs(s, d), "doc_id", "text"),
-    "standardize_listing": lambda s, d: sch.standardize_headers(_docs(s, d), "doc_id", "text", LISTING),
-    "standardize_review": lambda s, d: sch.standardize_headers(_docs(s, d), "doc_id", "text", REVIEW),
-    "missing_columns": lambda s, d: sch.missing_header_columns(_docs(s, d), "doc_id", "text", LISTING),
+    "detect_delimiter": lambda s, d: sch.detect_delimiters(fx.delivered_files(s, d), "file_id", "text"),
+    "normalize_headers": lambda s, d: sch.normalize_headers(fx.delivered_files(s, d), "file_id", "text"),
+    "standardize_listing": lambda s, d: sch.standardize_headers(fx.delivered_files(s, d), "file_id", "text", LISTING),
+    "standardize_review": lambda s, d: sch.standardize_headers(fx.delivered_files(s, d), "file_id", "text", REVIEW),
+    "missing_columns": lambda s, d: sch.missing_header_columns(fx.delivered_files(s, d), "file_id", "text", LISTING),
     "read_listing_csv": lambda s, d: csv_round_trip(
         fx.whole_listing(s, d), ["store_id", "product_id", "price", "zip_code"]),
 }

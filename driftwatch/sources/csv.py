@@ -27,7 +27,7 @@ READ_OPTIONS = {
 }
 
 
-def first_line(spark: SparkSession, path: str) -> str | None:
+def first_line(spark: SparkSession, path) -> str | None:
     """The first line of ``path`` (one line reaches the driver)."""
     row = spark.read.text(path).limit(1).first()
     return None if row is None else row["value"]
@@ -130,6 +130,43 @@ def read_snapshots(spark: SparkSession, current: str, previous: str, profile: Pr
     return cur, prev, col_c + col_p
 
 
+#: Different headers of one folder at most: each costs a scan of its own in the plan.
+MAX_HEADERS = 200
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the header line of every file under ``path``.
+
+    Only the first block of a file can hold it; of that the line that comes first is taken.
+    """
+    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+                     F.monotonically_increasing_id().alias("place")))
+    return (lines.where("start = 0").groupBy("file").agg(F.min(F.struct("place", "value")).alias("first"))
+            .select("file", F.col("first.value").alias("line")))
+
+
+def read_folder(spark: SparkSession, path: str, profile: Profile, multiline: bool = False, keep_malformed: bool = False):
+    """A folder of delimited files with headers of their own as one snapshot: ``(df, collisions)``.
+
+    Files are grouped by their header line; each group is read with its own delimiter and alias map, and the groups are united by
+    canonical name (columns that a group lacks are null).  ``source_file`` names each row's file.  The driver holds the
+    files' names and header lines, as it does for any listing of files.
+    """
+    groups = file_headers(spark, path).groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
+    if not groups:
+        raise ValueError(f"no file with a header under {path}")
+    if len(groups) > MAX_HEADERS:
+        raise ValueError(f"{len(groups)} different headers under {path}; at most {MAX_HEADERS} are read together")
+    out, collisions = None, []
+    for g in groups:
+        df, own = read_snapshot(spark, g["files"], profile, delimiter_from_line(g["line"]), multiline, keep_malformed)
+        df = df.withColumn("source_file", F.col("_metadata.file_path"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        collisions += [c for c in own if c not in collisions]
+    return out, collisions
+
+
 def csv_round_trip(df: DataFrame, columns, sep: str = ",") -> DataFrame:
     """Serialise rows with ``to_csv`` and parse them back with ``from_csv``.
 
