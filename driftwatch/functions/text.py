@@ -48,6 +48,15 @@ def na_to_null(c) -> Column:
     return F.when(~col.isin(*NA_TOKENS), col)
 
 
+def bound(c, made) -> Column:
+    """``made`` of a value that is computed once.
+
+    A plain expression that names its input several times is copied for each of them, and again wherever a
+    filter on it is pushed down; a one-element array holds the value instead.
+    """
+    return F.transform(F.array(_c(c)), made).getItem(0)
+
+
 def to_double(c) -> Column:
     """Text -> double, anything that is not a plain number -> null."""
     s = ustrip(c)
@@ -59,13 +68,12 @@ def clean_zip(c, pad5: bool = True) -> Column:
 
     Padding never truncates: values of 5 or more characters are kept as is.
     """
-    s = ustrip(c)
-    # Drop one trailing ".0" (no regex: this runs on every row of a snapshot).
-    z = F.when(s.endswith(".0"), s.substr(F.lit(1), F.length(s) - 2)).otherwise(s)
-    z = F.when(z != F.lit(""), z)
-    if pad5:
-        z = F.when(F.length(z) < 5, F.lpad(z, 5, "0")).otherwise(z)
-    return z
+    def cleaned(s: Column) -> Column:
+        # Drop one trailing ".0" (no regex: this runs on every row of a snapshot).
+        z = F.nullif(F.when(s.endswith(".0"), s.substr(F.lit(1), F.length(s) - 2)).otherwise(s), F.lit(""))
+        return bound(z, lambda x: F.when(F.length(x) < 5, F.lpad(x, 5, "0")).otherwise(x)) if pad5 else z
+
+    return bound(ustrip(c), cleaned)
 
 
 def first_token(c) -> Column:

@@ -137,10 +137,18 @@ def present(c: DataFrame, columns) -> list:
     return [x for x in columns if x in cols]
 
 
+def _any(conditions: list) -> Column:
+    out = F.lit(False)
+    for cond in conditions:
+        out = out | F.coalesce(cond, F.lit(False))
+    return out
+
+
 def _explode_flags(c: DataFrame, flags: list) -> DataFrame:
     """(column_name, store_id) for every (rule column, row) whose flag holds."""
     arr = F.array(*[F.when(cond, F.lit(name)) for name, cond in flags])
-    return (c.where(F.col("sid").isNotNull())
+    # the array is only built for the few rows that break a rule
+    return (c.where(F.col("sid").isNotNull()).where(_any([cond for _, cond in flags]))
              .select(F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("column_name"),
                      F.col("sid").alias("store_id"))
              .distinct())
@@ -325,7 +333,8 @@ def fused_row_findings(c: DataFrame, profile: Profile, extra_keys=(), only=None)
         hits.append(F.when(cond, F.struct(
             F.lit(r.check_id).alias("check_id"), F.lit(r.severity).alias("severity"),
             F.lit(r.column_name).alias("column_name"), r.value.alias("value"))))
-    exploded = c.select(*keys, sid.alias("entity_id"),
+    breaks = _any([r.condition & sid.isNotNull() if r.entity_required else r.condition for r in rules])
+    exploded = c.where(breaks).select(*keys, sid.alias("entity_id"),
                         F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("f"))
     return (exploded.select(*keys, "f.check_id", "f.severity", "f.column_name", "entity_id", "f.value")
                     .distinct()
