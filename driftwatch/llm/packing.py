@@ -36,7 +36,7 @@ from .common import Remembered, land, worker_cache
 WINDOW = 4096
 END_ID = 2
 #: Bytes of words and ids that a worker remembers (tested before each piece), and words of a piece of a very long text.
-CACHE, STEP = 192 << 20, 200_000
+CACHE, STEP = 320 << 20, 200_000
 #: Rows of the (length, task) table from which on it is joined by a shuffle, whatever its size in bytes.
 SHUFFLED = 200_000
 
