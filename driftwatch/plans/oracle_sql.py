@@ -486,6 +486,7 @@ HEADER_SQL = {
     "read_listing_csv": with_listing(
         f"select {_na('store_id')} as store_id, {_na('product_id')} as product_id, "
         f"{_na('price')} as price, {_na('zip_code')} as zip_code from cur"),
+    "read_quoted_csv": f"select doc_id, {_na('text')} as text from documents",
 }
 
 

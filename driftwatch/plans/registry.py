@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import compare as cmp
 from ..operators import group_rules as gr
@@ -21,7 +22,8 @@ from ..profiles import (
     listing_profile,
 )
 from ..sources import fixtures as fx
-from ..sources.csv import csv_round_trip
+from ..sources.csv import csv_round_trip, read_delimited
+from ..sources.landing import land_delimited
 from . import findings as fnd
 from . import suite as su
 
@@ -143,6 +145,13 @@ GROUP_QUERIES: dict[str, Query] = {
 }
 
 
+def read_quoted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents delivered as delimited files (texts with line breaks) and read back by the splitting reader."""
+    path = land_delimited(fx.documents(spark, sf_dir).select("doc_id", "text"), "documents-csv")
+    rows = read_delimited(spark, path, ",", multiline=True)
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
 HEADER_QUERIES: dict[str, Query] = {
     "detect_delimiter": lambda s, d: sch.detect_delimiters(fx.delivered_files(s, d), "file_id", "text"),
     "normalize_headers": lambda s, d: sch.normalize_headers(fx.delivered_files(s, d), "file_id", "text"),
@@ -151,6 +160,7 @@ HEADER_QUERIES: dict[str, Query] = {
     "missing_columns": lambda s, d: sch.missing_header_columns(fx.delivered_files(s, d), "file_id", "text", LISTING),
     "read_listing_csv": lambda s, d: csv_round_trip(
         fx.whole_listing(s, d), ["store_id", "product_id", "price", "zip_code"]),
+    "read_quoted_csv": read_quoted_csv,
 }
 
 

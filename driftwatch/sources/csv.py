@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.text import na_to_null
 from ..operators.schema import standardize_columns
 from ..profiles import Profile
+from . import quoted
 
 READ_OPTIONS = {
     "header": "true",
@@ -26,6 +27,9 @@ READ_OPTIONS = {
     "inferSchema": "false",
 }
 
+#: The same for a record held in a column; line breaks are data there.
+PARSE_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "lineSep": "\n"}
+
 
 def first_line(spark: SparkSession, path) -> str | None:
     """The first line of ``path`` (one line reaches the driver)."""
@@ -75,47 +79,69 @@ def header_names(line: str | None, sep: str) -> list:
 
 
 CORRUPT_COL = "_corrupt_record"
+SOURCE_FILE = "source_file"
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
                    multiline: bool = False, partitions: int | None = None,
-                   keep_malformed: bool = False) -> DataFrame:
+                   keep_malformed: bool = False, source_file: bool = False) -> DataFrame:
     """A2-A4: all-string delimited scan, NA tokens -> null.
 
-    ``multiLine`` makes a file unsplittable (one task per file), so it is
-    opt-in and followed by a repartition when ``partitions`` is given.
+    ``multiline``: records may hold quoted line breaks.  The files are then looked through once (``quoted.layout``): where
+    no record holds one, they are read line by line; where some do, the records are put together by all cores; only files
+    whose quotes are irregular are left to Spark's multi-line reader (one task per file), whose rows are spread afterwards
+    (over ``partitions``, or the session's parallelism).
     ``keep_malformed`` reads in PERMISSIVE mode with a corrupt-record column
     (``_corrupt_record``) holding the raw text of rows whose field count is
     wrong, so they can be reported rather than silently padded with nulls.
+    ``source_file`` adds a column of that name: the file of each row.
     """
     line = first_line(spark, path)
     sep = sep or delimiter_from_line(line)
-    reader = (spark.read.options(**READ_OPTIONS).option("sep", sep)
-                   .option("multiLine", "true" if multiline else "false"))
     names = header_names(line, sep)
-    if keep_malformed and names and len(set(names)) == len(names):
-        schema = StructType([StructField(n, StringType(), True) for n in names]
-                            + [StructField(CORRUPT_COL, StringType(), True)])
-        df = (reader.schema(schema).option("enforceSchema", "true")
-                    .option("columnNameOfCorruptRecord", CORRUPT_COL).csv(path))
+    distinct = bool(names) and len(set(names)) == len(names)
+    how = quoted.PLAIN
+    if multiline:
+        # a header that holds a line break, or repeats a name in another case, is left to Spark's reader
+        how = quoted.layout(spark, path, sep) if distinct and line.count('"') % 2 == 0 else quoted.IRREGULAR
+    if how == quoted.BROKEN:
+        schema = _schema(names, keep_malformed)
+        df = quoted.read_broken(spark, path, schema, PARSE_OPTIONS | {"sep": sep, "columnNameOfCorruptRecord": CORRUPT_COL})
+        file = F.col("_file")
     else:
-        df = reader.csv(path)
-        if len(names) == len(df.columns) and len(set(names)) == len(names):
-            df = df.toDF(*names)
-    if multiline and partitions:
-        df = df.repartition(partitions)
+        whole = how == quoted.IRREGULAR
+        reader = (spark.read.options(**READ_OPTIONS).option("sep", sep)
+                       .option("multiLine", "true" if whole else "false"))
+        if keep_malformed and distinct:
+            df = (reader.schema(_schema(names, True)).option("enforceSchema", "true")
+                        .option("columnNameOfCorruptRecord", CORRUPT_COL).csv(path))
+        else:
+            df = reader.csv(path)
+            if len(names) == len(df.columns) and distinct:
+                df = df.toDF(*names)
+        file = F.col("_metadata.file_path")
+        if whole:
+            df = df.withColumn("_file", file).repartition(partitions or spark.sparkContext.defaultParallelism)
+            file = F.col("_file")
+    kept = [c for c in df.columns if c != "_file"]
     return df.select(*[(F.col(f"`{c}`") if c == CORRUPT_COL else na_to_null(F.col(f"`{c}`"))).alias(c)
-                       for c in df.columns])
+                       for c in kept], *([file.alias(SOURCE_FILE)] if source_file else []))
+
+
+def _schema(names, keep_malformed: bool) -> StructType:
+    extra = [CORRUPT_COL] if keep_malformed else []
+    return StructType([StructField(n, StringType(), True) for n in [*names, *extra]])
 
 
 def read_snapshot(spark: SparkSession, path: str, profile: Profile, sep: str | None = None,
-                  multiline: bool = False, keep_malformed: bool = False):
+                  multiline: bool = False, keep_malformed: bool = False, source_file: bool = False):
     """Read one snapshot and canonicalise its header: ``(df, collisions)``."""
-    df = read_delimited(spark, path, sep, multiline, keep_malformed=keep_malformed)
-    if CORRUPT_COL not in df.columns:
+    df = read_delimited(spark, path, sep, multiline, keep_malformed=keep_malformed, source_file=source_file)
+    extra = [c for c in (CORRUPT_COL, SOURCE_FILE) if c in df.columns]
+    if not extra:
         return standardize_columns(df, profile)
-    body, collisions = standardize_columns(df.drop(CORRUPT_COL), profile)
-    return df.toDF(*body.columns, CORRUPT_COL), collisions
+    body, collisions = standardize_columns(df.drop(*extra), profile)
+    return df.toDF(*body.columns, *extra), collisions
 
 
 def read_snapshots(spark: SparkSession, current: str, previous: str, profile: Profile,
@@ -160,8 +186,7 @@ def read_folder(spark: SparkSession, path: str, profile: Profile, multiline: boo
         raise ValueError(f"{len(groups)} different headers under {path}; at most {MAX_HEADERS} are read together")
     out, collisions = None, []
     for g in groups:
-        df, own = read_snapshot(spark, g["files"], profile, delimiter_from_line(g["line"]), multiline, keep_malformed)
-        df = df.withColumn("source_file", F.col("_metadata.file_path"))
+        df, own = read_snapshot(spark, g["files"], profile, delimiter_from_line(g["line"]), multiline, keep_malformed, True)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         collisions += [c for c in own if c not in collisions]
     return out, collisions
