@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..profiles import SEVERITY
+
 FINDINGS_SCHEMA = ("check_id string, severity string, column_name string, "
                    "entity_id string, value string, detail string")
 METRICS_SCHEMA = ("check_id string, metric string, current_value double, previous_value double, "
@@ -95,8 +97,8 @@ def findings_sample(findings: DataFrame, n: int = 5) -> DataFrame:
                     .where(F.col("rn") <= n).drop("rn"))
 
 
-def report_lines(findings: DataFrame) -> DataFrame:
-    """One readable line per finding (write with ``.write.text``)."""
+def report_lines(findings: DataFrame, keep=()) -> DataFrame:
+    """One readable line per finding, after the columns to ``keep``."""
     line = F.format_string(
         "[%s] %s%s%s%s%s",
         F.upper("severity"), F.col("check_id"),
@@ -104,15 +106,74 @@ def report_lines(findings: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit(" entity="), F.col("entity_id")), F.lit("")),
         F.coalesce(F.concat(F.lit(" value="), F.col("value")), F.lit("")),
         F.coalesce(F.concat(F.lit(" "), F.col("detail")), F.lit("")))
-    return findings.select(line.alias("line"))
+    return findings.select(*keep, line.alias("line"))
+
+
+#: Parts of a section, in order; the whole report's first and last lines stand in sections of their own.
+HEAD, OUTCOME, METRICS, FINDINGS, TAIL = range(5)
+REPORT_FIRST, REPORT_LAST = "===== STARTING VALIDATION =====", "===== VALIDATION COMPLETE ====="
+
+
+def _number(name: str, label: str) -> Column:
+    return F.when(F.col(name).isNotNull(), F.format_string(f" {label}=%.2f", F.col(name))).otherwise("")
 
 
-def write_report(findings: DataFrame, metrics: DataFrame, path: str) -> str:
-    """A6 sink: findings and metrics as parquet, plus the text report; overwrite."""
+def metric_lines(metrics: DataFrame) -> DataFrame:
+    """(check_id, line): one readable line per metric."""
+    line = F.concat(F.lit("[METRIC] "), F.coalesce("metric", F.lit("")), _number("current_value", "current"),
+                    _number("previous_value", "previous"), _number("measured", "measured"), _number("threshold", "threshold"),
+                    F.coalesce(F.concat(F.lit(" status="), F.col("status")), F.lit("")))
+    return metrics.select("check_id", line.alias("line"))
+
+
+def report(findings: DataFrame, metrics: DataFrame, checks: list[str]) -> DataFrame:
+    """(section, part, line), the report as it reads when sorted by all three.
+
+    ``checks`` names the checks that were run, in the order of their sections; each has a heading, its outcome (a pass line
+    if it found nothing), its metrics, all its findings and an end line.  What has an id that isn't among them (a failed
+    check, a missing column) gets a section after them, in order of its id.
+    """
+    spark = findings.sparkSession
+    named = spark.createDataFrame([(c, i + 1) for i, c in enumerate(dict.fromkeys(checks))], "check_id string, section int")
+    found = (findings.groupBy("check_id").agg(F.count(F.lit(1)).alias("n"), F.max("severity").alias("severity"))
+             .unionByName(metrics.select("check_id", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("severity")))
+             .groupBy("check_id").agg(F.sum("n").alias("n"), F.max("severity").alias("severity")))
+    # one row for each check: the number of checks, not of findings
+    sections = named.join(found, "check_id", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    later = F.row_number().over(Window.partitionBy(F.col("section").isNull()).orderBy("check_id"))
+    sections = sections.withColumn("section", F.coalesce("section", later + F.lit(len(set(checks)))).cast("int"))
+    outcome = (F.when(F.col("n") == 0, F.concat(F.lit("[PASS] "), F.col("check_id"), F.lit(": nothing found")))
+               .otherwise(F.format_string("[%s] %s: %d found", F.upper("severity"), F.col("check_id"), F.col("n"))))
+    frame = sections.select("section", F.explode(F.array(
+        _line(HEAD, F.concat(F.lit("----- Start: "), F.col("check_id"), F.lit(" -----"))), _line(OUTCOME, outcome),
+        _line(TAIL, F.concat(F.lit("----- End: "), F.col("check_id"), F.lit(" -----"))))).alias("l")).select("section", "l.part", "l.line")
+    ids = F.broadcast(sections.select("check_id", "section"))       # as many rows as there are checks
+    body = (metric_lines(metrics).select("check_id", F.lit(METRICS).alias("part"), "line")
+            .unionByName(report_lines(findings, keep=("check_id",)).select("check_id", F.lit(FINDINGS).alias("part"), "line")))
+    ends = spark.createDataFrame([(0, HEAD, REPORT_FIRST), (LAST_SECTION, TAIL, REPORT_LAST)], "section int, part int, line string")
+    return frame.unionByName(body.join(ids, "check_id").select("section", "part", "line")).unionByName(ends)
+
+
+LAST_SECTION = 1_000_000
+
+
+def _line(part: int, text: Column) -> Column:
+    return F.struct(F.lit(part).alias("part"), text.alias("line"))
+
+
+def write_report(findings: DataFrame, metrics: DataFrame, path: str, checks: list[str] | None = None) -> str:
+    """A6 sink: findings and metrics as parquet, plus the text report; overwrite.
+
+    The report is sorted over all its part files: one after the other they read from the first line to the last.
+    ``checks``: those that were run (all known ones unless told).
+    """
     base = path.rstrip("/")
     findings.write.mode("overwrite").parquet(f"{base}/findings")
     metrics.write.mode("overwrite").parquet(f"{base}/metrics")
     # from the written findings: the checks are not run a second time
-    written = findings.sparkSession.read.schema(findings.schema).parquet(f"{base}/findings")
-    report_lines(written).write.mode("overwrite").text(f"{base}/report")
+    spark = findings.sparkSession
+    written = spark.read.schema(findings.schema).parquet(f"{base}/findings")
+    measured = spark.read.schema(metrics.schema).parquet(f"{base}/metrics")
+    lines = report(written, measured, list(SEVERITY) if checks is None else checks)
+    lines.orderBy("section", "part", "line").select("line").write.mode("overwrite").text(f"{base}/report")
     return base

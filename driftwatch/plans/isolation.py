@@ -66,6 +66,11 @@ def once(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
     return get
 
 
+def check_ids(parts: Iterable[Part]) -> list[str]:
+    """The checks of a suite in the order in which they are run; a part of several checks stands for each."""
+    return list(dict.fromkeys(i for p in parts for i in ([e.check_id for e in p.instead] or [p.check_id])))
+
+
 def error_text(error: BaseException) -> str:
     """One line: the error's class and message, without the stack."""
     if isinstance(error, Py4JJavaError):

@@ -511,8 +511,12 @@ def _with_severity(parts) -> str:
     return f"select severity, check_id, n from ({union}) u where n > 0"
 
 
+def _absent(required, present) -> list:
+    return [c for c in dict.fromkeys(required) if c and c not in present]
+
+
 def _missing_rows(required, present) -> str:
-    miss = [c for c in dict.fromkeys(required) if c and c not in present]
+    miss = _absent(required, present)
     if not miss:
         return "select 1 where false"
     return " union all ".join(f"select {q(c)} as column_name" for c in miss)
@@ -595,9 +599,86 @@ _STAT_SUITE_PARTS = [
     ("text_symbol_counts", f"select * from ({_symbol_counts('cur', _LISTING_TEXT, 'listing')}) z where n > 0"),
 ]
 
+def _found(check_id, body, column="null", entity="null", value="null", detail="null") -> str:
+    cols = ", ".join(f"cast({x} as varchar) as {n}" for x, n in
+                     ((column, "column_name"), (entity, "entity_id"), (value, "value"), (detail, "detail")))
+    return f"select {q(check_id)} as check_id, {q(SEVERITY[check_id])} as severity, {cols} from ({body}) f"
+
+
+_LISTING_BODY = dict(_LISTING_SUITE_PARTS)
+_SURPLUS = f"select count(*) - 1 as surplus from cur_raw group by {', '.join(LISTING_COLUMNS)} having count(*) > 1"
+
+#: The listing suite's checks in order, with what each writes into the findings.
+_LISTING_FINDINGS = [
+    ("duplicate_rows", _SURPLUS, {"value": "surplus"}),
+    ("missing_column", _missing_rows(_LISTING_REQUIRED, LISTING_COLUMNS).replace("select 1 where", "select null as column_name where"),
+     {"column": "column_name"}),
+    ("competitor_check", None, {"column": "'competitor'", "detail": "printf('current=%d previous=%d', current_values, previous_values)"}),
+    ("country_cardinality", None, {"column": "'country'", "value": "country_count"}),
+    ("invalid_latitude", None, {"column": "'latitude'", "entity": "store_id", "value": "value"}),
+    ("invalid_longitude", None, {"column": "'longitude'", "entity": "store_id", "value": "value"}),
+    ("invalid_zip", None, {"column": "'zip_code'", "entity": "store_id", "value": "zip_code"}),
+    ("null_violations", None, {"column": "column_name", "entity": "store_id"}),
+    ("symbol_violations", None, {"column": "column_name", "entity": "store_id"}),
+    ("zero_price", None, {"column": "'price'", "entity": "store_id"}),
+    ("duplicate_products", None, {"entity": "store_id"}),
+    ("categories_not_in_current", None, {"column": "'category'", "entity": "store_id", "value": "category"}),
+    ("stores_not_in_current", None, {"entity": "store_id"}),
+    ("scrape_dates", None, {"value": "date_extracted"}),
+]
+_FINDINGS = "\nunion all\n".join(_found(c, body or _LISTING_BODY[c], **cols) for c, body, cols in _LISTING_FINDINGS)
+
+
+def _label(name, label):
+    return f"coalesce(' {label}=' || {name}, '')"
+
+
+_FINDING_LINE = (f"'[' || upper(severity) || '] ' || check_id || {_label('column_name', 'column')} || {_label('entity_id', 'entity')} || "
+                 f"{_label('value', 'value')} || coalesce(' ' || detail, '')")
+
+
+def _measured(check_id, metric, body, current="null", previous="null", measured="null", status="null") -> str:
+    def num(x, label):
+        return f"coalesce(' {label}=' || printf('%.2f', cast({x} as double)), '')"
+
+    line = (f"'[METRIC] ' || {metric} || {num(current, 'current')} || {num(previous, 'previous')} || {num(measured, 'measured')} || "
+            f"coalesce(' status=' || {status}, '')")
+    return f"select {q(check_id)} as check_id, {line} as line from ({body}) m"
+
+
+_METRIC_LINES = "\nunion all\n".join([
+    _measured("duplicate_rows", "'surplus_rows'", f"select coalesce(sum(surplus), 0) as n from ({_SURPLUS}) s", measured="n"),
+    _measured("competitor_check", "'distinct_values'", _b("competitor_check"), "current_values", "previous_values", status="status"),
+    *[_measured("snapshot_counts", f"snapshot || '_{what}s'", _b("snapshot_counts"), measured=f"{what}_count")
+      for what in ("row", "store", "column")],
+    _measured("size_change_pct", "'pct'", _b("size_change_pct"), "current_count", "previous_count", "pct", "status"),
+])
+_REPORT_CHECKS = ["duplicate_rows", *(["missing_column"] if _absent(_LISTING_REQUIRED, LISTING_COLUMNS) else []), "competitor_check", "snapshot_counts", "size_change_pct", "country_cardinality", "invalid_latitude",
+                  "invalid_longitude", "invalid_zip", "null_violations", "symbol_violations", "zero_price", "duplicate_products",
+                  "categories_not_in_current", "stores_not_in_current", "scrape_dates"]
+_REPORT = (
+    f"select * from (with f as (select *, {_FINDING_LINE} as line from ({_FINDINGS}) x), m as ({_METRIC_LINES}),\n"
+    f"s as (select check_id, cast(i as integer) as section from (values {', '.join(f'({q(c)}, {i})' for i, c in enumerate(_REPORT_CHECKS, 1))}) "
+    "v(check_id, i)),\n"
+    "n as (select s.check_id, s.section, count(f.check_id) as n, max(f.severity) as severity from s left join f using (check_id) group by 1, 2)\n"
+    "select section, 0 as part, '----- Start: ' || check_id || ' -----' as line from n\n"
+    "union all select section, 1, case when n = 0 then '[PASS] ' || check_id || ': nothing found' "
+    "else '[' || upper(severity) || '] ' || check_id || ': ' || n || ' found' end from n\n"
+    "union all select section, 2, m.line from m join s using (check_id)\n"
+    "union all select section, 3, f.line from f join s using (check_id)\n"
+    "union all select section, 4, '----- End: ' || check_id || ' -----' from n\n"
+    "union all select 0, 0, '===== STARTING VALIDATION ====='\n"
+    "union all select 1000000, 4, '===== VALIDATION COMPLETE =====') r")
+
 SUITE_SQL = {
     "listing_suite_summary": with_listing(_count_union(_LISTING_SUITE_PARTS), snapshots=2, dedupe_current=True),
     "findings_by_severity": with_listing(_with_severity(_LISTING_SUITE_PARTS), snapshots=2, dedupe_current=True),
     "review_suite_summary": with_review(_count_union(_REVIEW_SUITE_PARTS), dedupe_current=True),
     "stat_suite_summary": with_listing(_count_union(_STAT_SUITE_PARTS), snapshots=2),
+    "findings_sample": with_listing(
+        "select check_id, severity, column_name, entity_id, value, detail from (select *, row_number() over (partition by check_id "
+        "order by entity_id nulls first, value nulls first, column_name nulls first, detail nulls first) as rn "
+        f"from ({_FINDINGS}) x) y where rn <= 5", snapshots=2, dedupe_current=True),
+    "report_lines": with_listing(f"select {_FINDING_LINE} as line from ({_FINDINGS}) x", snapshots=2, dedupe_current=True),
+    "listing_report": with_listing(_REPORT, snapshots=2, dedupe_current=True),
 }

@@ -26,6 +26,7 @@ from ..sources.csv import csv_round_trip, read_delimited
 from ..sources.landing import land_delimited
 from . import findings as fnd
 from . import suite as su
+from .isolation import check_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -179,6 +180,12 @@ def stat_suite(spark: SparkSession, sf_dir: str) -> su.SuiteResult:
     return su.stat_suite(c, p, LISTING, fx.AS_OF)
 
 
+def listing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing suite's report: sections, metrics, findings and pass lines."""
+    res = listing_suite(spark, sf_dir)
+    return fnd.report(res.findings, res.metrics, check_ids(res.parts))
+
+
 SUITE_QUERIES: dict[str, Query] = {
     "listing_suite_summary": lambda s, d: fnd.summary(listing_suite(s, d).findings),
     "review_suite_summary": lambda s, d: fnd.summary(review_suite(s, d).findings),
@@ -186,6 +193,7 @@ SUITE_QUERIES: dict[str, Query] = {
     "findings_by_severity": lambda s, d: fnd.findings_by_severity(listing_suite(s, d).findings),
     "findings_sample": lambda s, d: fnd.findings_sample(listing_suite(s, d).findings, 5),
     "report_lines": lambda s, d: fnd.report_lines(listing_suite(s, d).findings),
+    "listing_report": listing_report,
 }
 
 

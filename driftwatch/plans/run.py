@@ -34,7 +34,7 @@ def _write(spark, res: su.SuiteResult, collisions, output_path: str) -> str:
     parts = res.parts + ([] if extra is None else [iso.ready(extra, "header_collision")])
     checks = f"{output_path.rstrip('/')}/checks"
     iso.write_parts(spark, parts, checks)
-    return write_report(*iso.written(spark, parts, checks), output_path)
+    return write_report(*iso.written(spark, parts, checks), output_path, iso.check_ids(parts))
 
 
 def run_validation(spark: SparkSession, current: str, previous: str, country: str,

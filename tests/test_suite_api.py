@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from driftwatch.operators.schema import standardize_headers
 from driftwatch.plans import suite as su
-from driftwatch.plans.findings import report_lines, write_report
+from driftwatch.plans.findings import FINDINGS_SCHEMA, METRICS_SCHEMA, plan_findings, report, report_lines, write_report
+from driftwatch.plans.isolation import check_ids
 from driftwatch.profiles import LISTING, REVIEW, listing_profile
 from driftwatch.sources.csv import read_snapshots
 
@@ -40,10 +41,54 @@ def test_feed_id_counts_metric(spark):
 def test_report_sink_writes_three_outputs(spark, tmpdir_path):
     res = su.listing_suite(snap(spark, [row(zip_code="bad")]), None, LISTING, materialize=False)
     base = write_report(res.findings, res.metrics, os.path.join(tmpdir_path, "rep"))
-    lines = [r[0] for r in spark.read.text(os.path.join(base, "report")).collect()]
+    lines = _report_text(base)
     assert any(line.startswith("[ERROR] invalid_zip") and "value=00bad" in line for line in lines)   # zfill pads short ZIPs
-    assert spark.read.parquet(os.path.join(base, "findings")).count() == len(lines)
-    assert report_lines(res.findings).count() == len(lines)
+    found = spark.read.parquet(os.path.join(base, "findings")).count()
+    assert report_lines(res.findings).count() == found
+    at = [i for i, x in enumerate(lines) if x.startswith(("[ERROR] ", "[WARNING] ", "[INFO] ")) and not x.endswith(" found")]
+    assert len(at) == found
+
+
+def _report_text(base):
+    """The report's part files one after the other."""
+    folder = os.path.join(base, "report")
+    out = []
+    for name in sorted(n for n in os.listdir(folder) if n.startswith("part-")):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            out += f.read().splitlines()
+    return out
+
+
+def test_report_reads_from_first_line_to_last(spark, tmpdir_path):
+    rows = [row(sid=f"S{i:03d}", zip_code="bad") for i in range(300)]
+    res = su.listing_suite(snap(spark, rows), snap(spark, rows[:200]), LISTING, materialize=False)
+    checks = check_ids(res.parts)
+    base = write_report(res.findings.repartition(7), res.metrics, os.path.join(tmpdir_path, "long"), checks)
+    lines = _report_text(base)
+    assert lines[0] == "===== STARTING VALIDATION =====" and lines[-1] == "===== VALIDATION COMPLETE ====="
+    starts = [x[len("----- Start: "):-len(" -----")] for x in lines if x.startswith("----- Start: ")]
+    ends = [x[len("----- End: "):-len(" -----")] for x in lines if x.startswith("----- End: ")]
+    assert starts == ends == checks
+    i, j = lines.index("----- Start: invalid_zip -----"), lines.index("----- End: invalid_zip -----")
+    assert lines[i + 1] == "[ERROR] invalid_zip: 300 found"
+    assert lines[i + 2:j] == sorted(lines[i + 2:j]) and len(lines[i + 2:j]) == 300
+    i = lines.index("----- Start: size_change_pct -----")
+    assert lines[i + 1:i + 3] == ["[PASS] size_change_pct: nothing found",
+                                  "[METRIC] pct current=300.00 previous=200.00 measured=20.00 status=increased"]
+    assert "[PASS] invalid_latitude: nothing found" in lines
+
+
+def test_report_gives_unlisted_checks_a_section(spark):
+    found = plan_findings(spark, [("check_failed", "error", None, None, "zero_price", "Boom"), ("zero_price", "error", "price", "S1", None, None)])
+    none = spark.createDataFrame([], METRICS_SCHEMA)
+    got = [tuple(r) for r in report(found, none, ["zero_price", "invalid_zip"]).orderBy("section", "part", "line").collect()]
+    assert [x[2] for x in got] == [
+        "===== STARTING VALIDATION =====",
+        "----- Start: zero_price -----", "[ERROR] zero_price: 1 found", "[ERROR] zero_price column=price entity=S1", "----- End: zero_price -----",
+        "----- Start: invalid_zip -----", "[PASS] invalid_zip: nothing found", "----- End: invalid_zip -----",
+        "----- Start: check_failed -----", "[ERROR] check_failed: 1 found", "[ERROR] check_failed value=zero_price Boom",
+        "----- End: check_failed -----", "===== VALIDATION COMPLETE ====="]
+    assert report(spark.createDataFrame([], FINDINGS_SCHEMA), none, []).count() == 2
 
 
 def test_review_suite_retailer_metrics(spark):
