@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import row_weight
+
 
 def stores_not_in_current(cur: DataFrame, prev: DataFrame) -> DataFrame:
     """G1: distinct previous stores with no match in current (null kept)."""
@@ -46,8 +48,8 @@ def stores_with_fewer_rows(cur: DataFrame, prev: DataFrame) -> DataFrame:
     A store is in the multiset difference exactly when it has more rows in
     previous than in current, so one signed count per store is enough.
     """
-    t = (prev.select(F.col("sid").alias("store_id"), F.lit(1).alias("d"))
-             .unionByName(cur.select(F.col("sid").alias("store_id"), F.lit(-1).alias("d"))))
+    t = (prev.select(F.col("sid").alias("store_id"), row_weight(prev).alias("d"))
+             .unionByName(cur.select(F.col("sid").alias("store_id"), (-row_weight(cur)).alias("d"))))
     return t.groupBy("store_id").agg(F.sum("d").alias("d")).where(F.col("d") > 0).select("store_id")
 
 

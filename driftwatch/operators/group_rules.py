@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_token, round4
+from .ledger import row_weight
 
 
 def _tagged(cur: DataFrame, prev: DataFrame, *cols) -> DataFrame:
@@ -40,9 +41,11 @@ def snapshot_counts(cur: DataFrame, prev: DataFrame, column_count: int,
 
 
 def _row_totals(cur: DataFrame, prev: DataFrame) -> DataFrame:
-    t = _tagged(cur, prev)
-    return t.agg(F.count_if(F.col("is_cur")).cast("bigint").alias("current_count"),
-                 F.count_if(~F.col("is_cur")).cast("bigint").alias("previous_count"))
+    """Rows of both snapshots (or of the snapshots that ledgers stand for)."""
+    t = (cur.select(row_weight(cur).alias("w"), F.lit(True).alias("is_cur"))
+            .unionByName(prev.select(row_weight(prev).alias("w"), F.lit(False).alias("is_cur"))))
+    return t.agg(F.coalesce(F.sum(F.when(F.col("is_cur"), F.col("w"))), F.lit(0)).cast("bigint").alias("current_count"),
+                 F.coalesce(F.sum(F.when(~F.col("is_cur"), F.col("w"))), F.lit(0)).cast("bigint").alias("previous_count"))
 
 
 def size_change_pct(cur: DataFrame, prev: DataFrame) -> DataFrame:

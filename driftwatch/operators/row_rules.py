@@ -21,6 +21,7 @@ from ..profiles import (
     ALASKA_BOX, CA_POSTAL_NO_SPACE, CA_POSTAL_WITH_SPACE, SEVERITY, TEXT_SYMBOL_FIELDS,
     TEXT_SYMBOL_PATTERNS, USA_LOWER48_BOX, Profile,
 )
+from .ledger import row_weight
 
 # --------------------------------------------------------------------------
 # Coordinates and postal codes
@@ -263,7 +264,8 @@ def date_month_mismatch(c: DataFrame, as_of, date_col: str = "date_extracted") -
 
 def empty_entity_id(c: DataFrame, entity_col: str = "store_id") -> DataFrame:
     """Number of rows with an empty entity id."""
-    return c.agg(F.count_if(is_blank(F.col(entity_col))).cast("bigint").alias("n"))
+    n = F.sum(F.when(is_blank(F.col(entity_col)), row_weight(c)))
+    return c.agg(F.coalesce(n, F.lit(0)).cast("bigint").alias("n"))
 
 
 # --------------------------------------------------------------------------

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .ledger import row_weight
 
 DEFAULT_BUCKETS = 64
 
@@ -90,7 +91,7 @@ def outside_iqr(df: DataFrame, col: str, factor: float, q: DataFrame | None = No
 
 def store_row_counts(c: DataFrame) -> DataFrame:
     """Rows per store (a null store is a group)."""
-    return c.groupBy(F.col("sid").alias("store_id")).agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy(F.col("sid").alias("store_id")).agg(F.sum(row_weight(c)).alias("n"))
 
 
 def store_count_outliers(c: DataFrame, factor: float) -> DataFrame:

@@ -26,6 +26,7 @@ from ..operators import group_rules as gr
 from ..operators import row_rules as rr
 from ..operators import stats as st
 from ..operators.clean import clean_snapshot
+from ..operators.ledger import store_ledger
 from ..operators.schema import missing_columns
 from ..profiles import (
     SEVERITY, DUPLICATE_LISTING_KEYS, DUPLICATE_PRODUCT_KEYS, STORE_METADATA_COLUMNS, TEXT_SYMBOL_FIELDS,
@@ -206,6 +207,11 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
     spark = cur.sparkSession
     c = _prepare(cur, profile, "stat-current", materialize)
     p = _prepare(prev, profile, "stat-previous", materialize)
+    # Rules on stores read one ledger of each snapshot, not the snapshots.
+    about = [profile.entity_col, profile.consistency_col, *STORE_METADATA_COLUMNS, "lat_num", "lon_num"]
+    cl, pl = store_ledger(c, about), store_ledger(p, [profile.consistency_col])
+    if materialize:
+        cl, pl = land(cl, "stat-current-stores"), land(pl, "stat-previous-stores")
     f: list[Part] = []
 
     text_fields = [x for x in TEXT_SYMBOL_FIELDS if x in c.columns]
@@ -223,15 +229,15 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
     if _have(p, profile.date_col):
         f.append(_f(lambda: gr.scrape_dates(p, profile.date_col), "scrape_dates_previous", value="date_extracted"))
     if _have(c, profile.consistency_col) and _have(p, profile.consistency_col):
-        f.append(_f(lambda: gr.distinct_field_values(c, p, [profile.consistency_col]), "distinct_field_values",
+        f.append(_f(lambda: gr.distinct_field_values(cl, pl, [profile.consistency_col]), "distinct_field_values",
                     column_name=F.col("field"), value="value", detail="snapshot"))
 
-    cm = once(lambda: gr.count_margin(c, p, profile.count_margin_pct))
+    cm = once(lambda: gr.count_margin(cl, pl, profile.count_margin_pct))
     f.append(_f(lambda: cm().where(F.col("status") == "flag"), "count_margin", value="pct"))
     f.append(_m(cm, "count_margin", "pct", current="current_count", previous="previous_count",
                          measured="pct", threshold=profile.count_margin_pct, status="status"))
 
-    f.append(_f(lambda: st.store_count_outliers(c, profile.iqr_factor), "store_count_outliers",
+    f.append(_f(lambda: st.store_count_outliers(cl, profile.iqr_factor), "store_count_outliers",
                 entity="store_id", value="n"))
 
     if _have(c, profile.price_col):
@@ -259,26 +265,26 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
                              measured="n"))
 
     if _have(c, "latitude", "longitude"):
-        f.append(_f(lambda: gr.store_multi_location(c), "store_multi_location", entity="store_id",
+        f.append(_f(lambda: gr.store_multi_location(cl), "store_multi_location", entity="store_id",
                     value="unique_locations"))
-        f.append(_f(lambda: gr.location_multi_store(c), "location_multi_store",
+        f.append(_f(lambda: gr.location_multi_store(cl), "location_multi_store",
                     value=F.format_string("%s,%s", "lat4", "lon4"), detail="store_count"))
         f.append(_f(lambda: rr.outside_boxes(c, profile.geo_boxes), "outside_geo_box", entity="store_id",
                     value=F.format_string("%s,%s", "latitude", "longitude")))
 
-    ms = once(lambda: cmp.missing_store_pct(c, p, profile.missing_store_pct))
+    ms = once(lambda: cmp.missing_store_pct(cl, pl, profile.missing_store_pct))
     f.append(_f(lambda: ms().where(F.col("status") == "flag"), "missing_store_pct", value="pct_missing",
                 detail="missing_count"))
     f.append(_m(ms, "missing_store_pct", "pct", current="missing_count", previous="previous_total",
                          measured="pct_missing", threshold=profile.missing_store_pct, status="status"))
-    f.append(_f(lambda: cmp.stores_with_fewer_rows(c, p), "stores_with_fewer_rows", entity="store_id"))
+    f.append(_f(lambda: cmp.stores_with_fewer_rows(cl, pl), "stores_with_fewer_rows", entity="store_id"))
 
-    ee = once(lambda: rr.empty_entity_id(c, profile.entity_col))
+    ee = once(lambda: rr.empty_entity_id(cl, profile.entity_col))
     f.append(_f(lambda: ee().where(F.col("n") > 0), "empty_entity_id", column_name=profile.entity_col, value="n"))
 
     meta = [x for x in STORE_METADATA_COLUMNS if x in c.columns]
     if meta:
-        f.append(_f(lambda: gr.store_metadata_conflicts(c, meta), "store_metadata_conflicts", entity="store_id"))
+        f.append(_f(lambda: gr.store_metadata_conflicts(cl, meta), "store_metadata_conflicts", entity="store_id"))
     if _have(c, *[k for k in DUPLICATE_LISTING_KEYS if k != "store_id"]):
         f.append(_f(lambda: gr.duplicate_groups(c, DUPLICATE_LISTING_KEYS), "duplicate_listing_groups",
                     entity="store_id", value="n"))
