@@ -32,9 +32,10 @@ def snapshot_counts(cur: DataFrame, prev: DataFrame, column_count: int,
     """Rows, columns and distinct stores per snapshot (both of one width unless told)."""
     if previous_column_count is None:
         previous_column_count = column_count
-    t = _tagged(cur, prev, "sid")
+    t = (cur.select("sid", row_weight(cur).alias("w"), F.lit(True).alias("is_cur"))
+            .unionByName(prev.select("sid", row_weight(prev).alias("w"), F.lit(False).alias("is_cur"))))
     return (t.groupBy(F.when(F.col("is_cur"), F.lit("current")).otherwise(F.lit("previous")).alias("snapshot"))
-             .agg(F.count(F.lit(1)).alias("row_count"),
+             .agg(F.sum("w").cast("bigint").alias("row_count"),
                   F.max(F.when(F.col("is_cur"), F.lit(column_count)).otherwise(F.lit(previous_column_count)))
                    .cast("bigint").alias("column_count"),
                   F.countDistinct("sid").alias("store_count")))
@@ -82,7 +83,7 @@ def group_counts(cur: DataFrame, prev: DataFrame, group_col: str) -> DataFrame:
     def agg(df, prefix):
         return (df.where(F.col(group_col).isNotNull())
                   .groupBy(group_col)
-                  .agg(F.count(F.lit(1)).alias(f"{prefix}_rows"),
+                  .agg(F.sum(row_weight(df)).cast("bigint").alias(f"{prefix}_rows"),
                        F.countDistinct("sid").alias(f"{prefix}_stores")))
 
     out = agg(cur, "current").join(agg(prev, "previous"), group_col, "left")

@@ -670,7 +670,21 @@ _REPORT = (
     "union all select 0, 0, '===== STARTING VALIDATION ====='\n"
     "union all select 1000000, 4, '===== VALIDATION COMPLETE =====') r")
 
+
+def _state_facts() -> str:
+    """Rows of each store, of each (store, value) of the store fields, and of the single values kept."""
+    pairs = "".join(f"union all select {q(x)}, sid, cast({x} as varchar), count(*) from cur group by sid, {x}\n"
+                    for x in ("category", "competitor", "tmad_id"))
+    day = f"regexp_split_to_array({ustrip('cast(date_extracted as varchar)')}, '\\s+')[1]"
+    return ("select 'store' as field, sid as store_id, cast(null as varchar) as value, count(*) as n from cur group by sid\n"
+            f"{pairs}union all select 'date_extracted', null, {day}, count(*) from cur where date_extracted is not null group by 3\n"
+            "union all select 'price', null, price, count(*) from cur where length(price) > 5 group by price")
+
+
 SUITE_SQL = {
+    "snapshot_state": with_listing(_state_facts()),
+    "listing_suite_from_state": with_listing(_count_union(_LISTING_SUITE_PARTS), snapshots=2, dedupe_current=True),
+    "stat_suite_from_state": with_listing(_count_union(_STAT_SUITE_PARTS), snapshots=2),
     "listing_suite_summary": with_listing(_count_union(_LISTING_SUITE_PARTS), snapshots=2, dedupe_current=True),
     "findings_by_severity": with_listing(_with_severity(_LISTING_SUITE_PARTS), snapshots=2, dedupe_current=True),
     "review_suite_summary": with_review(_count_union(_REVIEW_SUITE_PARTS), dedupe_current=True),

@@ -16,6 +16,8 @@ from ..operators import group_rules as gr
 from ..operators import row_rules as rr
 from ..operators import schema as sch
 from ..operators import stats as st
+from ..operators import state as sst
+from ..operators.ledger import store_ledger
 from ..operators.clean import clean_listing, clean_snapshot
 from ..profiles import (
     DUPLICATE_LISTING_KEYS, DUPLICATE_PRODUCT_KEYS, LISTING, REVIEW, UNIFORM_PRICE_KEYS,
@@ -23,7 +25,7 @@ from ..profiles import (
 )
 from ..sources import fixtures as fx
 from ..sources.csv import csv_round_trip, read_delimited
-from ..sources.landing import land_delimited
+from ..sources.landing import land, land_delimited, landing_folder
 from . import findings as fnd
 from . import suite as su
 from .isolation import check_ids
@@ -38,6 +40,11 @@ def cur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_snapshot(fx.whole_listing(spark, sf_dir), LISTING)
 
 
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores and prices of the whole listing, landed: exact quantiles read their input several times."""
+    return land(cur(spark, sf_dir).select("sid", "price_num"), "prices")
+
+
 def cur_prev(spark: SparkSession, sf_dir: str):
     c, p = fx.listing_snapshots(spark, sf_dir)
     return clean_snapshot(c, LISTING), clean_snapshot(p, LISTING)
@@ -121,9 +128,9 @@ GROUP_QUERIES: dict[str, Query] = {
     "competitor_values": lambda s, d: gr.distinct_values(cur(s, d), "competitor"),
     "country_cardinality": lambda s, d: gr.cardinality(cur(s, d), "country", "country_count"),
     "store_row_counts": lambda s, d: st.store_row_counts(cur(s, d)),
-    "price_quartiles": lambda s, d: st.price_quartiles(cur(s, d)),
-    "store_count_outliers": lambda s, d: st.store_count_outliers(cur(s, d), LISTING.iqr_factor),
-    "price_outliers": lambda s, d: st.price_outliers(cur(s, d), LISTING.iqr_factor),
+    "price_quartiles": lambda s, d: st.price_quartiles(prices(s, d)),
+    "store_count_outliers": lambda s, d: st.store_count_outliers(land(store_ledger(cur(s, d), []), "stores"), LISTING.iqr_factor),
+    "price_outliers": lambda s, d: st.price_outliers(prices(s, d), LISTING.iqr_factor),
     "store_multi_location": lambda s, d: gr.store_multi_location(cur(s, d)),
     "location_multi_store": lambda s, d: gr.location_multi_store(cur(s, d)),
     "store_metadata_conflicts": lambda s, d: gr.store_metadata_conflicts(cur(s, d)),
@@ -180,6 +187,28 @@ def stat_suite(spark: SparkSession, sf_dir: str) -> su.SuiteResult:
     return su.stat_suite(c, p, LISTING, fx.AS_OF)
 
 
+def kept_state(spark: SparkSession, snapshot: DataFrame, profile) -> sst.SnapshotState:
+    """A snapshot's state, written to a folder and read back as the next run would."""
+    path = landing_folder(spark, "snapshot-state")
+    return sst.read_state(spark, sst.write_state(sst.state_of(snapshot, profile), path, profile), profile)
+
+
+def snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts kept of the whole listing, as read back."""
+    facts = kept_state(spark, fx.whole_listing(spark, sf_dir), TMAD).facts
+    return facts.select("field", F.col("sid").alias("store_id"), "value", F.col("_rows").alias("n"))
+
+
+def listing_suite_from_state(spark: SparkSession, sf_dir: str) -> su.SuiteResult:
+    c, p = fx.listing_snapshots(spark, sf_dir)
+    return su.listing_suite(c, kept_state(spark, p, LISTING), LISTING)
+
+
+def stat_suite_from_state(spark: SparkSession, sf_dir: str) -> su.SuiteResult:
+    c, p = fx.listing_snapshots(spark, sf_dir)
+    return su.stat_suite(c, kept_state(spark, p, LISTING), LISTING, fx.AS_OF)
+
+
 def listing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing suite's report: sections, metrics, findings and pass lines."""
     res = listing_suite(spark, sf_dir)
@@ -194,6 +223,9 @@ SUITE_QUERIES: dict[str, Query] = {
     "findings_sample": lambda s, d: fnd.findings_sample(listing_suite(s, d).findings, 5),
     "report_lines": lambda s, d: fnd.report_lines(listing_suite(s, d).findings),
     "listing_report": listing_report,
+    "snapshot_state": snapshot_state,
+    "listing_suite_from_state": lambda s, d: fnd.summary(listing_suite_from_state(s, d).findings),
+    "stat_suite_from_state": lambda s, d: fnd.summary(stat_suite_from_state(s, d).findings),
 }
 
 

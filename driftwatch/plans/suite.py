@@ -16,7 +16,7 @@ findings and the check is skipped.  Bad data doesn't throw, because every parse
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ from ..operators import stats as st
 from ..operators.clean import clean_snapshot
 from ..operators.ledger import store_ledger
 from ..operators.schema import missing_columns
+from ..operators.state import SnapshotState, state_of
 from ..profiles import (
     SEVERITY, DUPLICATE_LISTING_KEYS, DUPLICATE_PRODUCT_KEYS, STORE_METADATA_COLUMNS, TEXT_SYMBOL_FIELDS,
     UNIFORM_PRICE_KEYS, Profile,
@@ -76,8 +77,19 @@ def _row_part(c: DataFrame, profile: Profile) -> Part:
     return Part("findings", "row_rules", lambda: rr.fused_row_findings(c, profile), each)
 
 
-def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile, materialize: bool,
-                        consistency_check: str, extra) -> tuple[SuiteResult, DataFrame, DataFrame | None]:
+def _same_treatment(state: SnapshotState, profile: Profile) -> SnapshotState:
+    if state.deduplicated != profile.dedupe_previous:
+        raise ValueError("the previous snapshot's state and the profile treat copies of rows differently")
+    return state
+
+
+def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | SnapshotState | None, profile: Profile, materialize: bool,
+                        consistency_check: str, extra):
+    """(result, cleaned current, previous, sides).
+
+    ``sides(column)`` gives what a comparison reads of both snapshots: the snapshots, or with a state in place of the
+    previous one the (store, column) counts of both states.
+    """
     spark = cur.sparkSession
     raw_cols = cur.columns
     f: list[Part] = []
@@ -95,10 +107,23 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
                          "duplicate_rows", "surplus_rows", measured="surplus"))
     c = g.drop("_copies") if profile.dedupe_current else raw
     p = None
-    if prev is not None:
+    if isinstance(prev, SnapshotState):
+        p = _same_treatment(prev, profile)
+    elif prev is not None:
         pv = prev.dropDuplicates() if profile.dedupe_previous else prev
         p = _prepare(pv, profile, "previous", materialize)
 
+    def own_state() -> SnapshotState:
+        s = state_of(c, profile, cleaned=True, deduplicated=profile.dedupe_current)
+        return replace(s, facts=land(s.facts, "current-state")) if materialize else s
+
+    current_state = once(own_state)
+
+    def sides(column: str | None = None) -> tuple[DataFrame, DataFrame]:
+        if not isinstance(p, SnapshotState):
+            return c, p
+        return tuple(s.pairs(column) if column else s.stores() for s in (current_state(), p))
+
     required = list(profile.null_columns) + list(profile.symbol_patterns) + [
         profile.entity_col, profile.consistency_col, profile.date_col]
     if profile.category_col:
@@ -120,7 +145,7 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     # Consistency of the competitor / retailer column.
     col = profile.consistency_col
     if p is not None and _have(c, col) and _have(p, col):
-        chk = once(lambda: gr.single_value_check(c, p, col))
+        chk = once(lambda: gr.single_value_check(*sides(col), col))
         f.append(_f(lambda: chk().where(F.col("status") == "mismatch"), consistency_check, column_name=col,
                     detail=F.format_string("current=%d previous=%d", "current_values", "previous_values")))
         f.append(_m(chk, consistency_check, "distinct_values", current="current_values",
@@ -134,18 +159,18 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     # Counts and size change.
     if p is not None:
         width = lambda df: len([x for x in df.columns if x != CORRUPT_COL])
-        sc = once(lambda: gr.snapshot_counts(c, p, width(cur), width(prev)))
+        sc = once(lambda: gr.snapshot_counts(*sides(), width(cur), width(prev)))
         f.append(_m(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_rows")),
                              measured="row_count"))
         f.append(_m(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_stores")),
                              measured="store_count"))
         f.append(_m(sc, "snapshot_counts", F.concat(F.col("snapshot"), F.lit("_columns")),
                              measured="column_count"))
-        f.append(_m(lambda: gr.size_change_pct(c, p), "size_change_pct", "pct",
+        f.append(_m(lambda: gr.size_change_pct(*sides()), "size_change_pct", "pct",
                              current="current_count", previous="previous_count", measured="pct",
                              status="status"))
         if profile.feed_id_col and _have(c, profile.feed_id_col) and _have(p, profile.feed_id_col):
-            fc = once(lambda: gr.feed_id_counts(c, p, profile.feed_id_col))
+            fc = once(lambda: gr.feed_id_counts(*sides(profile.feed_id_col), profile.feed_id_col))
             f.append(_m(fc, "feed_id_counts", F.col("snapshot"), measured="id_count"))
 
     # Country cardinality.
@@ -157,29 +182,30 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile
     # Every row rule in one pass.
     f.append(_row_part(c, profile))
 
-    f.extend(extra(c, p))
+    f.extend(extra(c, p, sides))
 
     # Drift against the previous snapshot.
     if p is not None:
-        f.append(_f(lambda: cmp.stores_not_in_current(c, p), "stores_not_in_current", entity="store_id"))
+        f.append(_f(lambda: cmp.stores_not_in_current(*sides()), "stores_not_in_current", entity="store_id"))
 
     # Scrape dates.
     if profile.date_col and _have(c, profile.date_col):
         f.append(_f(lambda: gr.scrape_dates(c, profile.date_col), "scrape_dates", value="date_extracted"))
 
-    return SuiteResult.of(spark, f), c, p
+    return SuiteResult.of(spark, f), c, p, sides
 
 
-def listing_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
+def listing_suite(cur: DataFrame, prev: DataFrame | SnapshotState | None, profile: Profile,
                   materialize: bool = True) -> SuiteResult:
-    """M1/M3: the price-listing suite (``prev=None`` gives the single-snapshot form)."""
-    def extra(c, p):
+    """M1/M3: the price-listing suite (``prev=None`` gives the single-snapshot form; a ``SnapshotState`` stands for a
+    previous snapshot that is not read again)."""
+    def extra(c, p, sides):
         out = []
         if _have(c, *DUPLICATE_PRODUCT_KEYS):
             out.append(_f(lambda: gr.duplicate_entities(c, DUPLICATE_PRODUCT_KEYS), "duplicate_products",
                           entity="store_id"))
         if p is not None and _have(c, profile.category_col) and _have(p, profile.category_col):
-            out.append(_f(lambda: cmp.categories_not_in_current(c, p, profile.category_col),
+            out.append(_f(lambda: cmp.categories_not_in_current(*sides(profile.category_col), profile.category_col),
                           "categories_not_in_current", column_name=profile.category_col,
                           entity="store_id", value="category"))
         return out
@@ -187,31 +213,37 @@ def listing_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
     return _two_snapshot_suite(cur, prev, profile, materialize, "competitor_check", extra)[0]
 
 
-def review_suite(cur: DataFrame, prev: DataFrame | None, profile: Profile,
+def review_suite(cur: DataFrame, prev: DataFrame | SnapshotState | None, profile: Profile,
                  materialize: bool = True) -> SuiteResult:
     """M2: the store-review suite; a retailer mismatch adds per-retailer counts."""
-    res, c, p = _two_snapshot_suite(cur, prev, profile, materialize, "retailer_check", lambda c, p: [])
+    res, c, p, sides = _two_snapshot_suite(cur, prev, profile, materialize, "retailer_check", lambda c, p, sides: [])
     col = profile.group_col
-    if p is None or not col or col not in c.columns:
+    if p is None or not col or col not in c.columns or (isinstance(p, SnapshotState) and col not in p.columns):
         return res
-    gc = once(lambda: gr.group_counts(c, p, col))
+    gc = once(lambda: gr.group_counts(*sides(col), col))
     more = [_m(gc, "retailer_counts", F.concat(F.col(col), F.lit("_rows")), current="current_rows", previous="previous_rows"),
             _m(gc, "retailer_counts", F.concat(F.col(col), F.lit("_stores")), current="current_stores",
                previous="previous_stores")]
     return SuiteResult.of(cur.sparkSession, res.parts + more)
 
 
-def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
+def stat_suite(cur: DataFrame, prev: DataFrame | SnapshotState, profile: Profile, as_of,
                materialize: bool = True) -> SuiteResult:
     """M4: the statistical suite (no de-duplication, thresholds from the profile)."""
     spark = cur.sparkSession
     c = _prepare(cur, profile, "stat-current", materialize)
-    p = _prepare(prev, profile, "stat-previous", materialize)
+    kept = isinstance(prev, SnapshotState)
+    p = _same_treatment(prev, profile) if kept else _prepare(prev, profile, "stat-previous", materialize)
     # Rules on stores read one ledger of each snapshot, not the snapshots.
     about = [profile.entity_col, profile.consistency_col, *STORE_METADATA_COLUMNS, "lat_num", "lon_num"]
-    cl, pl = store_ledger(c, about), store_ledger(p, [profile.consistency_col])
+    cl = store_ledger(c, about)
+    if kept:
+        pl = p.pairs(profile.consistency_col) if _have(p, profile.consistency_col) else p.stores()
+    else:
+        pl = store_ledger(p, [profile.consistency_col])
     if materialize:
-        cl, pl = land(cl, "stat-current-stores"), land(pl, "stat-previous-stores")
+        cl, pl = land(cl, "stat-current-stores"), pl if kept else land(pl, "stat-previous-stores")
+    previous = p.values if kept else lambda column: p
     f: list[Part] = []
 
     text_fields = [x for x in TEXT_SYMBOL_FIELDS if x in c.columns]
@@ -227,7 +259,7 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
                     value="date_extracted", detail="n"))
         f.append(_f(lambda: gr.scrape_dates(c, profile.date_col), "scrape_dates", value="date_extracted"))
     if _have(p, profile.date_col):
-        f.append(_f(lambda: gr.scrape_dates(p, profile.date_col), "scrape_dates_previous", value="date_extracted"))
+        f.append(_f(lambda: gr.scrape_dates(previous(profile.date_col), profile.date_col), "scrape_dates_previous", value="date_extracted"))
     if _have(c, profile.consistency_col) and _have(p, profile.consistency_col):
         f.append(_f(lambda: gr.distinct_field_values(cl, pl, [profile.consistency_col]), "distinct_field_values",
                     column_name=F.col("field"), value="value", detail="snapshot"))
@@ -249,7 +281,7 @@ def stat_suite(cur: DataFrame, prev: DataFrame, profile: Profile, as_of,
                     entity="store_id", value="price_num"))
         f.append(_f(lambda: rr.long_price(c, profile.price_col), "long_price", column_name=profile.price_col, value="price"))
         if _have(p, profile.price_col):
-            f.append(_f(lambda: rr.long_price(p, profile.price_col), "long_price_previous",
+            f.append(_f(lambda: rr.long_price(previous(profile.price_col), profile.price_col), "long_price_previous",
                         column_name=profile.price_col, value="price"))
         f.append(_f(lambda: rr.price_dollar_sign(c, profile.price_col), "price_dollar_sign",
                     column_name=profile.price_col, value="price"))
