@@ -17,7 +17,6 @@ from ..operators import row_rules as rr
 from ..operators import schema as sch
 from ..operators import stats as st
 from ..operators import state as sst
-from ..operators.ledger import store_ledger
 from ..operators.clean import clean_listing, clean_snapshot
 from ..profiles import (
     DUPLICATE_LISTING_KEYS, DUPLICATE_PRODUCT_KEYS, LISTING, REVIEW, UNIFORM_PRICE_KEYS,
@@ -25,7 +24,7 @@ from ..profiles import (
 )
 from ..sources import fixtures as fx
 from ..sources.csv import csv_round_trip, read_delimited
-from ..sources.landing import land, land_delimited, landing_folder
+from ..sources.landing import land_delimited, landing_folder
 from . import findings as fnd
 from . import suite as su
 from .isolation import check_ids
@@ -40,11 +39,6 @@ def cur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_snapshot(fx.whole_listing(spark, sf_dir), LISTING)
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores and prices of the whole listing, landed: exact quantiles read their input several times."""
-    return land(cur(spark, sf_dir).select("sid", "price_num"), "prices")
-
-
 def cur_prev(spark: SparkSession, sf_dir: str):
     c, p = fx.listing_snapshots(spark, sf_dir)
     return clean_snapshot(c, LISTING), clean_snapshot(p, LISTING)
@@ -128,9 +122,9 @@ GROUP_QUERIES: dict[str, Query] = {
     "competitor_values": lambda s, d: gr.distinct_values(cur(s, d), "competitor"),
     "country_cardinality": lambda s, d: gr.cardinality(cur(s, d), "country", "country_count"),
     "store_row_counts": lambda s, d: st.store_row_counts(cur(s, d)),
-    "price_quartiles": lambda s, d: st.price_quartiles(prices(s, d)),
-    "store_count_outliers": lambda s, d: st.store_count_outliers(land(store_ledger(cur(s, d), []), "stores"), LISTING.iqr_factor),
-    "price_outliers": lambda s, d: st.price_outliers(prices(s, d), LISTING.iqr_factor),
+    "price_quartiles": lambda s, d: st.price_quartiles(cur(s, d)),
+    "store_count_outliers": lambda s, d: st.store_count_outliers(cur(s, d), LISTING.iqr_factor),
+    "price_outliers": lambda s, d: st.price_outliers(cur(s, d), LISTING.iqr_factor),
     "store_multi_location": lambda s, d: gr.store_multi_location(cur(s, d)),
     "location_multi_store": lambda s, d: gr.location_multi_store(cur(s, d)),
     "store_metadata_conflicts": lambda s, d: gr.store_metadata_conflicts(cur(s, d)),
