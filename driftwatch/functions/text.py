@@ -6,6 +6,9 @@ codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
+import re
+import warnings
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ UNICODE_SPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # because Spark's ``try_cast`` also accepts suffixes such as ``5d``.
 NUMERIC_TEXT = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
+# A character that isn't such whitespace; printable ASCII stands first, as most texts begin with it.
+_SPACE_CLASS = "".join(f"\\u{ord(ch):04x}" for ch in UNICODE_SPACE)
+NOT_SPACE = f"[!-~]|[^{_SPACE_CLASS}]"
+
 # Whole-number text (ZIP numeric test).
 DIGITS = r"^[0-9]+$"
 
@@ -38,8 +45,26 @@ def clean_text(c) -> Column:
 
 
 def is_blank(c) -> Column:
-    """Null, or nothing but whitespace."""
-    return _c(c).isNull() | (ustrip(c) == F.lit(""))
+    """Null, or nothing but whitespace (C18): no text is stripped for it, the first other character ends the search."""
+    return F.coalesce(~_c(c).rlike(NOT_SPACE), F.lit(True))
+
+
+def spelled_out(pattern: str) -> str | None:
+    """A negated character class (``[^a-z0-9\\s]``) with its characters written one by one; None for any other pattern.
+
+    It matches the same characters.  Java looks single characters up in a table, but tries ranges and ``\\s`` one
+    after the other, for each character of a text.
+    """
+    if not pattern.isascii() or "&&" in pattern or not re.fullmatch(r"\[\^(?:[^\[\]\\]|\\[swd]|\\[^A-Za-z0-9])+\]", pattern):
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            found = re.compile(pattern, re.ASCII)
+    except re.error:
+        return None
+    kept = [ch for ch in map(chr, range(128)) if not found.match(ch)]
+    return f"[^{''.join(f'\\x{ord(ch):02x}' for ch in kept)}]"
 
 
 def na_to_null(c) -> Column:
