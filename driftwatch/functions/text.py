@@ -26,6 +26,9 @@ NUMERIC_TEXT = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _SPACE_CLASS = "".join(f"\\u{ord(ch):04x}" for ch in UNICODE_SPACE)
 NOT_SPACE = f"[!-~]|[^{_SPACE_CLASS}]"
 
+# ``NUMERIC_TEXT`` with such whitespace around it; group 1 is the number.
+SPACED_NUMBER = rf"^[{_SPACE_CLASS}]*+({NUMERIC_TEXT[1:-1]})[{_SPACE_CLASS}]*+\z"
+
 # Whole-number text (ZIP numeric test).
 DIGITS = r"^[0-9]+$"
 
@@ -84,8 +87,8 @@ def bound(c, made) -> Column:
 
 def to_double(c) -> Column:
     """Text -> double, anything that is not a plain number -> null."""
-    s = ustrip(c)
-    return F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
+    # one look at the text; no number leaves an empty text, which casts to null
+    return F.regexp_extract(_c(c), SPACED_NUMBER, 1).try_cast("double")
 
 
 def clean_zip(c, pad5: bool = True) -> Column:

@@ -25,10 +25,10 @@ from ..operators import compare as cmp
 from ..operators import group_rules as gr
 from ..operators import row_rules as rr
 from ..operators import stats as st
-from ..operators.clean import clean_snapshot
+from ..operators.clean import CLEAN_COLUMNS, clean_snapshot
 from ..operators.ledger import store_ledger
 from ..operators.schema import missing_columns
-from ..operators.state import SnapshotState, state_of
+from ..operators.state import SnapshotState, state_of, store_fields
 from ..profiles import (
     SEVERITY, DUPLICATE_LISTING_KEYS, DUPLICATE_PRODUCT_KEYS, STORE_METADATA_COLUMNS, TEXT_SYMBOL_FIELDS,
     UNIFORM_PRICE_KEYS, Profile,
@@ -58,6 +58,11 @@ def _prepare(df: DataFrame, profile: Profile, name: str, materialize: bool) -> D
     return land(c, name) if materialize else c
 
 
+def _zero_without_sign(c: DataFrame) -> DataFrame:
+    """Numbers as grouping leaves them: -0.0 is 0.0."""
+    return c.withColumns({x: F.when(F.col(x) == 0, F.lit(0.0)).otherwise(F.col(x)) for x in ("price_num", "lat_num", "lon_num")})
+
+
 def _missing(spark, df: DataFrame, required, snapshot: str | None = None) -> list[Part]:
     miss = missing_columns(df, list(dict.fromkeys(required)))
     if not miss:
@@ -87,7 +92,7 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | SnapshotState | None,
                         consistency_check: str, extra):
     """(result, cleaned current, previous, sides).
 
-    ``sides(column)`` gives what a comparison reads of both snapshots: the snapshots, or with a state in place of the
+    ``sides(column)`` gives what a comparison reads of both snapshots: their store ledgers, or with a state in place of the
     previous one the (store, column) counts of both states.
     """
     spark = cur.sparkSession
@@ -96,10 +101,14 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | SnapshotState | None,
 
     # The distinct rows with their copy counts are landed once and give both
     # the duplicate groups and the de-duplicated snapshot.
-    raw = clean_snapshot(cur, profile)
-    if materialize and not profile.dedupe_current:
-        raw = land(raw, "current")
-    g = gr.distinct_with_copies(raw, raw.columns)
+    if profile.dedupe_current:
+        # What cleaning adds follows from the raw columns: it is neither shuffled nor done for copies.
+        raw, g = None, _zero_without_sign(clean_snapshot(gr.distinct_with_copies(cur, [
+            x for x in raw_cols if x.lower() not in CLEAN_COLUMNS]), profile))
+    else:
+        raw = clean_snapshot(cur, profile)
+        raw = land(raw, "current") if materialize else raw
+        g = gr.distinct_with_copies(raw, raw.columns)
     g = land(g, "current-distinct") if materialize else g
     dup = g.where(F.col("_copies") > 1).select(*[F.col(f"`{x}`") for x in raw_cols], (F.col("_copies") - 1).alias("surplus"))
     f.append(_f(dup, "duplicate_rows", value="surplus"))
@@ -111,7 +120,13 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | SnapshotState | None,
         p = _same_treatment(prev, profile)
     elif prev is not None:
         pv = prev.dropDuplicates() if profile.dedupe_previous else prev
-        p = _prepare(pv, profile, "previous", materialize)
+        p = clean_snapshot(pv, profile)
+
+    # What comparisons ask of a snapshot: its stores with their values of the compared columns, and how many rows say so.
+    about = store_fields(raw_cols, profile)
+    both = [store_ledger(x, about) for x in (c, p)] if p is not None and not isinstance(p, SnapshotState) else []
+    if materialize:
+        both = [land(x, f"{name}-stores") for x, name in zip(both, ("current", "previous"))]
 
     def own_state() -> SnapshotState:
         s = state_of(c, profile, cleaned=True, deduplicated=profile.dedupe_current)
@@ -121,7 +136,7 @@ def _two_snapshot_suite(cur: DataFrame, prev: DataFrame | SnapshotState | None,
 
     def sides(column: str | None = None) -> tuple[DataFrame, DataFrame]:
         if not isinstance(p, SnapshotState):
-            return c, p
+            return tuple(both)
         return tuple(s.pairs(column) if column else s.stores() for s in (current_state(), p))
 
     required = list(profile.null_columns) + list(profile.symbol_patterns) + [
