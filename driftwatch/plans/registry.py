@@ -24,7 +24,7 @@ from ..profiles import (
 )
 from ..sources import fixtures as fx
 from ..sources.csv import csv_round_trip, read_delimited
-from ..sources.landing import land_delimited, landing_folder
+from ..sources.landing import land, land_delimited, landing_folder
 from . import findings as fnd
 from . import suite as su
 from .isolation import check_ids
@@ -206,7 +206,9 @@ def stat_suite_from_state(spark: SparkSession, sf_dir: str) -> su.SuiteResult:
 def listing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing suite's report: sections, metrics, findings and pass lines."""
     res = listing_suite(spark, sf_dir)
-    return fnd.report(res.findings, res.metrics, check_ids(res.parts))
+    # the report reads both several times: the checks are run once, for what is written
+    findings, metrics = land(res.findings, "findings"), land(res.metrics, "metrics")
+    return fnd.report(findings, metrics, check_ids(res.parts))
 
 
 SUITE_QUERIES: dict[str, Query] = {
