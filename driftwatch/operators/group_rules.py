@@ -183,6 +183,23 @@ def duplicate_entities(c: DataFrame, keys) -> DataFrame:
     return g.where(F.col("store_id").isNotNull()).select("store_id").distinct()
 
 
+def duplicate_entities_without_copies(c: DataFrame, keys, land) -> DataFrame:
+    """E19 on a snapshot whose copies count once: distinct non-null stores having a key group with rows that differ.
+
+    Only keys and a hash of the other columns are shuffled, not whole rows.  Rows whose hashes differ are different; a
+    store with groups of several rows, but none whose hashes differ (copies, or equal hashes of different rows), is
+    judged by its whole rows.  ``land(frame, name)`` writes one row for each store with such groups.
+    """
+    others = [F.col(f"`{x}`") for x in c.columns if x not in keys and x != "sid"] + [F.col("store_id")]
+    row = F.xxhash64(*others)
+    groups = (c.where(F.col("sid").isNotNull()).groupBy(*_key_cols(keys))
+               .agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi")).where(F.col("n") > 1))
+    stores = land(groups.groupBy("store_id").agg(F.bool_or(F.col("lo") != F.col("hi")).alias("differ")), "duplicate-stores")
+    doubtful = stores.where(~F.col("differ")).select(F.col("store_id").alias("sid"))
+    rest = duplicate_entities(c.join(doubtful, "sid", "left_semi").dropDuplicates(), keys)
+    return stores.where("differ").select("store_id").unionByName(rest)
+
+
 def uniform_groups(c: DataFrame, keys, value: str = "price_num") -> DataFrame:
     """Key groups with exactly one distinct non-null value."""
     return (c.groupBy(*keys).agg(F.countDistinct(value).alias("distinct_prices"))

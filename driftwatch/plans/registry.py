@@ -129,7 +129,9 @@ GROUP_QUERIES: dict[str, Query] = {
     "location_multi_store": lambda s, d: gr.location_multi_store(cur(s, d)),
     "store_metadata_conflicts": lambda s, d: gr.store_metadata_conflicts(cur(s, d)),
     "duplicate_listing_groups": lambda s, d: gr.duplicate_groups(cur(s, d), DUPLICATE_LISTING_KEYS),
-    "duplicate_products": lambda s, d: gr.duplicate_entities(cur(s, d).dropDuplicates(), DUPLICATE_PRODUCT_KEYS),
+    # the parsed columns follow from the raw ones: rows that differ in them differ in those
+    "duplicate_products": lambda s, d: gr.duplicate_entities_without_copies(
+        cur(s, d).drop("price_num", "zip_clean", "lat_num", "lon_num"), DUPLICATE_PRODUCT_KEYS, land),
     "uniform_pricing": lambda s, d: gr.uniform_groups(cur(s, d), UNIFORM_PRICE_KEYS),
     "categories_per_product_store": lambda s, d: gr.categories_per_product_store(cur(s, d)),
     "scrape_dates": lambda s, d: gr.scrape_dates(cur(s, d)),
