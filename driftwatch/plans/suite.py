@@ -5,8 +5,8 @@
 * ``review_suite``   — the same for store-review feeds (M2);
 * ``stat_suite``     — the statistical two-snapshot suite (M4).
 
-Plan shape: the cleaned snapshots are landed once (``materialize``); every row
-rule then runs in ONE fused pass; group and comparison rules are aggregates
+Plan shape: the cleaned snapshot and the store ledgers that comparisons read are
+landed once (``materialize``); every row rule then runs in ONE fused pass; group and comparison rules are aggregates
 over the landed tables; all outputs are unioned lazily.  Columns a check needs
 but the snapshot lacks are resolved at plan time into ``missing_column``
 findings and the check is skipped.  Bad data doesn't throw, because every parse is a
