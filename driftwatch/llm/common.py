@@ -16,8 +16,11 @@ import gc
 import sys
 import types
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +112,21 @@ class Remembered:
             self.clear()
         self.held += size + self.ENTRY
         self.table[key] = value
+
+
+def byte_groups(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
+    """Consecutive texts of about so many bytes together."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        upto = int(np.searchsorted(total, size + (total[at - 1] if at else 0))) + 1
+        yield texts.slice(at, upto - at)
+        at = min(upto, len(texts))
+
+
+def joined_values(values: pa.Array, codes: pa.Array, bounds: np.ndarray) -> list[bytes]:
+    """The values (``large_binary``) of codes[bounds[i]:bounds[i + 1]] one after the other, for each i."""
+    flat = values.take(codes)
+    joined = memoryview(flat.buffers()[2] or b"")
+    at = np.frombuffer(flat.buffers()[1], dtype=np.int64, count=len(flat) + 1)[bounds].tolist() if len(flat) else [0] * len(bounds)
+    return [bytes(joined[start:end]) for start, end in zip(at, at[1:])]

@@ -28,89 +28,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, land, worker_cache
+from .common import Remembered, byte_groups, joined_values, land, worker_cache
 
 WINDOW = 4096
 END_ID = 2
-#: Bytes of words and ids that a worker remembers (tested before each piece), and words of a piece of a very long text.
-CACHE, STEP = 320 << 20, 200_000
+#: Bytes of words and ids that a worker remembers (tested before each step), words of a step, and new words encoded as one line.
+CACHE, STEP, LINE = 192 << 20, 200_000, 500
+#: A letter or digit and the punctuation after it: never in one word of the tokenizer's.
+AFTER_WORD = r"([0-9a-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
+#: Texts that aren't lower-cased or cut beforehand: a special token may be in them, or a capital and a mark that make one character.
+AS_IT_IS = r"<\||[A-Z]\pM"
 #: Rows of the (length, task) table from which on it is joined by a shuffle, whatever its size in bytes.
 SHUFFLED = 200_000
 
 
 class WordTokenizer:
-    """ids of whole texts, remembering those of each run of non-space characters.
+    """ids of whole texts, remembering those of each word.
 
-    The tokenizer cuts at white space before it merges, so a text's ids are the ids of
-    its space-separated chunks one after the other (tested against whole texts).
+    The tokenizer lower-cases, and cuts at white space and after letters and digits before it
+    merges, so a text's ids are the ids of its words one after the other (tested against whole texts).
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs a worker per core
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tok, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # lower-case words of Latin letters are as the normalizer leaves them, and white space alone parts them
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tok.get_vocab_size(), dtype=bool)      # ids that end a word
+        self.last[[i for piece, i in self.tok.get_vocab().items() if piece.endswith("</w>")]] = True
         self.known = Remembered(CACHE)
 
     @staticmethod
-    def _parts(chunk: str) -> tuple[str, ...]:
-        """Words that give the chunk's ids one after the other, lower-cased where that is plain."""
-        low = chunk.lower() if chunk.isascii() and "<" not in chunk else chunk
-        # a lone . or , after a letter or digit is a word of its own
-        if low.isascii() and len(low) > 1 and low[-1] in ".," and low[-2].isalnum():
-            return low[:-1], low[-1]
-        return (low,)
-
-    def _learn(self, chunks: set[str]) -> list[str]:
-        """Remembers the ids of all chunks; returns those too long to be kept."""
-        known, long, size = self.known.table, [], 0
-        parts = {c: self._parts(c) for c in chunks.difference(known)}
-        words = list({p for ps in parts.values() for p in ps}.difference(known))
-        for word, got in zip(words, self.batch(words, add_special_tokens=False)):
-            ids = known[word] = array("I", got.ids).tobytes()
-            size += len(word) + len(ids)
-            if len(word) > self.known.longest:
-                long.append(word)
-        for chunk, ps in parts.items():
-            if ps != (chunk,):
-                ids = known[chunk] = b"".join([known[p] for p in ps])
-                size += len(chunk) + len(ids) + self.known.ENTRY
-                if len(chunk) > self.known.longest:
-                    long.append(chunk)
-        self.known.held += size + self.known.ENTRY * len(words)
-        return long
+    def _batch(tok, texts: list[str]) -> list:
+        return getattr(tok, "encode_batch_fast", tok.encode_batch)(texts, add_special_tokens=False)
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """ids of each of different words; plain ones are joined to lines, and cut where an id ends a word."""
+        made = {}
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) <= "ÿ")]
+        if plain:
+            low = [w.lower() for w in plain]
+            lines = [" ".join(low[at:at + LINE]) for at in range(0, len(low), LINE)]
+            ids = np.concatenate([np.asarray(got.ids, dtype="<u4") for got in self._batch(self.plain, lines)])
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(plain):
+                packed = ids.tobytes()
+                made = {w: packed[start:end] for w, start, end in zip(plain, [0, *ends], ends)}
+        rest = [w for w in words if w not in made]
+        return made | {w: array("I", got.ids).tobytes() for w, got in zip(rest, self._batch(self.tok, rest))}
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """ids of each of different words; short ones are remembered."""
+        if self.known.held > self.known.limit:
+            self.known.clear()
+        found = list(map(self.known.table.get, words))
+        if None not in found:
+            return found
+        made = self._encode_words([w for w, ids in zip(words, found) if ids is None])
+        kept = {w: ids for w, ids in made.items() if len(w) <= self.known.longest}
+        self.known.table.update(kept)
+        self.known.held += sum(map(len, kept)) + sum(map(len, kept.values())) + self.known.ENTRY * len(kept)
+        return [made[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (null: none)."""
+        # first what makes an array of its own: ascii_lower of a slice gives wrong offsets (pyarrow 23)
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        low = pc.replace_substring_regex(pc.ascii_lower(texts), AFTER_WORD, r"\1 \2")
+        words = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, AS_IT_IS), texts, low), " ")
+        coded = words.flatten().dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [i for at in range(0, len(different), STEP) for i in self._learn(different[at:at + STEP])]
+        # Arrow puts the words' ids one after the other; a text's are those of its words
+        return joined_values(pa.array(ids, pa.large_binary()), coded.indices, words.offsets.to_numpy())
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known, out = self.known.table, []
-        # texts of about a million characters are learnt together, and a longer one piece by piece
-        pieces = [cut] if len(cut) > 1 else [[cut[0][at:at + STEP]] for at in range(0, len(cut[0]), STEP)] if cut else []
-        for piece in pieces:
-            if self.known.held > self.known.limit:
-                self.known.clear()
-            long = self._learn(set().union(*piece))
-            out.append([b"".join(map(known.__getitem__, chunks)) for chunks in piece])
-            for chunk in long:
-                del known[chunk]
-        return out[0] if len(cut) > 1 else [b"".join([part for part, in out])] if cut else []
-
-
-def _groups(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
-    """Consecutive texts (null: empty) of about so many characters together."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t := t.as_py() or "")
-        size += len(t)
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+        return self.encode(pa.array(texts, pa.large_string()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
@@ -128,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for b in batches:
             at, rows, parts = [], [], []
-            encoded = (e for g in _groups(b.column(1)) for e in tok.encode_many(g))
+            encoded = (e for g in byte_groups(b.column(1)) for e in tok.encode(g))
             for row, ids in enumerate(encoded):
                 ids += end
                 n = len(ids) // 4

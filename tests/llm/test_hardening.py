@@ -17,7 +17,7 @@ import corpus_pipeline
 from driftwatch.llm import (
     line_dedup, packing, pii, piecewise_hash, quality_rules, sentencepiece_codec, warc,
 )
-from driftwatch.llm.common import Remembered, drop_landed, land, worker_cache
+from driftwatch.llm.common import Remembered, byte_groups, drop_landed, land, worker_cache
 
 SF = "/root/testdata/sf0.001"
 BIG = [2 ** 53 + 1, 2 ** 53 + 3, -2 ** 53 - 1]
@@ -75,6 +75,31 @@ def test_tokenizer_with_little_memory(docs, monkeypatch):
     assert little.encode_many([every]) == [ids] and len(little.known.table) * Remembered.ENTRY <= 20_000 + 200 * 2 * Remembered.ENTRY
 
 
+def test_tokenizer_remembers_a_word_once(docs):
+    """Case and the punctuation after a word cost no further entries: they are cut off before words are looked up."""
+    words = sorted({w for r in docs.limit(40).collect() for w in r.text.lower().split() if w.isalpha()})
+    tok = packing.WordTokenizer(packing.tokenizer_path())
+    text = " ".join(f"{w} {w}, {w.capitalize()}. {w}!!,%%% {w}'s" for w in words)
+    ids = np.asarray(tok.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert tok.encode_many([text]) == [ids] and len(words) > 500
+    assert len(tok.known.table) < len(words) + sum(not w.isascii() for w in words) + 20
+
+
+def test_tokenizer_on_odd_texts():
+    """ids of whole texts by the library: special tokens, marks that compose, other scripts, spaces of all kinds; slices too."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    bits = [*"aZéÉßÿµª×÷0٣5.,'<|>_-`~“…漢字яЖΣςİıﬁ", "'s", "'T", "'ll", "J\u030c", "I\u0307", "e\u0301", "=\u0338", "T\u0323\u0308",
+            "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2028", "\x00", "\x1f", "the", "Tion"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(20000)] + ["", None, "x" * 3000]
+    tok = packing.WordTokenizer(packing.tokenizer_path())
+    want = [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert tok.encode(pa.array(texts)) == want and tok.encode(pa.array(texts).slice(501, 7000)) == want[501:7501]
+    assert [i for g in byte_groups(pa.array(texts).slice(3), 1000) for i in tok.encode(g)] == want[3:]
+    assert tok.encode(pa.array([None, ""], pa.string())) == [b"", b""] and tok.encode_many([]) == []
+
+
 def test_landed_tables_are_dropped(spark):
     import os
 
