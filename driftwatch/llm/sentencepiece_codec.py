@@ -12,8 +12,9 @@ links give the pieces that end there, and a table over positions is relaxed with
   the library's result (tested against the library).
 
 Where no piece of the model reaches over them (looked up when it is loaded), the text is cut
-in front of each run of space markers and after each word, and each worker remembers the
-ids of the chunks it has seen (``CACHE`` bytes at most).  Characters without a piece become byte
+in front of each run of space markers and of the punctuation after a word.  Each different
+chunk of a group of texts is looked up once, and each worker remembers the ids of the chunks
+it has seen (``CACHE`` bytes at most).  Characters without a piece become byte
 pieces or the unknown id.
 
 Defined results: null or empty text has no pieces and decodes to the empty string;
@@ -27,20 +28,24 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, worker_cache
+from .common import Remembered, byte_groups, joined_values, worker_cache
 
 MARK = "▁"
 #: Bytes of chunks and ids that a worker remembers, and pairs of pieces whose order it has judged.
-CACHE, PAIRS = 64 << 20, 500_000
+CACHE, PAIRS = 192 << 20, 500_000
+#: Letters and digits after which punctuation is cut off.
+WORD = "0-9A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class Codec:
@@ -69,13 +74,13 @@ class Codec:
         self.valid: dict[int, bool] = {}
         self.edges: dict[int, tuple | None] = {}
         self.raw = [p if isinstance(p, bytes) else (p or " ⁇ ").encode() for p in self.piece]
-        # cut in front of each run of markers and after each word, where no piece reaches over
+        self.raw_pieces = pa.array(self.raw, pa.large_binary())
+        # cut in front of each run of markers, and between a word and punctuation, where no piece reaches over
         pairs = {p for t in self.score for p in zip(t, t[1:])}
-        over_mark = any(b == MARK != a for a, b in pairs)
-        after_word = any(b != MARK and re.match(r"\w", a) and not re.match(r"\w", b) for a, b in pairs)
-        self.chunks = None if over_mark else re.compile(
-            f"{MARK}+[^{MARK}]*|[^{MARK}]+" if after_word
-            else rf"{MARK}+[^\w{MARK}]*\w*|[^\w{MARK}]+\w*|\w+")
+        self.cut_marks = not any(b == MARK != a for a, b in pairs)
+        held = {b for a, b in pairs if re.match(f"[{WORD}]", a)}
+        after = "".join(re.escape(c) for c in string.punctuation if c not in held)
+        self.after_word = f"([{WORD}])([{after}])" if after else None
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging: best score first, leftmost among equals."""
@@ -187,29 +192,50 @@ class Codec:
                     out.append(self.unk)
         return array("I", out).tobytes()
 
-    def _learn(self, chunk: str) -> bytes:
-        got = self.known.table.get(chunk)
-        if got is None:
-            got = self._encode_chunk(chunk)
-            self.known.keep(chunk, got)
-        return got
-
-    def encode_packed(self, text: str) -> bytes:
-        """ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        marked = MARK + text.replace(" ", MARK)
-        chunks = self.chunks.findall(marked) if self.chunks else [marked]
-        return b"".join(map(self._learn, chunks))
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """ids of each of different chunks; short ones are remembered."""
+        found = list(map(self.known.table.get, chunks))
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = self._encode_chunk(chunks[k])
+                self.known.keep(chunks[k], found[k])
+        return found
+
+    def _chunks(self, texts: pa.Array) -> pa.Array:
+        """A list of each text's chunks.  Spaces become markers, so that a space can show the cuts."""
+        marked = pc.replace_substring(texts, " ", " " + MARK if self.cut_marks else MARK)
+        marked = pc.replace_substring_regex(marked, r"\A(?s:(.))", MARK + r"\1")
+        if self.cut_marks:
+            for _ in range(2):                   # no cut in a run of markers; neighbours need a second pass
+                marked = pc.replace_substring(marked, f"{MARK} {MARK}", MARK + MARK)
+        if self.after_word:
+            marked = pc.replace_substring_regex(marked, self.after_word, r"\1 \2")
+        return pc.split_pattern(marked, " ")
+
+    def encode_packed(self, texts: pa.Array) -> list[bytes]:
+        """ids of each text (null: none) as little-endian unsigned 32-bit numbers."""
+        chunks = self._chunks(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = chunks.flatten().dictionary_encode()
+        ids = self._learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return joined_values(pa.array(ids, pa.large_binary()), coded.indices, chunks.offsets.to_numpy())
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
+        return np.frombuffer(self.encode_packed(pa.array([text]))[0], dtype="<u4").tolist()
 
-    def decode(self, ids) -> str:
-        raw = b"".join([self.raw[i if i is not None and 0 <= i < len(self.raw) else self.unk] for i in ids])
+    def decode_packed(self, packed: list[bytes]) -> list[str]:
+        """Texts of ids, each of which the model has."""
+        ids = np.frombuffer(b"".join(packed), dtype="<u4")
+        ends = np.cumsum([0, *map(len, packed)]) // 4
+        return [self._text(raw) for raw in joined_values(self.raw_pieces, pa.array(ids), ends)]
+
+    @staticmethod
+    def _text(raw: bytes) -> str:
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode(self, ids) -> str:
+        return self._text(b"".join([self.raw[i if i is not None and 0 <= i < len(self.raw) else self.unk] for i in ids]))
+
 
 def _stretches(chunk: str, alphabet: set) -> list[tuple[bool, str]]:
     """Stretches of characters that have pieces, and of those that have none."""
@@ -217,20 +243,23 @@ def _stretches(chunk: str, alphabet: set) -> list[tuple[bool, str]]:
 
 
 def _of_texts(docs: DataFrame, made, schema: str) -> DataFrame:
-    """doc_id as it is, and the columns that ``made`` gives for a list of texts (null: empty)."""
+    """doc_id as it is, and the columns that ``made`` gives for an array of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = made([t or "" for t in b.column(1).to_pylist()])
-            yield pa.record_batch([b.column(0), *columns.values()], names=["doc_id", *columns])
+            at = 0
+            for texts in byte_groups(b.column(1)):
+                columns = made(texts)
+                yield pa.record_batch([b.column(0).slice(at, len(texts)), *columns.values()], names=["doc_id", *columns])
+                at += len(texts)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, " + schema)
 
 
 def encode(docs: DataFrame, model_file: str, bpe: bool = True) -> DataFrame:
     """doc_id, ids (array of int) of every text."""
-    def made(texts: list[str]) -> dict[str, pa.Array]:
+    def made(texts: pa.Array) -> dict[str, pa.Array]:
         codec = worker_cache(("sentencepiece", model_file, bpe), lambda: Codec(model_file, bpe))
-        return {"ids": pa.array([codec.encode(t) for t in texts], pa.list_(pa.int32()))}
+        return {"ids": pa.array([np.frombuffer(p, dtype="<i4") for p in codec.encode_packed(texts)], pa.list_(pa.int32()))}
 
     return _of_texts(docs, made, "ids array<int>")
 
@@ -249,16 +278,13 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 
 def digest(docs: DataFrame, model_file: str, bpe: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, round_trip."""
-    def made(texts: list[str]) -> dict[str, pa.Array]:
+    def made(texts: pa.Array) -> dict[str, pa.Array]:
         codec = worker_cache(("sentencepiece", model_file, bpe), lambda: Codec(model_file, bpe))
-        n, crc, sha, same = [], [], [], []
-        for text in texts:
-            packed = codec.encode_packed(text)
-            back = codec.decode(np.frombuffer(packed, dtype="<u4").tolist())
-            n.append(len(packed) // 4)
-            crc.append(zlib.crc32(packed))
-            sha.append(hashlib.sha256(back.encode()).hexdigest())
-            same.append(back == text.replace(MARK, " "))
+        encoded = codec.encode_packed(texts)
+        decoded = codec.decode_packed(encoded)
+        n, crc = [len(packed) // 4 for packed in encoded], [zlib.crc32(packed) for packed in encoded]
+        sha = [hashlib.sha256(back.encode()).hexdigest() for back in decoded]
+        same = [back == (text.as_py() or "").replace(MARK, " ") for back, text in zip(decoded, texts)]
         return {"n_pieces": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
                 "decoded_sha256": pa.array(sha, pa.string()), "round_trip": pa.array(same, pa.bool_())}
 

@@ -100,6 +100,42 @@ def test_tokenizer_on_odd_texts():
     assert tok.encode(pa.array([None, ""], pa.string())) == [b"", b""] and tok.encode_many([]) == []
 
 
+def test_sentencepiece_remembers_a_word_once(docs):
+    """The punctuation after a word costs no further entries, and a group's texts are looked up together."""
+    import pyarrow as pa
+    import sentencepiece
+
+    words = sorted({w for r in docs.limit(40).collect() for w in r.text.split() if w.isalpha()})
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    texts = [" ".join(f"{w}{end}" for w in words) for end in ("", ",", ".", "!!,%%%", "_")]
+    got = [np.frombuffer(p, dtype="<u4").tolist() for p in codec.encode_packed(pa.array(texts))]
+    assert got == [sp.encode(t) for t in texts] and len(words) > 500
+    assert len(codec.known.table) < len(words) + 20
+
+
+def test_sentencepiece_on_odd_texts():
+    """ids of whole texts by the library: runs of spaces, markers and newlines, pieces that reach over punctuation; slices too."""
+    import pyarrow as pa
+    import sentencepiece
+
+    rng = random.Random(7)
+    bits = [*"aZé²ß×_.,!({$'▁▁漢😀0\n\t\x00\x1f", " ", " ", "  ", "   ", "▁ ", " ▁", "the", "tion", "_{", "².", "->", "\u00a0", "e\u0301"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(10000)] + ["", None, " ", "   ", "▁", "x" * 3000]
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    want = [sp.encode(t or "") for t in texts]
+    of = lambda made: [np.frombuffer(p, dtype="<u4").tolist() for p in made]
+    packed = codec.encode_packed(pa.array(texts))
+    assert of(packed) == want and of(codec.encode_packed(pa.array(texts).slice(777, 3000))) == want[777:3777]
+    assert [i for g in byte_groups(pa.array(texts).slice(3), 500) for i in of(codec.encode_packed(g))] == want[3:]
+    assert codec.decode_packed(packed) == [sp.decode(ids) for ids in want] == [codec.decode(ids) for ids in want]
+    codec.known.clear()
+    codec.known.limit = 5000
+    assert codec.encode_packed(pa.array(texts)) == packed and len(codec.known.table) * Remembered.ENTRY <= 5000
+    assert codec.encode_packed(pa.array([], pa.string())) == codec.decode_packed([]) == []
+
+
 def test_landed_tables_are_dropped(spark):
     import os
 
